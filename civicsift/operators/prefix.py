@@ -53,12 +53,15 @@ def spread_lookup(
     weight: str,
     total: int,
     how: str = "left",
+    spread_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``table`` (unique ``key``) to ``rows`` although a key may hold a third of them.
 
     ``weight`` is the number of ``rows`` per key, ``total`` their sum. The few hot keys are
     joined from a broadcast of at most ``HOT_SHARE`` rows; their rows are spread over
-    salts in the shuffled join for everything else, where they meet no partner.
+    salts in the shuffled join for everything else, where they meet no partner. The salt is
+    a hash of ``spread_on`` (all columns if not given), so a lost task is redone alike.
+    Frequent keys that ``table`` does not know are left to adaptive skew handling.
     """
     values = [name for name in table.columns if name not in (key, weight)]
     limit = max(total // HOT_SHARE, 1)
@@ -67,8 +70,8 @@ def spread_lookup(
     cold = packed.filter(F.col(weight) <= limit).select(
         F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.col("_value").alias("_cold"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(SALTS)).cast("int") + 1
-    salted = marked.withColumn("_salt", F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(spread))
+    spread = F.pmod(F.xxhash64(*(spread_on or rows.columns)), F.lit(SALTS)).cast("int") + 1
+    salted = marked.withColumn("_salt", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(spread))
     joined = salted.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     if how == "inner":
         joined = joined.filter(F.col("_hot_key").isNotNull() | F.col("_cold_key").isNotNull())
