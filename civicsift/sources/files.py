@@ -79,18 +79,20 @@ def swap_into(spark: SparkSession, new: str, target: str) -> None:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """Write a frame with one text row as one plain file (for documents of checked size)."""
+    """Write a small frame of text rows as one plain file."""
     spark = df.sparkSession
     folder = scratch_path(spark, "document")
     df.coalesce(1).write.option("lineSep", "\n").text(folder)
+    publish(spark, folder, path)
+
+
+def publish(spark: SparkSession, folder: str, path: str) -> None:
+    """Copy the only part file in ``folder`` to ``path``."""
     fs = _fs(spark, folder)
-    part = next(
-        status.getPath() for status in fs.listStatus(_path(spark, folder))
-        if status.getPath().getName().startswith("part-")
-    )
+    parts = [status.getPath() for status in fs.listStatus(_path(spark, folder))
+             if status.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{len(parts)} part files in {folder}, expected one")
     target = _path(spark, path)
-    target_fs = _fs(spark, path)
-    jvm = spark._jvm
-    jvm.org.apache.hadoop.fs.FileUtil.copy(
-        fs, part, target_fs, target, False, True, spark._jsc.hadoopConfiguration()
-    )
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
+        fs, parts[0], _fs(spark, path), target, False, True, spark._jsc.hadoopConfiguration())
