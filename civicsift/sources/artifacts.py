@@ -9,7 +9,6 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from civicsift.constants import VOCABULARY_SHARD
 from civicsift.functions.text import strip
@@ -199,8 +198,7 @@ _VECTORIZER = (
     "smooth_idf:boolean,norm:string,lowercase:boolean,token_pattern:string,stop_words:array<string>,"
     "binary:boolean,vocabulary_size:long,vocabulary_files:array<string>,idf:array<double>>"
 )
-_METADATA = T.StructType.fromDDL(
-    f"labels array<string>, thresholds map<string,double>, vectorizer {_VECTORIZER}")
+_METADATA = f"labels array<string>, thresholds map<string,double>, vectorizer {_VECTORIZER}"
 
 
 def _metadata(spark: SparkSession, path: str):
