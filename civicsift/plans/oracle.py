@@ -24,10 +24,6 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _words(values) -> str:
-    return "[" + ", ".join(_text(value) for value in values) + "]"
-
-
 def _clean(column: str) -> str:
     return f"trim(regexp_replace({column}, '[{SPACE}]+', ' ', 'g'))"
 
@@ -37,19 +33,23 @@ def _key(column: str) -> str:
     return f"CASE WHEN starts_with({low}, 'http://') OR starts_with({low}, 'https://') THEN '' ELSE {low} END"
 
 
-def _hits(sequences: list[list[str]], negators: str) -> str:
-    """Un-negated places at which one of the token sequences starts."""
-    found = " OR ".join(
-        "(" + " AND ".join(f"tk[i + {k}] = {_text(word)}" for k, word in enumerate(words)) + ")"
+def _hit(sequences: list[list[str]]) -> str:
+    """True at a token at which one of the token sequences starts."""
+    return " OR ".join(
+        "(" + " AND ".join(f"{('tok', 'next1')[k]} = {_text(word)}" for k, word in enumerate(words)) + ")"
         for words in sequences)
-    return (f"len(list_filter(range(1, len(tk) + 1), lambda i: ({found}) "
-            f"AND NOT list_has_any(tk[greatest(1, i - 3):i - 1], {negators})))")
+
+
+def _pairs(tokens: str) -> str:
+    return f"list_transform(list_zip({tokens}[:-2], {tokens}[2:]), lambda x: x[1] || ' ' || x[2])"
 
 
 def _labeled() -> str:
     """CTEs ending in ``l``: comments with scores, flags and labels."""
-    negators = _words(QUERY_NEGATORS)
-    counts = ", ".join(f"{_hits(sequences, negators)} AS h{i}" for i, (_, _, _, sequences) in enumerate(ENTRIES))
+    negators = "(" + ", ".join(_text(word) for word in QUERY_NEGATORS) + ")"
+    counts = ", ".join(f"count(*) FILTER (free AND ({_hit(sequences)})) AS h{i}"
+                       for i, (_, _, _, sequences) in enumerate(ENTRIES))
+    zeros = ", ".join(f"coalesce(h{i}, 0) AS h{i}" for i in range(len(ENTRIES)))
     raw = []
     for name in LABELS:
         own = [(i, weight) for i, (label, _, weight, _) in enumerate(ENTRIES) if label == name]
@@ -69,7 +69,13 @@ WITH s AS (
 k AS (
   SELECT *, t <> '' AND NOT starts_with(lower(t), 'http') AS live,
     regexp_extract_all(lower(t), '{RULE_TOKEN}') AS tk FROM s),
-h AS (SELECT doc_id, source, text, live, {counts} FROM k),
+u AS (SELECT doc_id, unnest(tk) AS tok, generate_subscripts(tk, 1) AS i FROM k),
+w AS (SELECT doc_id, tok, lead(tok) OVER d AS next1,
+    coalesce(lag(tok, 1) OVER d, '') NOT IN {negators} AND coalesce(lag(tok, 2) OVER d, '') NOT IN {negators}
+    AND coalesce(lag(tok, 3) OVER d, '') NOT IN {negators} AS free
+  FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, {counts} FROM w GROUP BY doc_id),
+h AS (SELECT doc_id, source, text, live, {zeros} FROM k LEFT JOIN c USING (doc_id)),
 r AS (SELECT doc_id, source, text, {', '.join(raw)} FROM h),
 e AS (SELECT doc_id, source, text, {exact} FROM r),
 l AS (SELECT doc_id, source AS source_subreddit, doc_id::VARCHAR AS comment_id, text,
@@ -78,8 +84,7 @@ l AS (SELECT doc_id, source AS source_subreddit, doc_id::VARCHAR AS comment_id,
 
 _GRAMS = f"""
 toks AS (SELECT doc_id, regexp_extract_all(lower({_clean('text')}), '{MODEL_TOKEN}') AS tk FROM documents),
-grams AS (SELECT doc_id, unnest(list_concat(tk,
-  list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS term FROM toks),
+grams AS (SELECT doc_id, unnest(list_concat(tk, {_pairs('tk')})) AS term FROM toks),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents),
 kept AS (
@@ -121,8 +126,7 @@ seg AS (SELECT key, node, pos, part,
   regexp_replace(part, '^[{BLANK}]+|[{BLANK}]+$', '', 'g') AS body FROM parts),
 stoks AS (SELECT key, node, pos,
   regexp_extract_all(lower({_clean('body')}), '{MODEL_TOKEN}') AS tk FROM seg WHERE body <> ''),
-sgrams AS (SELECT key, node, pos, unnest(list_concat(tk,
-  list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]))) AS term FROM stoks),
+sgrams AS (SELECT key, node, pos, unnest(list_concat(tk, {_pairs('tk')})) AS term FROM stoks),
 stf AS (SELECT key, node, pos, term, count(*) AS tf FROM sgrams GROUP BY ALL),
 sraw AS (SELECT key, node, pos, idx, (1 + ln(tf::DOUBLE)) * idf AS v FROM stf JOIN vocab USING (term)),
 slen AS (SELECT key, node, pos, sqrt(sum(v * v)) AS len FROM sraw GROUP BY ALL),
@@ -233,8 +237,8 @@ _DETAIL = " UNION ALL ".join(
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS label, sum({n}_bin)::BIGINT AS positives FROM l" for n in LABELS)
 _SCORE_COLUMNS = ", ".join(f"{n}_score, {n}_bin" for n in LABELS)
 _TRIGRAMS = (
-    "list_concat(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])), "
-    "list_transform(range(1, len(tk) - 1), lambda i: tk[i] || ' ' || tk[i + 1] || ' ' || tk[i + 2]))"
+    f"list_concat(list_concat(tk, {_pairs('tk')}), "
+    "list_transform(list_zip(tk[:-3], tk[2:-2], tk[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]))"
 )
 _GRID_VALUES = ", ".join(f"({value!r}::DOUBLE)" for value in GRID)
 
