@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from civicsift.constants import COUNT_WEIGHT, INTENSITY_WEIGHT, SCORE_CAP
 from civicsift.functions.regex import java_pattern, prefilters
-from civicsift.functions.text import RULE_TOKEN
+from civicsift.functions.text import RULE_TOKEN, bind
 
 # Characters looked at first when the tokens left of a match are needed; the whole
 # prefix is tokenised only where these hold too few tokens.
@@ -74,7 +74,7 @@ def negated(lowered: Column, start: Column, negators: Sequence[str], window: int
         left = F.slice(tokens, F.greatest(F.lit(1), n - window), F.greatest(F.lit(0), F.least(F.lit(window), n - 1)))
         return F.arrays_overlap(left, words)
 
-    return F.element_at(F.transform(F.array(near), before_last), 1)
+    return bind(near, before_last)
 
 
 def kept_matches(text: Column, lowered: Column, regex: Column, negators: Sequence[str], window: int) -> Column:

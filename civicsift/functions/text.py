@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ RULE_TOKEN = f"[{WORD}]+|[^{WORD}{SPACE}]"
 MODEL_TOKEN = f"[{WORD}]{{2,}}"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, although ``use`` mentions it often or per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends (``trim`` alone only knows U+0020)."""
     return F.regexp_replace(text, rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\z", "")
@@ -69,17 +74,24 @@ def model_tokens(
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """Blank-joined n-grams for every n in ``low..high``."""
-    parts = []
-    for n in range(max(low, 1), high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-        parts.append(F.coalesce(grams, F.array().cast("array<string>")))
-    if not parts:
+    def build(words: Column) -> Column:
+        return F.concat(*[_grams_of_size(words, n) for n in range(max(low, 1), high + 1)])
+
+    if high < max(low, 1):
         return F.array().cast("array<string>")
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    if (max(low, 1), high) == (1, 1):
+        return tokens
+    return bind(tokens, build)
+
+
+def _grams_of_size(words: Column, n: int) -> Column:
+    """Neighbours are joined by zipping the list with itself shifted, one step per extra word."""
+    grams = words
+    for step in range(1, n):
+        shifted = F.slice(words, step + 1, F.greatest(F.size(words) - step, F.lit(0)))
+        heads = F.slice(grams, 1, F.greatest(F.size(words) - step, F.lit(0)))
+        grams = F.zip_with(heads, shifted, lambda head, word: F.concat(head, F.lit(" "), word))
+    return grams
 
 
 def token_count(cleaned: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicsift.functions import segments as seg
+from civicsift.functions.text import bind
 from civicsift.operators.model import TextModel, predict
 
 # takes (segment, text), gives (segment, active_labels)
@@ -91,14 +92,12 @@ def _nodes(page: Column) -> Column:
         return F.filter(decoded, lambda part: part["text"].rlike(_WORD))
 
     def build_editable(parts: Column) -> Column:
-        return F.transform(F.array(seg.editable_flags(parts)), lambda flags: F.filter(
-            build(parts), lambda part: ~F.element_at(flags, part["node"] + 1)))[0]
+        return bind(seg.editable_flags(parts), lambda flags: F.filter(
+            build(parts), lambda part: ~F.element_at(flags, part["node"] + 1)))
 
     editable = page.rlike("(?i)contenteditable")
-    return F.transform(
-        F.array(seg.pieces(page)),
-        lambda parts: F.when(editable, build_editable(parts)).otherwise(build(parts)),
-    )[0]
+    return bind(
+        seg.pieces(page), lambda parts: F.when(editable, build_editable(parts)).otherwise(build(parts)))
 
 
 def _masks(scored: DataFrame) -> DataFrame:
