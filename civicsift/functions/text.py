@@ -41,9 +41,7 @@ def clean_text(text: Column) -> Column:
 
 def dedupe_key(text: Column) -> Column:
     """Lower-case collapsed text; blank for missing texts and texts that start with a URL."""
-    key = F.lower(clean_text(text))
-    is_url = key.startswith("http://") | key.startswith("https://")
-    return F.when(is_url, F.lit("")).otherwise(key)
+    return F.regexp_replace(F.lower(clean_text(text)), r"(?s)\Ahttps?://.*", "")
 
 
 def rule_tokens(text: Column) -> Column:
