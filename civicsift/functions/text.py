@@ -24,6 +24,15 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def keep_if(value: Column, wanted: Callable[[Column], Column]) -> Column:
+    """Generator of ``value`` for rows where it is ``wanted``; other rows go away.
+
+    A filter on a computed column makes the optimizer compute the column twice, once for the
+    filter and once for the output; a generator is computed once.
+    """
+    return F.explode(F.filter(F.array(value), wanted))
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends (``trim`` alone only knows U+0020)."""
     return F.regexp_replace(text, rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\z", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicsift.functions.text import dedupe_key
+from civicsift.functions.text import dedupe_key, keep_if
 from civicsift.operators.checks import require_columns
 
 
@@ -30,7 +30,8 @@ def clean_comments(
     require_columns(comments, [body])
     if position is None:
         position = F.col("_position") if "_position" in comments.columns else F.monotonically_increasing_id()
-    keyed = comments.withColumns({"_key": dedupe_key(F.col(body)), "_at": position}).filter(F.col("_key") != "")
+    keyed = comments.withColumn("_at", position).withColumn(
+        "_key", keep_if(dedupe_key(F.col(body)), lambda key: key != ""))
     at = _earliest_largest(keyed)
     rank = F.struct(*([] if keep_first else preference(comments.columns)), at.alias("at"))
     rows = keyed.select("_key", rank.alias("_rank"), F.struct(*comments.columns).alias("_row"))

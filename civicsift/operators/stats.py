@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from civicsift.constants import LABELS
 from civicsift.functions.text import token_count
+from civicsift.session import materialise
 
 
 def label_counts(labeled: DataFrame, labels: Sequence[str] = tuple(LABELS), suffix: str = "_bin") -> DataFrame:
@@ -71,19 +72,14 @@ def dataset_summary(prepared: DataFrame, text: str = "body_clean", community: st
         F.char_length(text).alias("chars"),
         token_count(F.col(text)).alias("tokens"),
     ).groupBy("community", "chars", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    lengths = shapes.groupBy("chars", "tokens").agg(F.sum("n").alias("n"))
-    profile = lengths.agg(
+    return shapes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("comments"),
+        F.count_distinct("community").alias("communities"),
         *[stat for name in ("chars", "tokens") for stat in (
             F.bround(F.sum(F.col(name) * F.col("n")) / F.sum("n"), 2).alias(f"mean_{name}"),
             F.bround(F.percentile(name, 0.5, F.col("n")), 2).alias(f"median_{name}"),
         )],
     )
-    communities = shapes.agg(F.count_distinct("community").alias("communities"))
-    return profile.select(
-        "comments", communities.scalar().alias("communities"),
-        "mean_chars", "median_chars", "mean_tokens", "median_tokens",
-    )
 
 
 def label_distribution(frame: DataFrame, labels: Sequence[str] = tuple(LABELS)) -> DataFrame:
@@ -103,6 +99,8 @@ def length_histogram(prepared: DataFrame, text: str = "body_clean", bins: int =
     Bin borders are the doubles numpy computes, so a length on a border falls on the same side.
     """
     lengths = prepared.select(token_count(F.col(text)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    # read twice, for the borders and for the counts
+    lengths = materialise(lengths, "lengths")
     span = lengths.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
     if span["low"] is None:
         return lengths.select(F.lit(0).alias("bin"), F.lit(0.0).alias("left"), F.lit(0.0).alias("right"),

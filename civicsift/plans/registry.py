@@ -21,7 +21,7 @@ from civicsift.functions.text import (
 from civicsift.operators import clean, label, mask, metrics, model, prepare, split, stats, tfidf
 from civicsift.plans.lexicon import PATTERNS, QUERY_NEGATORS
 from civicsift.plans.pipeline import train
-from civicsift.session import scratch_path
+from civicsift.session import scratch_path, spread
 from civicsift.sources import artifacts, comments
 from civicsift.streaming import scan
 
@@ -35,8 +35,13 @@ MASK_THRESHOLDS = {"toxic": 0.75, "insult": 0.8, "threat": 0.9}
 EVAL_THRESHOLDS = {"toxic": 0.4}
 
 
+# Tables of long texts, whose queries are bound by computing and not by reading.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(frame) if name in TEXT_TABLES else frame
 
 
 def as_comments(spark: SparkSession, folder: str) -> DataFrame:
