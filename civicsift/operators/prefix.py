@@ -23,7 +23,7 @@ def running_totals(
 
     ``bucket`` is an ascending coarse form of ``order`` with a bounded number of values. One
     window task then holds one bucket of a key instead of the whole key; the totals of the
-    earlier buckets are added from a small table.
+    earlier buckets are added from a small table. ``keys`` and ``bucket`` must not be null.
     """
     placed = df.withColumn("_bucket", bucket)
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(name).alias(f"_total_{name}") for name in sums])
@@ -36,13 +36,11 @@ def running_totals(
     local = placed.withColumns({
         f"_local_{name}": F.coalesce(F.sum(name).over(inside), F.lit(0)) for name in sums
     })
-    joined = local.alias("l").join(
-        F.broadcast(offsets.alias("o")),
-        [F.col(f"l.{name}").eqNullSafe(F.col(f"o.{name}")) for name in [*keys, "_bucket"]],
-    )
+    # the window has placed the rows by the join columns already, so only the totals move
+    joined = local.join(offsets, [*keys, "_bucket"])
     return joined.select(
-        *[F.col(f"l.{name}") for name in df.columns],
-        *[(F.col(f"o._offset_{name}") + F.col(f"l._local_{name}")).alias(f"{name}_before") for name in sums],
+        *df.columns,
+        *[(F.col(f"_offset_{name}") + F.col(f"_local_{name}")).alias(f"{name}_before") for name in sums],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicsift.functions.text import clean_text, model_tokens, ngrams
@@ -118,7 +118,7 @@ def number_terms(terms: DataFrame) -> tuple[DataFrame, int]:
         offsets.append((part, total))
         total += size
     starts = terms.sparkSession.createDataFrame(offsets, "_part int, _start long")
-    numbered = parted.join(F.broadcast(starts), "_part").withColumn("idx", F.col("_start") + F.col("_place"))
+    numbered = parted.join(starts, "_part").withColumn("idx", F.col("_start") + F.col("_place"))
     return numbered.select("idx", *terms.columns), total
 
 
@@ -173,7 +173,7 @@ def vectors(docs: DataFrame, vocabulary: Vocabulary, doc: str = "doc_id", text:
     """
     weighted = weighted_terms(docs, vocabulary, doc, text)
     packed = weighted.groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "term", "value"))).alias("_cells"),
+        F.sort_array(F.collect_list(F.struct("idx", "term", "value"))).alias("_cells"),
         F.sum(F.col("value") * F.col("value")).alias("_squares"),
         F.sum(F.abs("value")).alias("_sizes"),
     )
@@ -185,6 +185,13 @@ def vectors(docs: DataFrame, vocabulary: Vocabulary, doc: str = "doc_id", text:
 
 
 def tfidf(docs: DataFrame, vocabulary: Vocabulary, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, idx, term, value)``: the document-term matrix in long form."""
-    return vectors(docs, vocabulary, doc, text).select(doc, F.inline("cells"))
+    """``(doc, idx, term, value)``: the document-term matrix in long form.
 
+    Rows are already placed by document, so the window over a document needs no shuffle.
+    """
+    weighted = weighted_terms(docs, vocabulary, doc, text)
+    whole = Window.partitionBy(doc)
+    factor = scale(
+        F.sum(F.col("value") * F.col("value")).over(whole), F.sum(F.abs("value")).over(whole),
+        vocabulary.settings.norm)
+    return weighted.select(doc, "idx", "term", (F.col("value") * factor).alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from civicsift.constants import VOCABULARY_SHARD
 from civicsift.functions.text import strip
-from civicsift.operators.model import MAX_FIT_TERMS, TextModel
+from civicsift.operators.model import TextModel
 from civicsift.operators.tfidf import VectorizerSettings
 from civicsift.session import scratch_path
 from civicsift.sources.files import exists, publish, require_file, swap_into, write_document
@@ -25,6 +25,9 @@ COEFFICIENTS = "classifier_coefficients.json"
 INTERCEPTS = "classifier_intercepts.json"
 COMBINED = "vocabulary_combined.json"
 
+# Each document of a bundle is written by one task.
+MAX_JSON_TERMS = 1_000_000
+
 _NUMBERS = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
 
 
@@ -54,9 +57,9 @@ def load_model(spark: SparkSession, folder: str) -> TextModel:
 
 
 def export_json(model: TextModel, folder: str, shard: int = VOCABULARY_SHARD, combined: bool = True) -> None:
-    """Write the JSON bundle. A fitted model is bounded (``MAX_FIT_TERMS``), which is checked here."""
-    if model.terms > MAX_FIT_TERMS:
-        raise ValueError(f"{model.terms} terms do not fit a JSON bundle")
+    """Write the JSON bundle: single documents, so its size is checked; ``save_model`` has no limit."""
+    if model.terms > MAX_JSON_TERMS:
+        raise ValueError(f"{model.terms} terms do not fit a JSON bundle, use save_model")
     spark = model.vocabulary.sparkSession
     names = export_vocabulary(model.vocabulary, folder, shard)
     if combined:
@@ -81,7 +84,7 @@ def export_json(model: TextModel, folder: str, shard: int = VOCABULARY_SHARD, co
     # the idf list is put into the document by Spark, next to the settings from the driver
     start = json.dumps(head)[:-2] + ', "idf": '
     idf = model.vocabulary.groupBy().agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "idf"))), lambda cell: cell["idf"]).alias("idf"))
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", "idf"))), lambda cell: cell["idf"]).alias("idf"))
     write_document(
         idf.select(F.concat(F.lit(start), F.to_json("idf"), F.lit("}}")).alias("value")), f"{folder}/{METADATA}")
 
@@ -107,9 +110,9 @@ def export_classifier(model: TextModel, folder: str) -> None:
     spark = model.vocabulary.sparkSession
     cells = model.vocabulary.select("idx", F.posexplode("coef").alias("label", "coef"))
     rows = cells.groupBy("label").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "coef"))), lambda cell: cell["coef"]))
+        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("idx", "coef"))), lambda cell: cell["coef"]))
         .alias("row"))
-    matrix = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "row"))).alias("rows"))
+    matrix = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("label", "row"))).alias("rows"))
     joined = F.array_join(F.transform("rows", lambda row: row["row"]), ", ")
     write_document(
         matrix.select(F.concat(F.lit("["), joined, F.lit("]")).alias("value")), f"{folder}/{COEFFICIENTS}")
@@ -240,7 +243,7 @@ def _shard_rows(vocabulary: DataFrame, shard: int) -> DataFrame:
     """``(shard, cells)``: at most ``shard`` entries of a JSON object each, in index order."""
     number = (F.floor(F.col("idx") / F.lit(shard)) + 1).cast("int")
     grouped = vocabulary.groupBy(number.alias("shard")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "term"))).alias("entries"))
+        F.sort_array(F.collect_list(F.struct("idx", "term"))).alias("entries"))
     cells = F.to_json(F.map_from_entries(F.transform(
         "entries", lambda entry: F.struct(entry["term"].alias("key"), entry["idx"].alias("value")))))
     return grouped.select("shard", cells.alias("object")).select(

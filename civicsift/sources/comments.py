@@ -74,7 +74,7 @@ def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, posi
     for path, line in zip(files, first_lines(spark, files)):
         groups.setdefault(tuple(header_of(line)), []).append(path)
     base = qualified(spark, root).rstrip("/")
-    # one small row per file, which the driver lists anyway
+    # one small row per file; the planner sees its size and broadcasts it or not
     numbers = spark.createDataFrame(list(enumerate(files)), "file long, path string") if position else None
     frames = []
     for header, paths in groups.items():
@@ -90,7 +90,7 @@ def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, posi
             F.monotonically_increasing_id().alias("_row"),
         )
         if position:
-            tagged = tagged.join(F.broadcast(numbers), tagged["_path"] == numbers["path"], "left").withColumn(
+            tagged = tagged.join(numbers, tagged["_path"] == numbers["path"], "left").withColumn(
                 POSITION, F.struct("file", F.col("_block").alias("block"), F.col("_row").alias("row")))
         frames.append(tagged.select(SOURCE, *cells, *([POSITION] if position else [])))
     return concat_frames(frames)
