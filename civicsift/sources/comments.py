@@ -15,14 +15,19 @@ from pyspark.sql import types as T
 
 from civicsift.session import scratch_path
 from civicsift.sources.files import exists, find_files, first_lines, qualified, swap_into
+from civicsift.sources.split_csv import read_split_csv
 
 SOURCE = "source_subreddit"
 POSITION = "_position"
 _CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+# Files from this size on are read in pieces.
+SPLIT_BYTES = 1 << 30
+
+
 def find_comment_files(spark: SparkSession, root: str, name: str = "comments.csv") -> list[str]:
-    return find_files(spark, root, name)
+    return [path for path, _ in find_files(spark, root, name)]
 
 
 def header_of(line: str) -> list[str]:
@@ -60,14 +65,19 @@ def load_comments(spark: SparkSession, path: str) -> DataFrame:
     return frame
 
 
-def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, position: bool = False) -> DataFrame:
+def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, position: bool = False,
+                   split_files: bool | None = None) -> DataFrame:
     """Every ``comments.csv`` below ``root`` as one frame, tagged with its community.
 
     Files are grouped by header line, since Spark applies one header to all files of a read;
     the groups are then joined by column name. ``position=True`` keeps the input order
-    (file, row in file) in ``_position``.
+    (file, row in file) in ``_position``. ``split_files`` reads files in parallel pieces although
+    their cells hold line breaks; if not given, it depends on the largest file.
     """
-    files = find_comment_files(spark, root)
+    found = find_files(spark, root, "comments.csv")
+    files = [path for path, _ in found]
+    if split_files is None:
+        split_files = multi_line and any(size >= SPLIT_BYTES for _, size in found)
     if not files:
         raise ValueError(f"no comments.csv files found under {root}")
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -81,14 +91,15 @@ def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, posi
         if SOURCE in header:
             raise ValueError(f"column {SOURCE} already exists in {paths[0]}")
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        raw = spark.read.options(**_CSV).option("multiLine", multi_line).schema(schema).csv(paths)
         path = decoded_path(F.col("_metadata.file_path"))
         cells = [F.col(f"`{name}`") for name in header]
-        tagged = raw.select(
-            source_tag(path, base).alias(SOURCE), *cells,
-            path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
+        if split_files:
+            raw = read_split_csv(spark, paths, header, path)
+        else:
+            raw = spark.read.options(**_CSV).option("multiLine", multi_line).schema(schema).csv(paths).select(
+                *cells, path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"))
+        tagged = raw.select(source_tag(F.col("_path"), base).alias(SOURCE), *cells, "_path", "_block", "_row")
         if position:
             tagged = tagged.join(numbers, tagged["_path"] == numbers["path"], "left").withColumn(
                 POSITION, F.struct("file", F.col("_block").alias("block"), F.col("_row").alias("row")))

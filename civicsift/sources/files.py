@@ -33,15 +33,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     return _fs(spark, path).makeQualified(_path(spark, path)).toString()
 
 
-def find_files(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Every file called ``name`` below ``root``, sorted by path."""
+def find_files(spark: SparkSession, root: str, name: str) -> list[tuple[str, int]]:
+    """Path and size of every file called ``name`` below ``root``, sorted by path."""
     require_file(spark, root)
     found = []
     listing = _fs(spark, root).listFiles(_path(spark, root), True)
     while listing.hasNext():
-        path = listing.next().getPath()
-        if path.getName() == name:
-            found.append(path.toString())
+        status = listing.next()
+        if status.getPath().getName() == name:
+            found.append((status.getPath().toString(), status.getLen()))
     return sorted(found)
 
 

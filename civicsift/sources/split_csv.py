@@ -1,0 +1,63 @@
+"""CSV files with line breaks inside cells, read in parallel pieces.
+
+Spark reads such files with one task per file. Plain text files, though, are split anywhere, and
+a line starts a record exactly if the quotes before it in its file are even in number. Quotes
+are counted per piece, the counts of earlier pieces come from a small table, and only lines that
+are not a whole record by themselves are put together in a grouping. Cells must be quoted the
+usual way (quotes inside a cell doubled, and the cell quoted).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from civicsift.operators.prefix import running_totals
+
+PATH, BLOCK, ROW = "_path", "_block", "_row"
+
+
+def read_split_csv(spark: SparkSession, paths: Sequence[str], header: Sequence[str], path: Column) -> DataFrame:
+    """Cells as strings with ``_path``, ``_block`` and ``_row`` of the record's first line."""
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        path.alias(PATH),
+        F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias(ROW),
+        F.col("value").alias("_line"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long").alias("_quotes"),
+        F.lit(1).cast("long").alias("_one"),
+    )
+    counted = running_totals(lines, [PATH], F.col(BLOCK), [F.col(ROW)], ["_quotes", "_one"])
+    starts = F.col("_quotes_before") % 2 == 0
+    body = counted.filter(F.col("_one_before") > 0).withColumn("_starts", starts)
+    whole = F.col("_starts") & (F.col("_quotes") % 2 == 0)
+    single = body.filter(whole).select(PATH, BLOCK, ROW, F.col("_line").alias("_record"))
+    records = single.unionByName(_joined_lines(body.filter(~whole)))
+    text = F.regexp_replace("_record", r"\r\z", "")
+    schema = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in header)
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    cells = records.select(PATH, BLOCK, ROW, text.alias("_record")).filter(F.col("_record") != "").select(
+        PATH, BLOCK, ROW, F.from_csv("_record", schema, options).alias("_cells"))
+    return cells.select(PATH, BLOCK, ROW, "_cells.*")
+
+
+def _joined_lines(parts: DataFrame) -> DataFrame:
+    """Lines of records that span several, joined again under the place of their first line.
+
+    A line that closes one record never opens another, so the opening line is the last line
+    with ``_starts`` at or before it: in its own piece, or else in the latest earlier piece.
+    """
+    place = F.when(F.col("_starts"), F.struct(F.col(BLOCK).alias("block"), F.col(ROW).alias("row")))
+    inside = Window.partitionBy(PATH, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_first", F.last(place, ignorenulls=True).over(inside))
+    lasts = parts.groupBy(PATH, BLOCK).agg(F.max(place).alias("_last"))
+    earlier = Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(PATH, BLOCK, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    placed = local.join(carried, [PATH, BLOCK]).withColumn("_first", F.coalesce("_first", "_carried"))
+    grouped = placed.groupBy(PATH, "_first").agg(
+        F.sort_array(F.collect_list(F.struct(BLOCK, ROW, "_line"))).alias("_lines"))
+    return grouped.select(
+        PATH, F.col("_first.block").alias(BLOCK), F.col("_first.row").alias(ROW),
+        F.array_join(F.transform("_lines", lambda line: line["_line"]), "\n").alias("_record"))
