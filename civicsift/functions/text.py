@@ -33,6 +33,15 @@ def keep_if(value: Column, wanted: Callable[[Column], Column]) -> Column:
     return F.explode(F.filter(F.array(value), wanted))
 
 
+def settled(value: Column) -> Column:
+    """Generator that yields ``value`` once per row.
+
+    Filters on columns derived from it stay above it, instead of being rewritten in terms of
+    the expensive expression and evaluated a second time below.
+    """
+    return F.explode(F.array(value))
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends (``trim`` alone only knows U+0020)."""
     return F.regexp_replace(text, rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\z", "")

@@ -55,7 +55,10 @@ def output_order(columns: list[str]) -> list[Column]:
     return order
 
 
-def sort_cleaned(cleaned: DataFrame) -> DataFrame:
+def sort_cleaned(cleaned: DataFrame, keep_first: bool = False) -> DataFrame:
+    """Cleaned rows in output order; under ``keep_first`` that is the input order (``_position``)."""
+    if keep_first:
+        return cleaned.orderBy("_position") if "_position" in cleaned.columns else cleaned
     order = output_order(cleaned.columns)
     return cleaned.orderBy(*order) if order else cleaned
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civicsift.constants import FLAG_THRESHOLD, LABELS, NEGATION_WINDOW, NEGATORS
 from civicsift.functions.rules import PatternSpec, finds_any, kept_matches, matching_patterns, severities
-from civicsift.functions.text import strip
+from civicsift.functions.text import settled, strip
 from civicsift.operators.checks import require_columns
 
 
@@ -39,7 +39,7 @@ def label_comments(
         "_lower": F.when(F.col("_candidate"), F.lower(text)),
     })
     hits = found.withColumn("_hits", _count_hits(text, F.col("_lower"), F.col("_found"), negators, window))
-    raw = hits.withColumn("_raw", F.when(F.size("_hits") > 0, severities(F.col("_hits"), LABELS)))
+    raw = hits.withColumn("_raw", settled(F.when(F.size("_hits") > 0, severities(F.col("_hits"), LABELS))))
     columns = {}
     for i, label in enumerate(LABELS):
         score = F.col("_raw")[i] if label != "toxic" else F.array_max("_raw")
@@ -56,6 +56,12 @@ def active_labels(labels: Sequence[str] = tuple(LABELS), suffix: str = "_bin") -
     return F.concat_ws("|", *[F.when(F.col(f"{label}{suffix}") == 1, F.lit(label)) for label in labels])
 
 
+def score_map(labels: Sequence[str] = tuple(LABELS)) -> Column:
+    """All scores of a labelled row as a map from label to score."""
+    return F.map_from_arrays(
+        F.array(*[F.lit(label) for label in labels]), F.array(*[F.col(f"{label}_score") for label in labels]))
+
+
 def _count_hits(text: Column, lowered: Column, found: Column, negators: Sequence[str], window: int) -> Column:
     return F.transform(
         found,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicsift.functions import segments as seg
-from civicsift.functions.text import bind
+from civicsift.functions.text import bind, settled
 from civicsift.operators.model import TextModel, predict
 
 # takes (segment, text), gives (segment, active_labels)
@@ -53,7 +53,7 @@ def mask_texts(texts: DataFrame, scorer: Scorer, key: str, text: str = "text", o
     joined = texts.join(masks, F.col(key) == F.col("_key"), "left")
     rebuilt = _rebuild(seg.sentences(F.col(text)), F.col("_masks"), F.lit("0"), lambda part: part, lambda part: part)
     masked = F.when(F.col("_masks").isNull(), F.col(text)).otherwise(rebuilt)
-    return joined.withColumn(output, masked).drop("_key", "_masks")
+    return joined.withColumn(output, settled(masked)).drop("_key", "_masks")
 
 
 def mask_pages(pages: DataFrame, scorer: Scorer, key: str = "page_id", page: str = "html",
@@ -79,7 +79,7 @@ def mask_pages(pages: DataFrame, scorer: Scorer, key: str = "page_id", page: str
 
     whole = F.array_join(F.transform(seg.pieces(F.col(page)), node_text), "")
     masked = F.when(F.col("_masks").isNull(), F.col(page)).otherwise(whole)
-    return joined.withColumn(output, masked).drop("_key", "_masks")
+    return joined.withColumn(output, settled(masked)).drop("_key", "_masks")
 
 
 def _nodes(page: Column) -> Column:

@@ -274,6 +274,24 @@ SELECT source_subreddit, count(*) AS size, sum(toxic_bin)::BIGINT AS toxic_rows,
 SELECT comment_id, source_subreddit, toxic_score, labels FROM (
   SELECT *, row_number() OVER (PARTITION BY {_key('text')}
     ORDER BY toxic_score DESC, comment_id DESC, doc_id) AS rn FROM l WHERE {_key('text')} <> '') WHERE rn = 1""",
+    "label_scores": f"{_labeled()} " + " UNION ALL ".join(
+        f"SELECT comment_id, '{n}' AS label, {n}_score AS score FROM l" for n in LABELS),
+    "source_report": f"""{_labeled()}
+SELECT source_subreddit, format('r/{{}}: {{}}/{{}} toxic ({{:.2f}}%), {{}} clean', source_subreddit,
+  sum(toxic_bin)::BIGINT, count(*), sum(toxic_bin) / count(*) * 100, (count(*) - sum(toxic_bin))::BIGINT) AS line
+FROM l GROUP BY source_subreddit""",
+    "overall_report": f"""{_labeled()},
+o AS (SELECT count(*) AS n, sum(toxic_bin)::BIGINT AS t FROM l)
+SELECT format('Overall toxic rows: {{}}/{{}} ({{:.2f}}%)', t, n, t / n * 100) AS line FROM o
+UNION ALL SELECT format('Overall non-toxic rows: {{}}/{{}} ({{:.2f}}%)', n - t, n, 100 - t / n * 100) FROM o""",
+    "summary_report": f"""{_PREPARED}, x AS (
+  SELECT subreddit, length(body_clean) AS c, len(string_split(body_clean, ' ')) AS t FROM prep)
+SELECT 'Total komentar' AS "Metrik", format('{{:,}}', count(*)) AS "Nilai" FROM x
+UNION ALL SELECT 'Jumlah subreddit', count(DISTINCT subreddit)::VARCHAR FROM x
+UNION ALL SELECT 'Rata-rata panjang (karakter)', round_even(avg(c), 2)::DOUBLE::VARCHAR FROM x
+UNION ALL SELECT 'Median panjang (karakter)', round_even(median(c), 2)::DOUBLE::VARCHAR FROM x
+UNION ALL SELECT 'Rata-rata panjang (token)', round_even(avg(t), 2)::DOUBLE::VARCHAR FROM x
+UNION ALL SELECT 'Median panjang (token)', round_even(median(t), 2)::DOUBLE::VARCHAR FROM x""",
     "dataset_summary": f"""{_PREPARED}, x AS (
   SELECT subreddit, length(body_clean) AS c, len(string_split(body_clean, ' ')) AS t FROM prep)
 SELECT count(*) AS comments, count(DISTINCT subreddit) AS communities,

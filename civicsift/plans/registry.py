@@ -22,7 +22,7 @@ from civicsift.operators import clean, label, mask, metrics, model, prepare, spl
 from civicsift.plans.lexicon import PATTERNS, QUERY_NEGATORS
 from civicsift.plans.pipeline import train
 from civicsift.session import scratch_path, spread
-from civicsift.sources import artifacts, comments
+from civicsift.sources import artifacts, comments, reports
 from civicsift.streaming import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,23 @@ def label_source_detail(spark: SparkSession, folder: str) -> DataFrame:
     return stats.source_labels(labeled(spark, folder))
 
 
+def label_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = labeled(spark, folder).select("comment_id", label.score_map().alias("scores"))
+    return rows.select("comment_id", F.explode("scores").alias("label", "score"))
+
+
+def source_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.source_lines(stats.source_toxicity(labeled(spark, folder)))
+
+
+def overall_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.overall_lines(stats.overall_toxicity(labeled(spark, folder)))
+
+
+def summary_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.summary_table(stats.dataset_summary(prepared(spark, folder)))
+
+
 def label_then_clean(spark: SparkSession, folder: str) -> DataFrame:
     kept = clean.clean_comments(labeled(spark, folder), position=F.col("comment_id").cast("long"))
     return kept.select("comment_id", "source_subreddit", "toxic_score", "labels")
@@ -400,6 +417,10 @@ QUERIES: dict[str, Query] = {
     "label_by_source": label_by_source,
     "label_source_detail": label_source_detail,
     "label_then_clean": label_then_clean,
+    "label_scores": label_scores,
+    "source_report": source_report,
+    "overall_report": overall_report,
+    "summary_report": summary_report,
     "dataset_summary": dataset_summary,
     "label_distribution": label_distribution,
     "length_histogram": length_histogram,

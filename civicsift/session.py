@@ -29,12 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(context, "_civicsift_folder", None)
+        folder = context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="civicsift-")
-        context._civicsift_folder = folder
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.operators.stats import thousands
+from civicsift.operators.stats import percent_text, thousands
 from civicsift.sources.comments import write_csv
 from civicsift.sources.files import write_document
 
@@ -35,6 +35,22 @@ def label_table(distribution: DataFrame) -> DataFrame:
         F.col("percent").alias("Persentase (%)"))
 
 
+def overall_lines(overall: DataFrame) -> DataFrame:
+    """Totals of ``overall_toxicity`` as text lines."""
+    toxic = F.format_string(
+        "Overall toxic rows: %d/%d (%s)", "toxic_rows", "total_rows", percent_text(F.col("toxic_percent")))
+    clean = F.format_string(
+        "Overall non-toxic rows: %d/%d (%s)", "clean_rows", "total_rows", percent_text(F.col("clean_percent")))
+    return overall.select(F.explode(F.array(toxic, clean)).alias("line"))
+
+
+def source_lines(sources: DataFrame, source: str = "source_subreddit") -> DataFrame:
+    """Communities of ``source_toxicity`` as text lines."""
+    return sources.select(source, F.format_string(
+        "r/%s: %d/%d toxic (%s), %d clean", source, "toxic_rows", "size", percent_text(F.col("toxic_percent")),
+        "clean_rows").alias("line"))
+
+
 def write_table(table: DataFrame, path: str) -> None:
     write_csv(table.coalesce(1), path, mode="overwrite")
 

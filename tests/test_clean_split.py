@@ -36,6 +36,8 @@ def test_best_row_per_text(spark):
     assert tuple(clean.clean_counts(frame).first()) == (13, 2, 6, 5)
     ordered = [r["n"] for r in clean.sort_cleaned(best).collect()]
     assert ordered == [5, 7, 8, 2, 13]
+    first = clean.clean_comments(placed, keep_first=True)
+    assert [r["n"] for r in clean.sort_cleaned(first, keep_first=True).collect()] == [1, 4, 6, 8, 12]
     again = clean.clean_comments(best, position=F.col("n"))
     assert rows_of(again, "n") == rows_of(best, "n")
 

@@ -109,3 +109,12 @@ def test_statistics(spark):
     empty = stats.overall_toxicity(labeled.filter(F.lit(False))).first()
     assert (empty["total_rows"], empty["toxic_percent"], empty["clean_percent"]) == (0, 0.0, 100.0)
     assert stats.source_toxicity(labeled.drop("source_subreddit")) is None
+
+
+def test_filters_do_not_repeat_the_matching(spark):
+    frame = spark.createDataFrame([("an idiot",), ("fine",)], "body string")
+    toxic = label_comments(frame, SPECS).filter("toxic_bin = 1 and insult_score > 0.1")
+    assert toxic.count() == 1
+    plan = toxic._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and all("RLIKE" not in line and "regexp" not in line for line in filters)
