@@ -117,8 +117,9 @@ def number_terms(terms: DataFrame) -> tuple[DataFrame, int]:
     for part, size in sizes:
         offsets.append((part, total))
         total += size
+    # one row per partition, already counted on the driver
     starts = terms.sparkSession.createDataFrame(offsets, "_part int, _start long")
-    numbered = parted.join(starts, "_part").withColumn("idx", F.col("_start") + F.col("_place"))
+    numbered = parted.join(F.broadcast(starts), "_part").withColumn("idx", F.col("_start") + F.col("_place"))
     return numbered.select("idx", *terms.columns), total
 
 

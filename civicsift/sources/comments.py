@@ -22,6 +22,9 @@ POSITION = "_position"
 _CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+# The numbers of files are broadcast (about 150 bytes a file).
+MAX_FILES = 1_000_000
+
 # Files from this size on are read in pieces.
 SPLIT_BYTES = 1 << 30
 
@@ -84,7 +87,9 @@ def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, posi
     for path, line in zip(files, first_lines(spark, files)):
         groups.setdefault(tuple(header_of(line)), []).append(path)
     base = qualified(spark, root).rstrip("/")
-    # one small row per file; the planner sees its size and broadcasts it or not
+    if position and len(files) > MAX_FILES:
+        raise ValueError(f"positions are kept for up to {MAX_FILES} files at a time")
+    # one small row per file, which the driver has listed anyway
     numbers = spark.createDataFrame(list(enumerate(files)), "file long, path string") if position else None
     frames = []
     for header, paths in groups.items():
@@ -101,7 +106,7 @@ def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, posi
                 F.monotonically_increasing_id().alias("_row"))
         tagged = raw.select(source_tag(F.col("_path"), base).alias(SOURCE), *cells, "_path", "_block", "_row")
         if position:
-            tagged = tagged.join(numbers, tagged["_path"] == numbers["path"], "left").withColumn(
+            tagged = tagged.join(F.broadcast(numbers), tagged["_path"] == numbers["path"], "left").withColumn(
                 POSITION, F.struct("file", F.col("_block").alias("block"), F.col("_row").alias("row")))
         frames.append(tagged.select(SOURCE, *cells, *([POSITION] if position else [])))
     return concat_frames(frames)
