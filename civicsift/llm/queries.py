@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.llm import exact_dedup, url_filter
+from civicsift.llm import bpe, exact_dedup, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block",
              "net/fr/": "block"}
+QUALITY_THRESHOLD = 0.3
+
+
+def vocabulary_path() -> str:
+    """The vocabulary the queries encode with; read on the driver only."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,9 +39,38 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score")
 
 
+def held_out(id_column: str) -> Column:
+    """Rows of the fold that no model learns from; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 5 == 0
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    return quality.fit(docs, labels.filter(~held_out("doc_id")), "quality")
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, folder, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"),
+                         quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = bpe.load_vocabulary(vocabulary_path())
+    encoded = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), vocabulary))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE: dict[str, str] = {
