@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.llm import bpe, exact_dedup, mixing, quality, url_filter
+from civicsift.llm import bpe, exact_dedup, mixing, quality, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = simhash.components_of(table(spark, folder, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(vocabulary_path())
     encoded = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), vocabulary).alias("ids"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
+    "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
 }
