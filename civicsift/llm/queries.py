@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.llm import bpe, exact_dedup, mixing, quality, simhash, url_filter
+from civicsift.llm import bpe, exact_dedup, mixing, multi_index, quality, simhash, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     grouped = simhash.components_of(table(spark, folder, "documents").select("doc_id", "text"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,13 +82,19 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         "copies")
 
 
+def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op10_multi_index": op10_multi_index,
 }
 
 ORACLE: dict[str, str] = {
@@ -96,4 +107,16 @@ ORACLE: dict[str, str] = {
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM d WINDOW w AS (PARTITION BY h ORDER BY len DESC, doc_id)
     """,
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        r AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000
+                      THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+        FROM r
+    """,
 }
