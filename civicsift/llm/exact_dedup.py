@@ -45,9 +45,17 @@ def _positions(digest: Column, bits: int) -> list[Column]:
 def repeat_filter(digests: DataFrame, digest: str, bits: int) -> DataFrame:
     """The second filter: ``word`` and the ``mask`` of its positions that were hit more than once."""
     hits = digests.select(F.explode(F.array(*_positions(F.col(digest), bits))).alias("bit"))
-    twice = hits.groupBy("bit").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1")
+    return _words(hits.groupBy("bit").agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1"))
+
+
+def member_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A filter of the same form that holds all ``keys``."""
+    return _words(keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("bit")))
+
+
+def _words(hits: DataFrame) -> DataFrame:
     mask = F.expr("shiftleft(1L, cast(bit & 63 as int))")
-    return (twice.select(F.expr("shiftright(bit, 6)").alias("word"), mask.alias("mask"))
+    return (hits.select(F.expr("shiftright(bit, 6)").alias("word"), mask.alias("mask"))
             .groupBy("word").agg(F.bit_or("mask").alias("mask")))
 
 

@@ -2,11 +2,12 @@
 
 Both halves of a vector are quantised on their own; a vector lies in the cell of its two centroids. A
 query walks the cells in descending order of the two half scores' sum, with a heap, until the cells it has
-seen hold ``SHARE`` of all vectors, and all vectors in those cells are ranked by their exact inner product.
+seen hold ``SHARE`` of all vectors, and all vectors in those cells are ranked by their exact inner product. To
+this end a crowded cell counts as ``CROWD`` average ones, so that copies of one vector do not end a walk early.
 Every vector is indexed; only the centroids are fitted on a bounded sample.
 
-The vectors of one first-half centroid make a task, large ones are dealt over several, and meet the queries
-that walk there in blocks. A task returns the best rows per query, which are merged.
+The vectors of a few first-half centroids make a lane; large lanes are dealt over several tasks. There they meet
+the queries that walk to them, in blocks. A task returns the best rows per query, which are merged.
 
 Defined cases: vectors that are null or zero, that hold null or non-finite components, or whose length is
 not the greatest among the others take no part, neither do rows without an id. Rows that share an
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 from civicsift.llm.common import named
 from civicsift.session import materialise
 
-CENTROIDS = 32  # per half
+CENTROIDS = 64  # per half
+LANES = 16  # tasks the first-half centroids are dealt over, before large ones are split
 FIT_ROWS = 8_192  # bound on the vectors the centroids are fitted on, those with the lowest id hashes
 ROUNDS = 10
-SHARE = 0.35
+SHARE = 0.45
 LEAST_FOUND = 2_000
+CROWD = 8
 TASK_VECTORS = 4_096
 TASK_QUERIES = 4_096
 QUERY_ROWS = 256
@@ -58,14 +61,15 @@ class MultiIndex:
         half = self.first.shape[1]
         one, two = self.first @ query[:half], self.second @ query[half:]
         rows, columns = np.argsort(-one, kind="stable"), np.argsort(-two, kind="stable")
-        wanted = max(LEAST_FOUND, SHARE * self.counts.sum())
+        share = np.minimum(self.counts, max(1, math.ceil(CROWD * self.counts.sum() / max(1, (self.counts > 0).sum()))))
+        wanted = max(LEAST_FOUND, SHARE * share.sum())
         heap, seen, cells, found = [(-(one[rows[0]] + two[columns[0]]), 0, 0)], {(0, 0)}, [], 0
         while heap and found < wanted:
             _, i, j = heapq.heappop(heap)
             cell = int(rows[i]), int(columns[j])
             if self.counts[cell]:
                 cells.append(cell)
-                found += int(self.counts[cell])
+                found += int(share[cell])
             for step in ((i + 1, j), (i, j + 1)):
                 if step[0] < rows.size and step[1] < columns.size and step not in seen:
                     seen.add(step)
@@ -104,7 +108,7 @@ def prepare(table: DataFrame, id_column: str, vector_column: str) -> tuple[DataF
 
 
 def build(rows: DataFrame, length: int) -> tuple[DataFrame, MultiIndex]:
-    """The index entries ``id, vector, a, b`` of all rows, and the centroids with their counts."""
+    """The index entries ``id, vector, lane, cell`` of all rows, and the centroids with their counts."""
     sample = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(FIT_ROWS).toPandas()
     points = np.array(sample["vector"].tolist(), np.float64)
     half = length // 2
@@ -114,28 +118,28 @@ def build(rows: DataFrame, length: int) -> tuple[DataFrame, MultiIndex]:
         for batch in batches:
             vectors = _matrix(batch.column("vector"))
             if len(vectors):
-                cells = [pa.array(_nearest(part, centres).astype(np.int32))
-                         for part, centres in ((vectors[:, :half], first), (vectors[:, half:], second))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cells], ["id", "vector", "a", "b"])
+                a, b = _nearest(vectors[:, :half], first), _nearest(vectors[:, half:], second)
+                placed = [pa.array(part.astype(np.int32)) for part in (a % LANES, a * len(second) + b)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *placed], ["id", "vector", "lane", "cell"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    entries = materialise(rows.mapInArrow(assign, f"id long, vector {kind}, a int, b int"), "multi-index")
+    entries = materialise(rows.mapInArrow(assign, f"id long, vector {kind}, lane int, cell int"), "multi-index")
     counts = np.zeros((len(first), len(second)), np.int64)
-    for row in entries.groupBy("a", "b").count().collect():  # CENTROIDS ** 2 rows at most
-        counts[row["a"], row["b"]] = row["count"]
+    for row in entries.groupBy("cell").count().collect():  # CENTROIDS ** 2 rows at most
+        counts[divmod(row["cell"], len(second))] = row["count"]
     return entries, MultiIndex(first, second, counts)
 
 
-def _best(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, centroids: int) -> pd.DataFrame:
+def _best(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, all_cells: int) -> pd.DataFrame:
     """The ``top`` vectors of one task for each of its queries, ties kept by id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(vectors) and len(queries):
-        ids, cells = vectors["id"].to_numpy(np.int64), vectors["b"].to_numpy()
+        ids, cells = vectors["id"].to_numpy(np.int64), vectors["cell"].to_numpy()
         points = np.array(vectors["vector"].tolist(), np.float64)
         for begin in range(0, len(queries), QUERY_ROWS):
             block = queries.iloc[begin:begin + QUERY_ROWS]
             wanted = np.array(block["vector"].tolist(), np.float64)
-            open_cells = np.zeros((len(block), centroids), bool)
+            open_cells = np.zeros((len(block), all_cells), bool)
             for row, walked in enumerate(block["walked"]):
                 open_cells[row, walked] = True
             scores = np.where(open_cells[:, cells], wanted @ points.T, -np.inf)
@@ -156,36 +160,37 @@ def _best(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, centroids: int
 
 def search(entries: DataFrame, index: MultiIndex, queries: DataFrame, top: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``top`` nearest entries found for ``queries`` (``id, vector``)."""
-    deals = [max(1, math.ceil(int(count) / TASK_VECTORS)) for count in index.counts.sum(1)]
+    by_lane = [int(index.counts[lane::LANES].sum()) for lane in range(LANES)]
+    deals = [max(1, math.ceil(count / TASK_VECTORS)) for count in by_lane]
     blocks = max(1, math.ceil(queries.count() / TASK_QUERIES))
-    centroids = index.counts.shape[1]
+    all_cells, width = index.counts.size, index.counts.shape[1]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, firsts, walked = [], [], []
+            at, lanes, walked = [], [], []
             for row, query in enumerate(_matrix(batch.column("vector"))):
-                by_first: dict[int, list[int]] = {}
+                by_lane: dict[int, list[int]] = {}
                 for a, b in index.walk(query):
-                    by_first.setdefault(a, []).append(b)
-                at += [row] * len(by_first)
-                firsts += by_first
-                walked += by_first.values()
+                    by_lane.setdefault(a % LANES, []).append(a * width + b)
+                at += [row] * len(by_lane)
+                lanes += by_lane
+                walked += by_lane.values()
             taken = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(firsts, pa.int32()), pa.array(walked, pa.list_(pa.int32()))],
-                ["id", "vector", "a", "walked"])
+                [*taken.columns, pa.array(lanes, pa.int32()), pa.array(walked, pa.list_(pa.int32()))],
+                ["id", "vector", "lane", "walked"])
 
     kind = queries.schema["vector"].dataType.simpleString()
-    walks = queries.mapInArrow(walk, f"id long, vector {kind}, a int, walked array<int>")
-    deal = F.element_at(F.array(*map(F.lit, deals)), F.col("a") + 1)
+    walks = queries.mapInArrow(walk, f"id long, vector {kind}, lane int, walked array<int>")
+    deal = F.element_at(F.array(*map(F.lit, deals)), F.col("lane") + 1)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     asked = (walks.withColumn("block", block)
              .withColumn("deal", F.explode(F.sequence(F.lit(0), deal - 1))))
     held = (entries.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(1)), deal).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    keys = ("a", "deal", "block")
+    keys = ("lane", "deal", "block")
     found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
-        lambda vectors, queries: _best(vectors, queries, top, centroids), "query_id long, vec_id long, score double")
+        lambda vectors, queries: _best(vectors, queries, top, all_cells), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

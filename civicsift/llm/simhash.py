@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from civicsift.llm.common import named, unpacked, whole_row
 from civicsift.llm.components import components
+from civicsift.llm.exact_dedup import filter_bits, mark_repeats, member_filter
 from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise
 
@@ -211,10 +212,16 @@ def components_of(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
 
-    Rows that share this id all stay; rows without an id stay if no row of their component has one.
+    Rows that share this id all stay, and so do rows without an id. A Bloom filter of the ids that go lets the other
+    rows pass without being shuffled.
     """
     grouped = components_of(docs, id_column, text_column)
-    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    gone = materialise(grouped.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone"))
+                       .distinct(), "gone")
+    bits = filter_bits(gone.count())
+    words = materialise(member_filter(gone, "gone", bits), "gone-filter")
     rows = docs.select(named(docs, id_column).alias("id"), whole_row(docs).alias("row"))
-    stay = rows.join(kept, rows["id"].eqNullSafe(kept["kept"]), "left_semi")
+    marked = mark_repeats(rows, "id", words, words.count(), bits)
+    checked = marked.filter("maybe_repeated").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    stay = marked.filter(~F.col("maybe_repeated")).select("row").unionByName(checked.select("row"))
     return stay.select(*unpacked(stay, docs.columns))

@@ -5,19 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from civicsift.llm import exact_dedup
+from civicsift.llm import bpe, exact_dedup, mixing, quality, simhash
+from civicsift.llm.common import unpacked, whole_row
+from civicsift.llm.queries import QUALITY_THRESHOLD, quality_model, table, vocabulary_path
 from civicsift.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier does not reject."""
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select(whole_row(docs).alias("row"), quality.score(docs["text"], model).alias("score"))
+    kept = scored.filter(F.col("score") >= QUALITY_THRESHOLD)
+    return kept.select(*unpacked(kept, docs.columns))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of close fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix of its source takes it."""
+    return mixing.repeat_rows(docs)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    vocabulary = bpe.load_vocabulary(vocabulary_path())
+    encoded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), vocabulary).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), vocabulary))
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", good_quality),
     ("exact_dedup", without_copies),
+    ("simhash_near_dedup", without_near_copies),
+    ("mixing", mixed),
+    ("bpe", tokenised),
 ]
 
 ORACLE_SQL = None  # a trained classifier, random rounding and a vocabulary file are beyond SQL
