@@ -22,6 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 _MARKS = frozenset(".,;:!?")
 
-CACHED_UNITS = 800_000
-PENDING_UNITS = 500_000
-SLICE_CHARS = 12_000_000
-SLICE_IDS = 2_000_000
+# These bound the memory of a Python worker: two of them run per task, one that encodes and one that decodes.
+CACHED_UNITS = 250_000
+PENDING_UNITS = 150_000
+SLICE_CHARS = 3_000_000
+SLICE_IDS = 500_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -295,9 +297,8 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary)
         for batch in batches:
-            texts = batch.to_pylist()
-            parts = [encoder.encode(texts[a:b]) for a, b in _slices([len(t or "") for t in texts], SLICE_CHARS)]
-            yield _lists(parts)
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            yield _lists([encoder.encode(batch.slice(a, b - a).to_pylist()) for a, b in _slices(sizes, SLICE_CHARS)])
 
     return encoded.asNondeterministic()(text)
 
@@ -311,11 +312,11 @@ def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(ids, pa.int32()))
 
 
-def decode_lists(vocabulary: Vocabulary, lists: pa.Array) -> list[str]:
+def decode_lists(vocabulary: Vocabulary, lists: pa.Array) -> pa.Array:
     """The texts of lists of ids."""
     flat, starts, lengths = vocabulary.table
-    out: list[str] = []
-    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out: list[pa.Array] = []
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     for begin, end in _slices(counts.tolist(), SLICE_IDS):
         ids = lists.slice(begin, end - begin).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         inner = np.cumsum(counts[begin:end])
@@ -323,8 +324,9 @@ def decode_lists(vocabulary: Vocabulary, lists: pa.Array) -> list[str]:
         size = np.where(known, lengths[np.where(known, ids, 0)], 0)
         raw = flat[_ranges(starts[np.where(known, ids, 0)], size)].tobytes()
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], inner])]
-        out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return out
+        texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        out.append(pa.array(texts, pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -333,6 +335,6 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(decode_lists(vocabulary, batch), pa.string())
+            yield decode_lists(vocabulary, batch)
 
     return decoded.asNondeterministic()(ids)
