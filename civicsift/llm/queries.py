@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.llm import bpe, exact_dedup, mixing, multi_index, quality, simhash, url_filter, warc
+from civicsift.llm import bpe, exact_dedup, mixing, multi_index, quality, simhash, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         "copies")
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_multi_index": op10_multi_index,
 }
 
