@@ -21,40 +21,40 @@ than all others. Rows with equal ids do not remove from each other. An empty tab
 
 from __future__ import annotations
 
-import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicsift.llm.common import named, text_or_empty
-from civicsift.llm.exact_dedup import filter_bits, mark_repeats, repeat_filter
+from civicsift.llm.exchange import (
+    codes_of,
+    emit,
+    mixed,
+    placed,
+    ranges,
+    raw_rows,
+    read_file,
+    send_back,
+    send_keys,
+    shared_codes,
+    slices,
+    with_copies,
+)
 from civicsift.llm.induced_sort import groups as equal_strings
-from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise, scratch_path
 
 LENGTH = 50
 GRAM = 16  # a power of two; longer grams repeat less by chance, shorter ones give longer segments
-SLICE_BYTES = 2 << 20
 KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 5 << 20
-NO_ID = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_MIX = 0xD6E8FEB86659FD93
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = values * np.uint64(_MIX)
-    return (values ^ values >> np.uint64(32)) * np.uint64(_MIX)
 
 
 def segments(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def segments(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     while width < GRAM:
         hashes = hashes[:-width] * np.uint64(factor) + hashes[width:]
         width, factor = 2 * width, factor * factor % (1 << 64)
-    hashes = _mixed(hashes)
+    hashes = mixed(hashes)
     window, width = LENGTH - GRAM + 1, 1
     least = hashes
     while 2 * width <= window:
@@ -92,126 +92,7 @@ def _string_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.n
     powers = np.cumprod(np.full(raw.size, _BASE, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers)])
     back = np.cumprod(np.full(raw.size, _INVERSE, np.uint64))
-    return _mixed((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64))
-
-
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if ends.size else 0)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
-    """Pieces of at most about ``SLICE_BYTES`` of one group, with the number of their first row in it."""
-    group, number = None, 0
-    for batch in batches:
-        names = batch.column("group").to_pylist()
-        sizes = batch.column("size").to_pylist()
-        start = total = 0
-        for at in range(len(names) + 1):
-            ends = at == len(names) or names[at] != names[start]
-            if at > start and (ends or total + sizes[at] > SLICE_BYTES):
-                if names[start] != group:
-                    group, number = names[start], 0
-                yield group, number, batch.slice(start, at - start)
-                number += at - start
-                start, total = at, 0
-            if at < len(names):
-                total += sizes[at]
-
-
-def _raw(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of a piece that are no copies: their numbers, lengths, and bytes end to end."""
-    rows = np.flatnonzero(~piece.column("copy").to_numpy(zero_copy_only=False))
-    bodies = [piece.column("body")[int(row)].as_py() for row in rows]
-    return rows, np.array([len(body) for body in bodies], np.int64), np.frombuffer(b"".join(bodies), np.uint8)
-
-
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-
-
-def _file(folder: str, group: str, kind: str) -> tuple[fs.FileSystem, str]:
-    if group.startswith("#"):
-        raise ValueError("rows do not tell which file they come from")
-    store, at = _store(folder)
-    return store, f"{at}/{hashlib.md5(group.encode()).hexdigest()}.{kind}"
-
-
-def _read_file(folder: str, group: str, kind: str) -> bytes:
-    store, path = _file(folder, group, kind)
-    with store.open_input_file(path) as file:
-        return file.read()
-
-
-def _send_back(rows: DataFrame, folder: str, kind: str) -> None:
-    """Write what ``rows`` (``group, sent``) hold for each group to a file that its readers find by name."""
-
-    def write(parts: pd.DataFrame) -> pd.DataFrame:
-        group = parts["group"].iloc[0]
-        store, path = _file(folder, group, kind)
-        store.create_dir(path.rpartition("/")[0], recursive=True)
-        own = f"{path}-{uuid.uuid4().hex}"
-        with store.open_output_stream(own, compression=None) as out:
-            for sent in parts["sent"]:
-                out.write(sent)
-        store.move(own, path)
-        return pd.DataFrame({"group": [group]})
-
-    materialise(rows.groupBy("group").applyInPandas(write, "group string"), f"written-{kind}")
-
-
-def _emit(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _codes(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The leading ``bits + 32`` bits of keys: bucket and what is compared in it."""
-    return keys >> np.uint64(32 - bits)
-
-
-def send_keys(bodies: DataFrame, bits: int) -> DataFrame:
-    """``bucket, group, sent``: distinct key codes by bucket; bucket -1 holds codes that repeat in their group."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, found = None, []
-
-        def finish() -> pa.RecordBatch:
-            codes = np.concatenate([np.zeros(0, np.uint64), *found])
-            codes, counts = np.unique(codes, return_counts=True)
-            rows = [(-1, current, codes[counts > 1].tobytes())]
-            buckets = (codes >> np.uint64(32)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(buckets, prepend=-1))
-            for begin, end in zip(starts, np.append(starts, codes.size)[1:], strict=True):
-                rows.append((int(buckets[begin]), current, codes[begin:end].astype(np.uint32).tobytes()))
-            return _emit(rows, ["bucket", "group", "sent"], [pa.int64(), pa.string(), pa.binary()])
-
-        for group, _, piece in _slices(batches):
-            if group != current:
-                if current is not None:
-                    yield finish()
-                current, found = group, []
-            _, lengths, raw = _raw(piece)
-            found.append(_codes(segments(raw, lengths)[0], bits))
-        if current is not None:
-            yield finish()
-
-    return bodies.mapInArrow(work, "bucket long, group string, sent binary")
-
-
-def _shared_codes(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each group the codes of a bucket that other groups have too."""
-    bucket = np.uint64(rows["bucket"].iloc[0] << 32)
-    lists = [np.frombuffer(sent, np.uint32) for sent in rows["sent"]]
-    every = np.sort(np.concatenate(lists))
-    repeated = every[1:][every[1:] == every[:-1]]
-
-    def shared(codes: np.ndarray) -> bytes:
-        at = np.searchsorted(repeated, codes)
-        hit = np.zeros(codes.size, bool) if not repeated.size else repeated[np.minimum(at, repeated.size - 1)] == codes
-        return (codes[hit].astype(np.uint64) | bucket).tobytes()
-
-    return pd.DataFrame({"group": rows["group"], "sent": [shared(codes) for codes in lists]})
+    return mixed((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64))
 
 
 _PART = np.dtype([("row", np.int32), ("start", np.int32), ("count", np.int32), ("id", np.int64), ("hash", np.uint64)])
@@ -251,26 +132,26 @@ def send_segments(bodies: DataFrame, folder: str, bits: int, shards: int) -> Dat
             later = _later(parts)
             rows = [(-1, current, _runs(parts[later]))]
             sent = np.flatnonzero(~later)
-            shard = (_mixed(keys[sent]) % np.uint64(shards)).astype(np.int64)
+            shard = (mixed(keys[sent]) % np.uint64(shards)).astype(np.int64)
             sent = sent[np.argsort(shard, kind="stable")]
             shard = np.sort(shard)
             starts = np.flatnonzero(np.diff(shard, prepend=-1))
             pack = zstandard.ZstdCompressor(level=3)
             for begin, end in zip(starts, np.append(starts, shard.size)[1:], strict=True):
                 own = sent[begin:end]
-                body = parts[own].tobytes() + text[_ranges(begins[own], sizes[own])].tobytes()
+                body = parts[own].tobytes() + text[ranges(begins[own], sizes[own])].tobytes()
                 rows.append((int(shard[begin]), current, own.size.to_bytes(8, "little") + pack.compress(body)))
-            return _emit(rows, ["shard", "group", "sent"], [pa.int64(), pa.string(), pa.binary()])
+            return emit(rows, ["shard", "group", "sent"], [pa.int64(), pa.string(), pa.binary()])
 
-        for group, number, piece in _slices(batches):
+        for group, number, piece in slices(batches):
             if group != current:
                 if current is not None:
                     yield finish()
                 current, found, texts = group, [], []
-                known = np.unique(np.frombuffer(_read_file(folder, group, "keys"), np.uint64))
-            rows, lengths, raw = _raw(piece)
+                known = np.unique(np.frombuffer(read_file(folder, group, "keys"), np.uint64))
+            rows, lengths, raw = raw_rows(piece)
             key, text, begin, count = segments(raw, lengths)
-            code = _codes(key, bits)
+            code = codes_of(key, bits)
             hit = np.zeros(code.size, bool) if not known.size else known[
                 np.minimum(np.searchsorted(known, code), known.size - 1)] == code
             key, text, begin, count = key[hit], text[hit], begin[hit], count[hit]
@@ -283,7 +164,7 @@ def send_segments(bodies: DataFrame, folder: str, bits: int, shards: int) -> Dat
             parts["id"] = piece.column("order_id").to_numpy()[rows[text]]
             parts["hash"] = _string_hashes(raw, begin, count + LENGTH - 1)
             found.append((parts, key))
-            texts.append(raw[_ranges(begin, count + LENGTH - 1)])
+            texts.append(raw[ranges(begin, count + LENGTH - 1)])
         if current is not None:
             yield finish()
 
@@ -300,7 +181,7 @@ def repeated_positions(parts: np.ndarray, text: np.ndarray) -> np.ndarray:
         return np.zeros(0, _RUN)
     begins = np.cumsum(sizes + 1) - sizes  # every segment is followed by a mark, the first one preceded by one
     marked = np.zeros(int(begins[-1] + sizes[-1]) + 1, np.uint8)
-    marked[_ranges(begins, sizes)] = text + np.uint8(1)
+    marked[ranges(begins, sizes)] = text + np.uint8(1)
     repeated = np.zeros(marked.size, bool)
     for places, numbers in equal_strings(marked, LENGTH):
         owner = np.searchsorted(begins, places, side="right") - 1
@@ -333,7 +214,7 @@ def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
     later = _later(parts)
     sizes = parts["count"].astype(np.int64) + LENGTH - 1
     sorted_parts = np.flatnonzero(~later)
-    own = _ranges((np.cumsum(sizes) - sizes)[sorted_parts], sizes[sorted_parts])
+    own = ranges((np.cumsum(sizes) - sizes)[sorted_parts], sizes[sorted_parts])
     runs = repeated_positions(parts[sorted_parts], text[own])
     segment = sorted_parts[runs["row"]]
     runs["start"] += parts["start"][segment]
@@ -359,10 +240,10 @@ def cut_texts(bodies: DataFrame, folder: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, runs = None, np.zeros(0, _RUN)
-        for group, number, piece in _slices(batches):
+        for group, number, piece in slices(batches):
             if group != current:
                 current = group
-                runs = np.frombuffer(_read_file(folder, group, "runs"), _RUN)
+                runs = np.frombuffer(read_file(folder, group, "runs"), _RUN)
                 runs = runs[np.argsort(runs["row"], kind="stable")]
             bounds = np.searchsorted(runs["row"], np.arange(number, number + piece.num_rows + 1))
             spans, kept = [], []
@@ -382,43 +263,20 @@ def cut_texts(bodies: DataFrame, folder: str) -> DataFrame:
     return bodies.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-def _with_copies(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:
-    """The rows with their bytes, and whether a row with a smaller id has the same; the bytes of all rows."""
-    body = F.encode(text_or_empty(named(docs, text_column)), "UTF-8")
-    rows = docs.select(named(docs, id_column).cast("long").alias("id"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    rows = rows.withColumn("order_id", F.coalesce("id", F.lit(NO_ID)))
-    digests = materialise(rows.select("digest", "order_id", F.octet_length("body").alias("size")), "text-digests")
-    total, size = digests.agg(F.count(F.lit(1)), F.sum("size")).first()
-    bits = filter_bits(total)
-    words = materialise(repeat_filter(digests, "digest", bits), "text-filter")
-    n_words = words.count()
-    firsts = (mark_repeats(digests, "digest", words, n_words, bits).filter("maybe_repeated")
-              .groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("order_id").alias("first"))
-              .filter("rows > 1"))
-    marked = mark_repeats(rows, "digest", words, n_words, bits)
-    looked_up = spread_lookup(marked.filter("maybe_repeated").drop("maybe_repeated"), firsts, "digest", "rows", total,
-                              spread_on=["id"])
-    checked = looked_up.withColumn("copy", F.coalesce(F.col("order_id") > F.col("first"), F.lit(False))).drop("first")
-    single = marked.filter(~F.col("maybe_repeated")).drop("maybe_repeated").withColumn("copy", F.lit(False))
-    out = single.unionByName(checked).select("id", "order_id", "body", F.octet_length("body").cast("long").alias("size"), "copy")
-    return materialise(out, "bodies"), size or 0
-
-
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` per row of ``docs``."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "suffixes")
-    stored, size = _with_copies(docs, id_column, text_column)
-    place = F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string"))
-    bodies = stored.select(place.alias("group"), "id", "order_id", "body", "size", "copy")
+    stored, size = with_copies(docs, id_column, text_column)
+    bodies = placed(stored)
     bits = max(0, math.ceil(math.log2(max(1, size / 15 / KEYS_PER_BUCKET))))  # about 18 positions share a key
     shards = max(1, math.ceil(size / BYTES_PER_SHARD))
 
-    keys = materialise(send_keys(bodies, bits), "keys")
-    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(_shared_codes, "group string, sent binary")
-    _send_back(keys.filter("bucket < 0").select("group", "sent").unionByName(shared), folder, "keys")
+    keys = materialise(send_keys(bodies, bits, lambda raw, lengths: segments(raw, lengths)[0]), "keys")
+    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(shared_codes, "group string, sent binary")
+    send_back(keys.filter("bucket < 0").select("group", "sent").unionByName(shared), folder, "keys")
 
     parts = materialise(send_segments(bodies, folder, bits, shards), "segments")
     sorted_runs = parts.filter("shard >= 0").groupBy("shard").applyInPandas(_sort_shard, "group string, sent binary")
-    _send_back(parts.filter("shard < 0").select("group", "sent").unionByName(sorted_runs), folder, "runs")
+    send_back(parts.filter("shard < 0").select("group", "sent").unionByName(sorted_runs), folder, "runs")
     return cut_texts(bodies, folder)
