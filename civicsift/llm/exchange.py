@@ -166,9 +166,11 @@ def with_copies(docs: DataFrame, id_column: str, text_column: str) -> tuple[Data
     marked = mark_repeats(rows, "digest", words, n_words, bits)
     looked_up = spread_lookup(marked.filter("maybe_repeated").drop("maybe_repeated"), firsts, "digest", "rows", total,
                               spread_on=["id"])
-    checked = looked_up.withColumn("copy", F.coalesce(F.col("order_id") > F.col("first"), F.lit(False))).drop("first")
-    single = marked.filter(~F.col("maybe_repeated")).drop("maybe_repeated").withColumn("copy", F.lit(False))
-    out = single.unionByName(checked).select("id", "order_id", "body", F.octet_length("body").cast("long").alias("size"), "copy")
+    checked = looked_up.withColumn("copy", F.coalesce(F.col("order_id") > F.col("first"), F.lit(False)))
+    single = marked.filter(~F.col("maybe_repeated")).drop("maybe_repeated").withColumns(
+        {"copy": F.lit(False), "first": F.lit(None).cast("long")})
+    out = single.unionByName(checked).select(
+        "id", "order_id", "body", F.octet_length("body").cast("long").alias("size"), "copy", "first")
     return materialise(out, "bodies"), size or 0
 
 

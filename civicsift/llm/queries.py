@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.llm import bpe, exact_dedup, mixing, multi_index, quality, simhash, suffix_dedup, url_filter, warc
+from civicsift.llm import bpe, exact_dedup, mixing, multi_index, passages, quality, simhash, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_passages(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     grouped = simhash.components_of(table(spark, folder, "documents").select("doc_id", "text"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_warc": op4_warc,
+    "op5_passages": op5_passages,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
