@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,11 @@ def unpacked(df: DataFrame, columns: list[str], row: str = "row") -> list[Column
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send texts to Python in batches of about ``BATCH_BYTES``, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -15,8 +15,9 @@ signatures; passages with a Jaccard similarity of s share a given pair with a ch
 4. classes: documents joined by verified passages, and copies of whole texts, form connected components.
 
 Defined cases: null texts count as empty; texts of fewer than ``WORDS`` words hold no passage, copies
-included. A null id counts as larger than all others and stays null. Documents of one id are not compared.
-An empty table gives an empty result.
+included. A null id counts as larger than all others and stays null. Rows of one id are parts of one
+document: they are not compared, and each of them lists the links and spans of all. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ WORDS = 50
 WIDTH = WORDS - SHINGLE + 1  # shingles of a passage
 SIMILARITY = 0.8
 PAIRS = 4
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 

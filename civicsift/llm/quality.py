@@ -31,7 +31,7 @@ WORD_SLOTS = 1 << 20
 SHAPE_SLOTS = 128
 BIAS = WORD_SLOTS + SHAPE_SLOTS
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 0.02, 0.02
-CACHED_TOKENS = 500_000
+CACHED_TOKENS = 150_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicsift.llm import bpe, exact_dedup, mixing, multi_index, passages, quality, simhash, suffix_dedup, url_filter, warc
+from civicsift.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,7 @@ def vocabulary_path() -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicsift.llm import bpe, exact_dedup, mixing, quality, simhash
-from civicsift.llm.common import unpacked, whole_row
+from civicsift.llm.common import small_batches, unpacked, whole_row
 from civicsift.llm.queries import QUALITY_THRESHOLD, quality_model, table, vocabulary_path
 from civicsift.session import materialise
 
@@ -30,6 +30,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of close fingerprints."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -40,6 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text."""
+    small_batches(spark)
     vocabulary = bpe.load_vocabulary(vocabulary_path())
     encoded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), vocabulary).alias("ids"))
     decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), vocabulary))
@@ -60,7 +62,7 @@ ORACLE_SQL = None  # a trained classifier, random rounding and a vocabulary file
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
