@@ -110,6 +110,11 @@ def _grams_of_size(words: Column, n: int) -> Column:
     return grams
 
 
+def is_number(text: Column) -> Column:
+    """Whether a text is a decimal number; casts also take forms like ``1d``."""
+    return text.rlike(rf"(?i)\A[{SPACE}]*[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf(?:inity)?)[{SPACE}]*\z")
+
+
 def token_count(cleaned: Column) -> Column:
     """Number of blank-separated tokens of a cleaned text."""
     return F.when(cleaned == "", F.lit(0)).otherwise(F.size(F.split(cleaned, " ")))

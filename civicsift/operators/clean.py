@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicsift.functions.text import dedupe_key, keep_if
+from civicsift.functions.text import dedupe_key, is_number, keep_if
 from civicsift.operators.checks import require_columns
 
 
@@ -34,9 +34,9 @@ def clean_comments(
         "_key", keep_if(dedupe_key(F.col(body)), lambda key: key != ""))
     at = _earliest_largest(keyed)
     rank = F.struct(*([] if keep_first else preference(comments.columns)), at.alias("at"))
-    rows = keyed.select("_key", rank.alias("_rank"), F.struct(*comments.columns).alias("_row"))
-    # the hash in front makes sorting by key cheap, the key itself keeps it exact
-    kept = rows.groupBy(F.xxhash64("_key").alias("_hash"), "_key").agg(F.max_by("_row", "_rank").alias("_row"))
+    # the digest stands for the text, which then neither moves nor is sorted by
+    rows = keyed.select(F.sha2("_key", 256).alias("_digest"), rank.alias("_rank"), F.struct(*comments.columns).alias("_row"))
+    kept = rows.groupBy("_digest").agg(F.max_by("_row", "_rank").alias("_row"))
     return kept.select("_row.*")
 
 
@@ -66,8 +66,9 @@ def sort_cleaned(cleaned: DataFrame, keep_first: bool = False) -> DataFrame:
 def clean_counts(comments: DataFrame, body: str = "body") -> DataFrame:
     """Rows read, blank rows removed, duplicate rows removed, rows left."""
     require_columns(comments, [body])
-    copies = comments.select(dedupe_key(F.col(body)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    blank = F.col("key") == ""
+    digests = comments.select(F.sha2(dedupe_key(F.col(body)), 256).alias("digest"))
+    copies = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    blank = F.col("digest") == F.sha2(F.lit(""), 256)
     return copies.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"),
         F.coalesce(F.sum(F.when(blank, F.col("n"))), F.lit(0)).alias("removed_empty"),
@@ -77,8 +78,8 @@ def clean_counts(comments: DataFrame, body: str = "body") -> DataFrame:
 
 
 def _number(value: Column) -> Column:
-    parsed = value.try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    text = value.cast("string")
+    return F.when(is_number(text), F.trim(text).try_cast("double"))
 
 
 def _earliest_largest(keyed: DataFrame) -> Column:

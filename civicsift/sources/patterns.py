@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from civicsift.constants import LABELS
 from civicsift.functions.regex import parse
 from civicsift.functions.rules import PatternSpec
-from civicsift.functions.text import strip
+from civicsift.functions.text import is_number, strip
 from civicsift.sources.files import exists, require_file
 
 # Patterns become parts of one expression, so a table must stay a hand-kept list.
@@ -43,7 +43,8 @@ def pattern_table(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     weight = F.when(F.size(cells) > 1, F.nullif(cells[1], F.lit("")))
     return table.select(
         "label", "line", cells[0].alias("pattern"),
-        F.coalesce(weight.cast("double"), F.lit(1.0)).alias("weight"),
+        F.when(weight.isNull(), 1.0).when(is_number(weight), F.trim(weight).cast("double")).otherwise(
+            F.raise_error(F.concat(F.lit("no number: "), weight)).cast("double")).alias("weight"),
     )
 
 
