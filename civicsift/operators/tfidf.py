@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicsift.functions.text import clean_text, model_tokens, ngrams
+from civicsift.functions.text import bind, clean_text, model_tokens, ngrams
 from civicsift.operators.prefix import spread_lookup
 from civicsift.session import shared_folder
 
@@ -54,16 +54,31 @@ def text_terms(text: Column, settings: VectorizerSettings) -> Column:
 
 
 def term_counts(docs: DataFrame, settings: VectorizerSettings, doc: str = "doc_id", text: str = "text",
-                keep_empty: bool = False) -> DataFrame:
+                keep_empty: bool = False, placed: bool = False) -> DataFrame:
     """``(doc, term, tf)``; ``keep_empty`` gives documents without terms one row with a null term.
 
-    Texts are placed by document before they are taken apart, so the counting that follows,
-    and any later grouping by document, needs no further shuffle.
+    Terms are counted inside the row, so nothing is shuffled and all rows of a document stay in one task.
+    With ``placed`` the texts are placed by document first, for uses that need all its rows together
+    afterwards: texts are smaller than their terms. ``doc`` must be unique.
     """
-    placed = docs.select(F.col(doc), F.col(text).alias("_text")).repartition(F.col(doc))
+    rows = docs.select(F.col(doc), F.col(text).alias("_text"))
+    rows = rows.repartition(F.col(doc)) if placed else rows
     explode = F.explode_outer if keep_empty else F.explode
-    terms = placed.select(doc, explode(text_terms(F.col("_text"), settings)).alias("term"))
-    return terms.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    cells = rows.select(doc, explode(counted(text_terms(F.col("_text"), settings))).alias("_cell"))
+    return cells.select(doc, F.col("_cell.term").alias("term"), F.col("_cell.tf").alias("tf"))
+
+
+def counted(terms: Column) -> Column:
+    """``(term, tf)`` of every distinct term: the list is sorted, and a count is the length of a run."""
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda at: (at == 0) | (F.get(ordered, at) != F.get(ordered, at - 1)))
+        return bind(starts, lambda found: F.transform(found, lambda at, place: F.struct(
+            F.get(ordered, at).alias("term"),
+            (F.coalesce(F.get(found, place + 1), size) - at).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return bind(F.sort_array(terms), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered)).otherwise(none))
 
 
 def document_frequency(docs: DataFrame, settings: VectorizerSettings, text: str = "text") -> DataFrame:
@@ -147,7 +162,7 @@ def with_vocabulary(counts: DataFrame, table: DataFrame, terms: int, how: str =
 def weighted_terms(docs: DataFrame, vocabulary: Vocabulary, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, term, idx, value)`` before normalisation."""
     settings = vocabulary.settings
-    counts = term_counts(docs, settings, doc, text)
+    counts = term_counts(docs, settings, doc, text, placed=True)
     known = with_vocabulary(counts, vocabulary.table, vocabulary.terms)
     value = tf_weight(F.col("tf"), settings)
     if settings.use_idf:
