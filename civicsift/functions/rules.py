@@ -35,8 +35,12 @@ def finds_any(text: Column, specs: Sequence[PatternSpec]) -> Column:
 
 
 def matching_patterns(text: Column, specs: Sequence[PatternSpec], labels: Sequence[str]) -> Column:
-    """Patterns found in ``text``, in table order: array of (label, regex, weight)."""
-    none = F.array().cast("array<struct<label:string,regex:string,weight:double>>")
+    """Patterns found in ``text``, in table order: array of (label, weight, matches, gaps).
+
+    ``matches`` are the matched texts and ``gaps`` the texts between them. They are taken here, where the
+    regex is a literal that is compiled once, and only for patterns that occur.
+    """
+    none = F.array().cast("array<struct<label:string,weight:double,matches:array<string>,gaps:array<string>>>")
     parts = []
     for label in labels:
         own = [spec for spec in specs if spec.label == label]
@@ -47,8 +51,9 @@ def matching_patterns(text: Column, specs: Sequence[PatternSpec], labels: Sequen
             regex = java_pattern(spec.pattern)
             row = F.struct(
                 F.lit(label).alias("label"),
-                F.lit(regex).alias("regex"),
                 F.lit(float(spec.intensity)).alias("weight"),
+                F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("matches"),
+                F.split(text, regex, -1).alias("gaps"),
             )
             rows.append(F.when(text.rlike(regex), row))
         found = F.filter(F.array(*rows), lambda row: row.isNotNull())
@@ -77,10 +82,8 @@ def negated(lowered: Column, start: Column, negators: Sequence[str], window: int
     return bind(near, before_last)
 
 
-def kept_matches(text: Column, lowered: Column, regex: Column, negators: Sequence[str], window: int) -> Column:
-    """Number of non-overlapping matches of ``regex`` in ``text`` that no negator suppresses."""
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, regex, -1)
+def kept_matches(lowered: Column, matches: Column, gaps: Column, negators: Sequence[str], window: int) -> Column:
+    """Number of ``matches``, parted by ``gaps``, that no negator in the ``lowered`` text suppresses."""
     steps = F.zip_with(
         gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("match"))
     )

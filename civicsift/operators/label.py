@@ -38,7 +38,7 @@ def label_comments(
         "_found": F.when(F.col("_candidate"), matching_patterns(text, patterns, LABELS)),
         "_lower": F.when(F.col("_candidate"), F.lower(text)),
     })
-    hits = found.withColumn("_hits", _count_hits(text, F.col("_lower"), F.col("_found"), negators, window))
+    hits = found.withColumn("_hits", _count_hits(F.col("_lower"), F.col("_found"), negators, window))
     raw = hits.withColumn("_raw", settled(F.when(F.size("_hits") > 0, severities(F.col("_hits"), LABELS))))
     columns = {}
     for i, label in enumerate(LABELS):
@@ -62,13 +62,13 @@ def score_map(labels: Sequence[str] = tuple(LABELS)) -> Column:
         F.array(*[F.lit(label) for label in labels]), F.array(*[F.col(f"{label}_score") for label in labels]))
 
 
-def _count_hits(text: Column, lowered: Column, found: Column, negators: Sequence[str], window: int) -> Column:
+def _count_hits(lowered: Column, found: Column, negators: Sequence[str], window: int) -> Column:
     return F.transform(
         found,
         lambda row: F.struct(
             row["label"].alias("label"),
             row["weight"].alias("weight"),
-            kept_matches(text, lowered, row["regex"], negators, window).alias("kept"),
+            kept_matches(lowered, row["matches"], row["gaps"], negators, window).alias("kept"),
         ),
     )
 
