@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from civicsift.constants import VOCABULARY_SHARD
 from civicsift.functions.text import strip
-from civicsift.operators.model import TextModel
+from civicsift.operators.model import CLASSIFIER, TextModel
 from civicsift.operators.tfidf import VectorizerSettings
 from civicsift.session import scratch_path
 from civicsift.sources.files import exists, publish, require_file, swap_into, write_document
@@ -38,7 +38,7 @@ def save_model(model: TextModel, folder: str) -> None:
     model.vocabulary.write.parquet(f"{fresh}/vocabulary")
     document = {
         "labels": model.labels, "thresholds": model.thresholds, "intercepts": model.intercepts,
-        "terms": model.terms, "settings": asdict(model.settings),
+        "terms": model.terms, "settings": asdict(model.settings), "classifier": model.classifier,
     }
     _write_json(spark, document, f"{fresh}/model.json")
     swap_into(spark, fresh, folder)
@@ -53,6 +53,7 @@ def load_model(spark: SparkSession, folder: str) -> TextModel:
     return TextModel(
         VectorizerSettings(**settings), document["labels"], document["thresholds"], document["intercepts"],
         spark.read.parquet(require_file(spark, f"{folder}/vocabulary")), document["terms"],
+        document.get("classifier", dict(CLASSIFIER)),
     )
 
 
@@ -72,7 +73,7 @@ def export_json(model: TextModel, folder: str, shard: int = VOCABULARY_SHARD, co
     head = {
         "labels": model.labels, "thresholds": model.thresholds,
         "classifier": {
-            "coefficients_file": COEFFICIENTS, "intercepts_file": INTERCEPTS, "solver": "lbfgs", "penalty": "l2",
+            "coefficients_file": COEFFICIENTS, "intercepts_file": INTERCEPTS, **model.classifier,
             "n_classes": len(model.labels), "n_features": model.terms,
         },
         "vectorizer": {
@@ -145,7 +146,9 @@ def load_json(spark: SparkSession, folder: str) -> TextModel:
     zeros = F.array(*[F.lit(0.0) for _ in labels])
     table = vocabulary.join(idf, "idx", "left").join(coefficients, "idx", "left").select(
         "term", "idx", "idf", F.coalesce("coef", zeros).alias("coef"))
-    return TextModel(_settings(vectorizer), labels, thresholds, intercepts, table, vocabulary.count())
+    fitted = metadata["classifier"].asDict() if metadata["classifier"] else {}
+    classifier = {name: value if fitted.get(name) is None else fitted[name] for name, value in CLASSIFIER.items()}
+    return TextModel(_settings(vectorizer), labels, thresholds, intercepts, table, vocabulary.count(), classifier)
 
 
 def load_vocabulary(spark: SparkSession, folder: str, names: Sequence[str] = ()) -> DataFrame:
@@ -197,17 +200,19 @@ def line_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 _VECTORIZER = (
-    "struct<ngram_range:array<double>,min_df:double,max_df:double,sublinear_tf:boolean,use_idf:boolean,"
+    "struct<ngram_range:array<double>,min_df:string,max_df:string,sublinear_tf:boolean,use_idf:boolean,"
     "smooth_idf:boolean,norm:string,lowercase:boolean,token_pattern:string,stop_words:array<string>,"
     "binary:boolean,vocabulary_size:long,vocabulary_files:array<string>,idf:array<double>>"
 )
-_METADATA = f"labels array<string>, thresholds map<string,double>, vectorizer {_VECTORIZER}"
+_CLASSIFIER = "struct<solver:string,penalty:string,C:double,max_iter:int>"
+_METADATA = (f"labels array<string>, thresholds map<string,double>, classifier {_CLASSIFIER}, "
+             f"vectorizer {_VECTORIZER}")
 
 
 def _metadata(spark: SparkSession, path: str):
     frame = spark.read.schema(_METADATA).json(require_file(spark, path), multiLine=True)
     without_idf = F.when(F.col("vectorizer").isNotNull(), F.col("vectorizer").dropFields("idf"))
-    return frame.select("labels", "thresholds", without_idf.alias("vectorizer")).first()
+    return frame.select("labels", "thresholds", "classifier", without_idf.alias("vectorizer")).first()
 
 
 def _settings(raw) -> VectorizerSettings:
@@ -224,8 +229,9 @@ def _settings(raw) -> VectorizerSettings:
     )
 
 
-def _count(value: float | None) -> float:
-    return 1 if value is None else int(value) if value >= 1 and float(value).is_integer() else value
+def _count(value: str | None) -> float:
+    """A cut-off as its JSON number says: 1 counts documents, 1.0 is a share."""
+    return 1 if value is None else int(value) if value.lstrip("-").isdigit() else float(value)
 
 
 def _map(spark: SparkSession, path: str) -> dict[str, float] | None:
