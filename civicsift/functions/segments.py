@@ -9,6 +9,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from civicsift.functions.text import bind
+
 # white space as scripts in a page know it
 _BLANK = r"\t\n\x0B\f\r\x{FEFF}\p{Z}"
 
@@ -16,12 +18,14 @@ SENTENCE = rf"[^.!?\n\r]+[.!?\x{{2026}}]*[{_BLANK}]*"
 
 MARK = 'data-masked="placeholder"'
 
-# Elements whose text is never looked at: outside the body, not shown, or already masked.
+# Elements whose text is never looked at: not shown, or already masked. The head is not among them, since
+# its end tag may be missing; whatever text it can hold lies in one of these.
 _OPAQUE = (
-    r"<(head|script|style|noscript|textarea)\b[^>]*+>.*?(?:</\1[^>]*>|\z)"
+    r"<(title|script|style|noscript|textarea|template)\b[^>]*+>.*?(?:</\1\s*>|\z)"
     rf"|<span [^>]*{MARK}[^>]*>.*?(?:</span>|\z)"
 )
-_TAG = r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-z][^>]*+>"""
+# a quote opens a value only right after the equals sign
+_TAG = r"""</?[a-z](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>|</?[a-z][^>]*+>"""
 _TEXT = r"(?:[^<]++|<(?![a-z/!?]))++"
 PIECE = rf"(?is){_OPAQUE}|<!--.*?(?:-->|\z)|<[!?/][^>]*+>|{_TAG}|{_TEXT}|<"
 
@@ -57,27 +61,60 @@ def is_text(piece: Column) -> Column:
     return ~piece.rlike(r"(?i)\A<(?:[a-z/!?]|\z)")
 
 
-def editable_flags(parts: Column) -> Column:
-    """Per piece, whether it lies in an element with ``contenteditable``."""
-    def step(state: Column, piece: Column) -> Column:
+# fixed values: elements that have no content and no end tag
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+_EDITABLE = r"""(?i)\scontenteditable(?:\s*=\s*["']?(?:true|plaintext-only|["'])|[\s/>])"""
+_FIXED = r"""(?i)\scontenteditable\s*=\s*["']?false"""
+
+
+def editable_changes(parts: Column) -> Column:
+    """The pieces after which being editable changes: array of (after, on), in order.
+
+    Elements with ``contenteditable`` form a stack; the innermost decides. Each knows how many
+    elements of its own name are open inside it, so that it closes with the right end tag.
+    """
+    def step(state: Column, part: Column) -> Column:
+        piece, at = part["piece"], part["at"]
         name = F.lower(F.regexp_extract(piece, r"\A</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-        opens = piece.rlike(r"\A<[a-zA-Z]") & ~piece.endswith("/>")
+        opens = piece.rlike(r"\A<[a-zA-Z]") & ~piece.endswith("/>") & ~name.isin(*_VOID)
         closes = piece.rlike(r"\A</")
-        starts = opens & piece.rlike(r"""(?i)\scontenteditable(?:\s*=\s*["']?(?:true|plaintext-only|["'])|[\s>])""")
-        inside = state["depth"] > 0
-        same = inside & (name == state["name"])
-        depth = F.when(~inside & starts, F.lit(1)) \
-            .when(same & opens, state["depth"] + 1).when(same & closes, state["depth"] - 1) \
-            .otherwise(state["depth"])
-        return F.struct(
-            F.when(~inside & starts, name).otherwise(state["name"]).alias("name"),
-            depth.alias("depth"),
-            F.concat(state["flags"], F.array(inside)).alias("flags"),
-        )
+        on, off = piece.rlike(_EDITABLE), piece.rlike(_FIXED)
+        stack = state["stack"]
+        top = F.get(stack, F.size(stack) - 1)
+        rest = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        same = (F.size(stack) > 0) & (top["name"] == name)
+
+        def entry(depth: Column, editable: Column) -> Column:
+            return F.array(F.struct(name.alias("name"), depth.alias("depth"), editable.alias("on")))
+
+        grown = F.when(opens & (on | off), F.concat(stack, entry(F.lit(1), on))) \
+            .when(opens & same, F.concat(rest, entry(top["depth"] + 1, top["on"]))) \
+            .when(closes & same & (top["depth"] > 1), F.concat(rest, entry(top["depth"] - 1, top["on"]))) \
+            .when(closes & same, rest).otherwise(stack)
+
+        def state_of(after: Column) -> Column:
+            before = F.coalesce(top["on"], F.lit(False))
+            now = F.coalesce(F.get(after, F.size(after) - 1)["on"], F.lit(False))
+            change = F.array(F.struct(at.alias("after"), now.alias("on")))
+            changes = F.when(before != now, F.concat(state["changes"], change)).otherwise(state["changes"])
+            return F.struct(after.alias("stack"), changes.alias("changes"))
+
+        return F.when(opens | closes, bind(grown, state_of)).otherwise(state)
 
     zero = F.struct(
-        F.lit("").alias("name"), F.lit(0).alias("depth"), F.array().cast("array<boolean>").alias("flags"))
-    return F.aggregate(parts, zero, step, lambda state: state["flags"])
+        F.array().cast("array<struct<name:string,depth:int,on:boolean>>").alias("stack"),
+        F.array().cast("array<struct<after:int,on:boolean>>").alias("changes"))
+    tags = F.filter(
+        F.transform(parts, lambda piece, at: F.struct(piece.alias("piece"), at.alias("at"))),
+        lambda part: part["piece"].rlike(r"\A</?[a-zA-Z]"))
+    return F.aggregate(tags, zero, step, lambda state: state["changes"])
+
+
+def is_editable(changes: Column, at: Column) -> Column:
+    """Whether piece ``at`` lies in an editable element, given ``editable_changes``."""
+    before = F.filter(changes, lambda change: change["after"] < at)
+    return F.coalesce(F.get(before, F.size(before) - 1)["on"], F.lit(False))
 
 
 def unescape(text: Column) -> Column:
@@ -89,8 +126,8 @@ def unescape(text: Column) -> Column:
     remapped = F.from_json(F.lit(json.dumps(codes)), "map<string,string>")
 
     def decode(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"\A&#([0-9]{1,9});\z", 1)
-        hexes = F.regexp_extract(part, r"\A&#[xX]([0-9a-fA-F]{1,7});\z", 1)
+        digits = F.regexp_extract(part, r"\A&#0*([0-9]{1,9});\z", 1)
+        hexes = F.regexp_extract(part, r"\A&#[xX]0*([0-9a-fA-F]{1,7});\z", 1)
         code = F.when(digits != "", digits.try_cast("long")).when(
             hexes != "", F.conv(hexes, 16, 10).try_cast("long"))
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)

@@ -92,8 +92,8 @@ def _nodes(page: Column) -> Column:
         return F.filter(decoded, lambda part: part["text"].rlike(_WORD))
 
     def build_editable(parts: Column) -> Column:
-        return bind(seg.editable_flags(parts), lambda flags: F.filter(
-            build(parts), lambda part: ~F.element_at(flags, part["node"] + 1)))
+        return bind(seg.editable_changes(parts), lambda changes: F.filter(
+            build(parts), lambda part: ~seg.is_editable(changes, part["node"])))
 
     editable = page.rlike("(?i)contenteditable")
     return bind(

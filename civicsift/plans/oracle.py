@@ -158,6 +158,9 @@ WITH prep AS (
 _TRUTH = """truth AS (SELECT doc_id, doc_id % 50 AS post_id, n_chars, toxic, quality
   FROM documents JOIN labels USING (doc_id))"""
 
+_ALL_THREADS = """truth AS (SELECT doc_id, doc_id % 50 AS post_id, n_chars, coalesce(toxic, 0) AS toxic,
+  coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id))"""
+
 _EVAL = f"""
 WITH {_TRUTH},
 ev AS (
@@ -182,7 +185,7 @@ a AS (SELECT label, sum(pos / positives * tp / (tp + fp)) AS average_precision,
 
 _PAGE_PIECE = (
     "(?is)"
-    + "|".join(rf"<{name}\b[^>]*>.*?</{name}[^>]*>" for name in ("head", "script", "style", "noscript", "textarea"))
+    + "|".join(rf"<{name}\b[^>]*>.*?</{name}\s*>" for name in ("title", "script", "style", "noscript", "textarea", "template"))
     + r"""|<!--.*?-->|<[!?/][^>]*>|</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<"""
 ).replace("'", "''")
 
@@ -314,9 +317,9 @@ SELECT comment_id, post_id, created_utc, toxic::INTEGER AS toxic, insult::INTEGE
 SELECT lang AS split, count(*) AS rows,
   count(*) FILTER ({_clean("regexp_replace(text, '[A-Za-z]', '', 'g')")} = '') AS blank_rows
 FROM documents GROUP BY lang""",
-    "thread_labels": f"""WITH {_TRUTH}
+    "thread_labels": f"""WITH {_ALL_THREADS}
 SELECT post_id, max(toxic) AS toxic, max(quality) AS quality, count(*) AS n_comments FROM truth GROUP BY post_id""",
-    "thread_split": f"""WITH {_TRUTH},
+    "thread_split": f"""WITH {_ALL_THREADS},
 th AS (SELECT post_id, max(toxic)::VARCHAR || max(quality)::VARCHAR AS stratum FROM truth GROUP BY post_id),
 o AS (SELECT post_id, (row_number() OVER (ORDER BY stratum, (post_id * 2654435761) % 4294967296, post_id) - 1) % 6 AS m
   FROM th)

@@ -186,13 +186,20 @@ def truth_frame(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(truth, "doc_id").withColumn("post_id", F.col("doc_id") % 50)
 
 
+def thread_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their threads; those without truth count as unlabelled."""
+    docs = table(spark, folder, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 50).alias("post_id"))
+    truth = table(spark, folder, "labels").select("doc_id", "toxic", "quality")
+    return docs.join(truth, "doc_id", "left").na.fill(0, ["toxic", "quality"])
+
+
 def thread_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return split.thread_labels(truth_frame(spark, folder).drop("text"), ["toxic", "quality"])
+    return split.thread_labels(thread_frame(spark, folder), ["toxic", "quality"])
 
 
 def thread_split(spark: SparkSession, folder: str) -> DataFrame:
     order = (F.col("post_id") * F.lit(2654435761)) % F.lit(1 << 32)
-    frame = truth_frame(spark, folder).select("doc_id", "post_id", "toxic", "quality")
+    frame = thread_frame(spark, folder).select("doc_id", "post_id", "toxic", "quality")
     return split.thread_stratified_split(frame, ["toxic", "quality"], order=order)
 
 
