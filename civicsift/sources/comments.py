@@ -15,20 +15,12 @@ from pyspark.sql import types as T
 
 from civicsift.session import scratch_path
 from civicsift.sources.files import exists, find_files, first_lines, qualified, swap_into
-from civicsift.sources.split_csv import read_split_csv
 
 SOURCE = "source_subreddit"
 POSITION = "_position"
 _CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-# The numbers of files are broadcast (about 150 bytes a file).
-MAX_FILES = 1_000_000
-
-# Files from this size on are read in pieces.
-SPLIT_BYTES = 1 << 30
-
-
 def find_comment_files(spark: SparkSession, root: str, name: str = "comments.csv") -> list[str]:
     return [path for path, _ in find_files(spark, root, name)]
 
@@ -54,7 +46,9 @@ def read_csv(spark: SparkSession, paths: Sequence[str] | str, header: Sequence[s
 def safe_read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Like ``read_csv``; an unreadable path gives a warning and an empty frame."""
     try:
-        return read_csv(spark, path)
+        frame = read_csv(spark, path)
+        frame.isEmpty()  # reads the first row, since errors of the read itself come up only then
+        return frame
     except (PySparkException, FileNotFoundError, OSError, ValueError) as problem:
         warnings.warn(f"failed to read {path}: {problem}", stacklevel=2)
         return spark.createDataFrame([], T.StructType([]))
@@ -68,27 +62,21 @@ def load_comments(spark: SparkSession, path: str) -> DataFrame:
     return frame
 
 
-def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, position: bool = False,
-                   split_files: bool | None = None) -> DataFrame:
+def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, position: bool = False) -> DataFrame:
     """Every ``comments.csv`` below ``root`` as one frame, tagged with its community.
 
     Files are grouped by header line, since Spark applies one header to all files of a read;
     the groups are then joined by column name. ``position=True`` keeps the input order
-    (file, row in file) in ``_position``. ``split_files`` reads files in parallel pieces although
-    their cells hold line breaks; if not given, it depends on the largest file.
+    (file, row in file) in ``_position``. A file is read by one task, whatever its size, because cells
+    may hold line breaks; ``multi_line=False`` promises that none do, and lets files be split.
     """
-    found = find_files(spark, root, "comments.csv")
-    files = [path for path, _ in found]
-    if split_files is None:
-        split_files = multi_line and any(size >= SPLIT_BYTES for _, size in found)
+    files = find_comment_files(spark, root)
     if not files:
         raise ValueError(f"no comments.csv files found under {root}")
     groups: dict[tuple[str, ...], list[str]] = {}
     for path, line in zip(files, first_lines(spark, files)):
         groups.setdefault(tuple(header_of(line)), []).append(path)
     base = qualified(spark, root).rstrip("/")
-    if position and len(files) > MAX_FILES:
-        raise ValueError(f"positions are kept for up to {MAX_FILES} files at a time")
     # one small row per file, which the driver has listed anyway
     numbers = spark.createDataFrame(list(enumerate(files)), "file long, path string") if position else None
     frames = []
@@ -98,15 +86,12 @@ def merge_comments(spark: SparkSession, root: str, multi_line: bool = True, posi
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
         path = decoded_path(F.col("_metadata.file_path"))
         cells = [F.col(f"`{name}`") for name in header]
-        if split_files:
-            raw = read_split_csv(spark, paths, header, path)
-        else:
-            raw = spark.read.options(**_CSV).option("multiLine", multi_line).schema(schema).csv(paths).select(
-                *cells, path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-                F.monotonically_increasing_id().alias("_row"))
+        raw = spark.read.options(**_CSV).option("multiLine", multi_line).schema(schema).csv(paths).select(
+            *cells, path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"))
         tagged = raw.select(source_tag(F.col("_path"), base).alias(SOURCE), *cells, "_path", "_block", "_row")
         if position:
-            tagged = tagged.join(F.broadcast(numbers), tagged["_path"] == numbers["path"], "left").withColumn(
+            tagged = tagged.join(numbers, tagged["_path"] == numbers["path"], "left").withColumn(
                 POSITION, F.struct("file", F.col("_block").alias("block"), F.col("_row").alias("row")))
         frames.append(tagged.select(SOURCE, *cells, *([POSITION] if position else [])))
     return concat_frames(frames)
