@@ -64,7 +64,7 @@ def is_text(piece: Column) -> Column:
 # fixed values: elements that have no content and no end tag
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
-_EDITABLE = r"""(?i)\scontenteditable(?:\s*=\s*["']?(?:true|plaintext-only|["'])|[\s/>])"""
+_EDITABLE = r"""(?i)\scontenteditable(?:\s*=\s*(?:["']?(?:true|plaintext-only)|""|'')|\s*+[^=\s])"""
 _FIXED = r"""(?i)\scontenteditable\s*=\s*["']?false"""
 
 
@@ -72,7 +72,8 @@ def editable_changes(parts: Column) -> Column:
     """The pieces after which being editable changes: array of (after, on), in order.
 
     Elements with ``contenteditable`` form a stack; the innermost decides. Each knows how many
-    elements of its own name are open inside it, so that it closes with the right end tag.
+    elements of its own name are open inside it, so that it closes with the right end tag. The time grows with the
+    tags of a page, and with the square of its editable regions.
     """
     def step(state: Column, part: Column) -> Column:
         piece, at = part["piece"], part["at"]

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ def test_texts_are_masked_by_sentence(spark):
     assert [got[i] for i in range(len(TEXTS))] == [masked_text(t) for t in TEXTS]
 
 
+HIT = '<span data-masked="placeholder">&lt;this sentence was removed for toxic, insult&gt;</span>'
 PAGES = {
     "plain": ("<p>ok</p>", "<p>ok</p>"),
     "hit": ("<p>You <b>idiot</b> ok. idiots. yes</p>",
@@ -56,6 +58,12 @@ PAGES = {
     "entity": ("<i>a &amp; b. id&#105;ot &lt;x&gt;</i>",
                '<i>a &amp; b. <span data-masked="placeholder">&lt;this sentence was removed for toxic, insult&gt;</span></i>'),
     "kept entity": ("<i>a &amp; b &nbsp; &foo;</i>",) * 2,
+    "head without end": ("<head><title>idiot</title><meta x><body><p>idiot</p>", f"<head><title>idiot</title><meta x><body><p>{HIT}</p>"),
+    "header": ("<script>idiot</script ><header>idiot</header>", f"<script>idiot</script ><header>{HIT}</header>"),
+    "void": ('<input contenteditable="true"><p>idiot</p>', f'<input contenteditable="true"><p>{HIT}</p>'),
+    "nested": ('<div contenteditable="true">idiot<p contenteditable="false">idiot<p>idiot</p></p>idiot</div>idiot',
+               f'<div contenteditable="true">idiot<p contenteditable="false">{HIT}<p>{HIT}</p></p>idiot</div>{HIT}'),
+    "apostrophe": ("<p title=it's>idiot</p><p title='a > b'>it's idiot</p>", f"<p title=it's>{HIT}</p><p title='a > b'>{HIT}</p>"),
     "quoted": ('<a title="x > idiot">fine</a>',) * 2,
 }
 
@@ -74,9 +82,17 @@ def test_pages(spark):
     assert ("entity", "a & b. idiot <x>") in nodes and ("editable", "idiot ") not in nodes
 
 
+def test_long_page_with_an_editable_part(spark):
+    page = "<b>idiot</b><i>fine</i>" * 16_000 + '<div contenteditable="true"><b>idiot</b></div>' + "<i>x</i>" * 10
+    frame = spark.createDataFrame([("long", page)], "page_id string, html string")
+    began = time.monotonic()
+    assert mask.page_nodes(frame).count() == 32_010
+    assert time.monotonic() - began < 60
+
+
 def test_unescape_matches_python(spark):
     texts = ["a &amp; b", "&lt;&gt;&quot;&apos;", "&#65;&#x42;&#X43;", "&unknown; & &;", "&#128;&#x96;", "&#0;&#xD800;",
-             "&#9999999;", "&nbsp;&eacute;&hearts;", "no entity", "&amp;lt;", "&#x1F600;"]
+             "&#9999999;", "&#0000000065;&#x00000041;&#00000000000;", "&nbsp;&eacute;&hearts;", "no entity", "&amp;lt;", "&#x1F600;"]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r["i"]: r["v"] for r in frame.select("i", seg.unescape(F.col("t")).alias("v")).collect()}
     for i, text in enumerate(texts):
