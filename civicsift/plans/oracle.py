@@ -317,6 +317,9 @@ SELECT comment_id, post_id, created_utc, toxic::INTEGER AS toxic, insult::INTEGE
 SELECT lang AS split, count(*) AS rows,
   count(*) FILTER ({_clean("regexp_replace(text, '[A-Za-z]', '', 'g')")} = '') AS blank_rows
 FROM documents GROUP BY lang""",
+    "fit_optimum": f"""WITH {_TRUTH}
+SELECT label, count(*) AS rows, sum(y)::BIGINT AS positives, true AS optimal FROM (
+  SELECT 'toxic' AS label, toxic AS y FROM truth UNION ALL SELECT 'quality', quality FROM truth) GROUP BY label""",
     "thread_labels": f"""WITH {_ALL_THREADS}
 SELECT post_id, max(toxic) AS toxic, max(quality) AS quality, count(*) AS n_comments FROM truth GROUP BY post_id""",
     "thread_split": f"""WITH {_ALL_THREADS},

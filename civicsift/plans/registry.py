@@ -21,7 +21,7 @@ from civicsift.functions.text import (
 from civicsift.operators import clean, label, mask, metrics, model, prepare, split, stats, tfidf
 from civicsift.plans.lexicon import PATTERNS, QUERY_NEGATORS
 from civicsift.plans.pipeline import train
-from civicsift.session import scratch_path, spread
+from civicsift.session import materialise, scratch_path, spread
 from civicsift.sources import artifacts, comments, reports
 from civicsift.streaming import scan
 
@@ -411,6 +411,15 @@ def train_model(spark: SparkSession, folder: str) -> DataFrame:
     return trained.test_scores.select("row_id", F.inline(F.arrays_zip("y", "probs", "preds")))
 
 
+def fit_optimum(spark: SparkSession, folder: str) -> DataFrame:
+    """What a fit on all documents with truth learned from, and whether it reached the optimum."""
+    rows = truth_frame(spark, folder).select("doc_id", clean_text(F.col("text")).alias("body_clean"), "toxic", "quality")
+    rows = materialise(rows, "fit-rows")
+    fitted = model.fit_model(rows, ["toxic", "quality"], doc="doc_id", max_iter=200)
+    found = model.largest_gradients(rows, fitted, "doc_id", "body_clean")
+    return found.select("label", "rows", "positives", (F.col("gradient") < 1e-3).alias("optimal"))
+
+
 QUERIES: dict[str, Query] = {
     "merge_union": merge_union,
     "csv_roundtrip": csv_roundtrip,
@@ -462,4 +471,5 @@ QUERIES: dict[str, Query] = {
     "stream_score": stream_score,
     "stream_mask": stream_mask,
     "train_model": train_model,
+    "fit_optimum": fit_optimum,
 }
