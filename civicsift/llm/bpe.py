@@ -32,10 +32,10 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 _MARKS = frozenset(".,;:!?")
 
-# These bound the memory of a Python worker: two of them run per task, one that encodes and one that decodes.
-CACHED_UNITS = 250_000
-PENDING_UNITS = 150_000
-SLICE_CHARS = 3_000_000
+# These bound the memory of a Python worker.
+CACHED_UNITS = 150_000
+PENDING_UNITS = 100_000
+SLICE_CHARS = 2_000_000
 SLICE_IDS = 500_000
 
 
@@ -303,6 +303,20 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
     return encoded.asNondeterministic()(text)
 
 
+def round_trip(text: Column, vocabulary: Vocabulary) -> Column:
+    """``struct<ids: array<int>, text: string>``: the ids of a text and what they decode to, by one Python worker."""
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(vocabulary)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            ids = _lists([encoder.encode(batch.slice(a, b - a).to_pylist()) for a, b in _slices(sizes, SLICE_CHARS)])
+            yield pa.StructArray.from_arrays([ids, decode_lists(vocabulary, ids)], ["ids", "text"])
+
+    return there_and_back.asNondeterministic()(text)
+
+
 def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     ids = np.concatenate([ids for ids, _ in parts]) if parts else np.zeros(0, np.int32)
     offsets, shift = [np.zeros(1, np.int64)], 0

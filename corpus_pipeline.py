@@ -43,10 +43,10 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether they decode to its text."""
     small_batches(spark)
     vocabulary = bpe.load_vocabulary(vocabulary_path())
-    encoded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), vocabulary).alias("ids"))
-    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), vocabulary))
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = docs.select("doc_id", "lang", "source", "text", bpe.round_trip(F.col("text"), vocabulary).alias("coded"))
+    return coded.select("doc_id", "lang", "source", F.size("coded.ids").cast("long").alias("n_tokens"),
+                        F.col("coded.ids").alias("ids"),
+                        (F.col("coded.text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Stage]] = [

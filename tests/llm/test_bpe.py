@@ -61,4 +61,6 @@ def test_round_trip_of_messy_rows(messy, nothing, vocabulary, library, monkeypat
     assert len(rows) == messy.count()
     for row in rows:
         assert row.own_ids == library.encode(row.text or "", add_special_tokens=False).ids and row.own_text == (row.text or "")
+    both = messy.select("text", bpe.round_trip(F.col("text"), vocabulary).alias("coded")).collect()
+    assert sorted((r.text or "", r.coded.ids, r.coded.text) for r in both) == sorted((r.text or "", r.own_ids, r.own_text) for r in rows)
     assert nothing.withColumn("own_ids", bpe.encode(F.col("text"), vocabulary)).collect() == []
