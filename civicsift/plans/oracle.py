@@ -273,6 +273,14 @@ SELECT source_subreddit, count(*) AS size, sum(toxic_bin)::BIGINT AS toxic_rows,
   (count(*) - sum(toxic_bin))::BIGINT AS clean_rows,
   round(sum(toxic_bin) / count(*) * 100, 6)::DOUBLE AS toxic_percent FROM l GROUP BY source_subreddit""",
     "label_source_detail": f"{_labeled()} SELECT * FROM ({_DETAIL}) WHERE positives > 0",
+    "label_report": f"{_labeled()} SELECT rpad(label, 14, ' ') || ': ' || positives AS line FROM ({_COUNTS})",
+    "source_label_report": f"""{_labeled()}
+SELECT source_subreddit, rpad(label, 14, ' ') || ': ' || positives AS line FROM ({_DETAIL}) WHERE positives > 0""",
+    "clean_report": f"""
+WITH k AS (SELECT {_key('text')} AS k FROM documents),
+c AS (SELECT count(*) AS n, count(*) FILTER (k = '') AS e, count(DISTINCT k) FILTER (k <> '') AS d FROM k)
+SELECT unnest(['Input rows: ' || n, 'Removed empty/url-only bodies: ' || e,
+  'Removed duplicate bodies: ' || (n - e - d), 'Output rows: ' || d]) AS line FROM c""",
     "label_then_clean": f"""{_labeled()}
 SELECT comment_id, source_subreddit, toxic_score, labels FROM (
   SELECT *, row_number() OVER (PARTITION BY {_key('text')}

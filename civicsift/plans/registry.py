@@ -144,6 +144,18 @@ def overall_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.overall_lines(stats.overall_toxicity(labeled(spark, folder)))
 
 
+def label_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.label_lines(stats.label_counts(labeled(spark, folder)))
+
+
+def source_label_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.label_lines(stats.source_labels(labeled(spark, folder)), "source_subreddit")
+
+
+def clean_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.clean_lines(clean_counts(spark, folder))
+
+
 def summary_report(spark: SparkSession, folder: str) -> DataFrame:
     return reports.summary_table(stats.dataset_summary(prepared(spark, folder)))
 
@@ -437,6 +449,9 @@ QUERIES: dict[str, Query] = {
     "source_report": source_report,
     "overall_report": overall_report,
     "summary_report": summary_report,
+    "label_report": label_report,
+    "source_label_report": source_label_report,
+    "clean_report": clean_report,
     "dataset_summary": dataset_summary,
     "label_distribution": label_distribution,
     "length_histogram": length_histogram,

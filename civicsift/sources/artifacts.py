@@ -15,7 +15,7 @@ from civicsift.functions.text import strip
 from civicsift.operators.model import CLASSIFIER, TextModel
 from civicsift.operators.tfidf import VectorizerSettings
 from civicsift.session import scratch_path
-from civicsift.sources.files import exists, publish, require_file, swap_into, write_document
+from civicsift.sources.files import beside, exists, publish, require_file, swap_into, write_document
 
 # fixed values: file names of the JSON bundle
 METADATA = "metadata.json"
@@ -34,7 +34,7 @@ _NUMBERS = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
 def save_model(model: TextModel, folder: str) -> None:
     """Parquet vocabulary with weights, and one small JSON document for everything else."""
     spark = model.vocabulary.sparkSession
-    fresh = scratch_path(spark, "model")
+    fresh = beside(folder)
     model.vocabulary.write.parquet(f"{fresh}/vocabulary")
     document = {
         "labels": model.labels, "thresholds": model.thresholds, "intercepts": model.intercepts,

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicsift.session import scratch_path
-from civicsift.sources.files import exists, find_files, first_lines, qualified, swap_into
+from civicsift.sources.files import beside, exists, find_files, first_lines, qualified, swap_into
 
 SOURCE = "source_subreddit"
 POSITION = "_position"
@@ -142,11 +141,12 @@ def suffixed(path: str, suffix: str) -> str:
 def write_output(df: DataFrame, source: str, suffix: str, output: str | None = None, inplace: bool = False) -> str:
     """Write to ``output``, to the suffixed source name, or over the source itself.
 
-    Replacing the source goes through a scratch folder, because Spark reads it while writing.
+    The rows are written beside the target first, since Spark may still read what they replace; the
+    swap then stays on one file system.
     """
     spark = df.sparkSession
     target = source if inplace else output or suffixed(source, suffix)
-    fresh = scratch_path(spark, "output")
+    fresh = beside(target)
     write_csv(df, fresh)
     if exists(spark, target) and not inplace:
         warnings.warn(f"replacing {target}", stacklevel=2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -60,6 +61,11 @@ def first_lines(spark: SparkSession, paths: Iterable[str], threads: int = 16) ->
         return list(pool.map(read, paths))
 
 
+def beside(target: str) -> str:
+    """A path next to ``target`` that nothing else uses."""
+    return f"{target.rstrip('/')}.new-{uuid.uuid4().hex}"
+
+
 def swap_into(spark: SparkSession, new: str, target: str) -> None:
     """Put the finished output ``new`` in the place of ``target``."""
     fs = _fs(spark, target)

@@ -51,6 +51,26 @@ def source_lines(sources: DataFrame, source: str = "source_subreddit") -> DataFr
         "clean_rows").alias("line"))
 
 
+def label_lines(counts: DataFrame, *keys: str) -> DataFrame:
+    """``(label, positives)`` rows, of ``label_counts`` or per community of ``source_labels``, as text lines."""
+    return counts.select(*keys, F.format_string("%-14s: %d", "label", "positives").alias("line"))
+
+
+def clean_lines(counts: DataFrame) -> DataFrame:
+    """The counters of ``clean_counts`` as text lines."""
+    titles = {"Input rows": "input_rows", "Removed empty/url-only bodies": "removed_empty",
+              "Removed duplicate bodies": "removed_duplicates", "Output rows": "output_rows"}
+    lines = [F.format_string(f"{title}: %d", name) for title, name in titles.items()]
+    return counts.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def merge_lines(counts: DataFrame) -> DataFrame:
+    """The counters of ``merge_counts`` as a text line."""
+    return counts.select(F.concat(
+        F.lit("Merged "), F.col("files").cast("string"), F.lit(" files ("), thousands(F.col("rows")), F.lit(" rows)")
+    ).alias("line"))
+
+
 def write_table(table: DataFrame, path: str) -> None:
     write_csv(table.coalesce(1), path, mode="overwrite")
 

@@ -7,6 +7,7 @@ batch that is run again after a failure leaves the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from civicsift.functions.rules import PatternSpec
 from civicsift.operators.label import label_comments
 from civicsift.operators.mask import Scorer, mask_pages
 from civicsift.operators.model import TextModel, predict
+from civicsift.session import materialise
 
 # fixed values: pause between two looks at the input
 PAUSE = "250 milliseconds"
@@ -37,9 +39,10 @@ def once(stream: DataFrame, keys: Sequence[str], event_time: str | None = None,
     """Drop items seen before.
 
     With an event time the keys are forgotten after ``delay``; without one they are kept for
-    good, which needs a state store that reaches beyond memory (see ``large_state``).
+    good, in a state store that reaches beyond memory (see ``large_state``).
     """
     if event_time is None:
+        large_state(stream.sparkSession)
         return stream.dropDuplicates(list(keys))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
@@ -67,8 +70,10 @@ def start(stream: DataFrame, work: Callable[[DataFrame], DataFrame], output: str
 
 def score_stream(stream: DataFrame, load: Callable[[], TextModel], output: str, checkpoint: str,
                  doc: str = "doc_id", text: str = "text", **options) -> StreamingQuery:
-    """Score arriving texts. The model is loaded first: if that fails, nothing is started."""
+    """Score arriving texts. The model is loaded first, and its vocabulary written once for all batches: if
+    that fails, nothing is started."""
     model = load()
+    model = replace(model, vocabulary=materialise(model.vocabulary, "stream-model"))
     return start(stream, lambda batch: predict(batch, model, doc, text), output, checkpoint, **options)
 
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicsift.functions.rules import PatternSpec
-from civicsift.sources import comments, patterns, reports
-from civicsift.operators import stats
+from civicsift.operators import clean, stats
+from civicsift.operators.model import TextModel
+from civicsift.operators.tfidf import VectorizerSettings, fit_vocabulary
+from civicsift.sources import artifacts, comments, patterns, reports
 
 
 def put(path, text):
@@ -131,3 +133,32 @@ def test_reports(spark, tmp_path):
     assert comments.read_csv(spark, str(tmp_path / "summary")).count() == 6
     reports.write_text(spark, "line\nmore", str(tmp_path / "report.txt"))
     assert (tmp_path / "report.txt").read_text().rstrip("\n") == "line\nmore"
+
+
+def test_report_lines(spark):
+    counts = spark.createDataFrame([("toxic", 12), ("identity_hate", 3)], "label string, positives long")
+    assert [r["line"] for r in reports.label_lines(counts).collect()] == ["toxic         : 12", "identity_hate : 3"]
+    totals = spark.createDataFrame([(9, 2, 3, 4)], "input_rows long, removed_empty long, removed_duplicates long, output_rows long")
+    assert [r["line"] for r in reports.clean_lines(totals).collect()] == [
+        "Input rows: 9", "Removed empty/url-only bodies: 2", "Removed duplicate bodies: 3", "Output rows: 4"]
+    merged = spark.createDataFrame([(2, 1234567)], "files long, rows long")
+    assert reports.merge_lines(merged).first()["line"] == "Merged 2 files (1,234,567 rows)"
+
+
+def test_cut_offs_keep_their_number_type(spark, tmp_path):
+    vocabulary = spark.createDataFrame([("a", 1, 0, 1.0, [0.5])], "term string, df long, idx long, idf double, coef array<double>")
+    settings = VectorizerSettings()
+    fitted = TextModel(settings, ["toxic"], {}, [0.1], vocabulary, 1, {"solver": "lbfgs", "penalty": "l2", "C": 2.0, "max_iter": 9})
+    artifacts.export_json(fitted, str(tmp_path))
+    loaded = artifacts.load_json(spark, str(tmp_path))
+    assert (loaded.settings.min_df, loaded.settings.max_df) == (1, 1.0) and isinstance(loaded.settings.max_df, float)
+    assert loaded.classifier == fitted.classifier
+    docs = spark.createDataFrame([(n, "word other") for n in range(3)], "doc_id int, text string")
+    assert fit_vocabulary(docs, loaded.settings).terms == 2
+
+
+def test_numbers_are_decimal(spark):
+    texts = ["1", " 2.5 ", "-.5e3", "1d", "2f", "0x1", "", "nan", "1_0", "inf"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["v"] for r in frame.select(clean._number(F.col("t")).alias("v")).collect()] == [
+        1.0, 2.5, -500.0, None, None, None, None, None, None, float("inf")]
