@@ -22,7 +22,7 @@ from civicsift.llm.exact_dedup import filter_bits, mark_repeats, repeat_filter
 from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 NO_ID = (1 << 63) - 1
 
 _MIX = 0xD6E8FEB86659FD93

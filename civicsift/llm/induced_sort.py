@@ -46,7 +46,7 @@ class RunQueue:
     def _spill(self, places: np.ndarray, common: np.ndarray) -> tuple[int, int]:
         self.file = self.file or tempfile.TemporaryFile()
         at = self.file.seek(0, 2)
-        self.file.write(places.astype(np.int64).tobytes())
+        self.file.write(places.astype(np.int32).tobytes())
         self.file.write(common.astype(np.int8).tobytes())
         return at, places.size
 
@@ -61,7 +61,7 @@ class RunQueue:
         for part in self.runs.pop(byte):
             if isinstance(part[0], int):
                 self.file.seek(part[0])
-                places = np.frombuffer(self.file.read(8 * part[1]), np.int64)
+                places = np.frombuffer(self.file.read(4 * part[1]), np.int32)
                 part = places, np.frombuffer(self.file.read(part[1]), np.int8)
             else:
                 self.held -= part[0].nbytes + part[1].nbytes
@@ -136,7 +136,7 @@ def _sort_leading(text: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.
     words = _words(text)
     marks = np.flatnonzero(text == 0)
     order = places.copy()
-    left = marks[np.searchsorted(marks, places)] - places  # bytes up to the mark
+    left = (marks[np.searchsorted(marks, places)] - places).astype(np.int32)  # bytes up to the mark
     upper = np.array([0] + [(1 << 64) - (1 << (64 - 8 * k)) for k in range(1, 9)], np.uint64)
     tied = np.arange(places.size)  # where in ``order`` the suffixes lie that are equal so far
     group = np.zeros(places.size, np.int64)
@@ -173,10 +173,10 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray,
     """
     rising = _rising(text)
     same = _same_byte_run(text, depth)
-    valley = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
+    valley = (np.flatnonzero(rising[1:] & ~rising[:-1]) + 1).astype(np.int32)  # a shard is far below 2 GB
     ordered, shared = _sort_leading(text, valley[text[valley] > 0], depth)
     bounds = np.searchsorted(text[ordered], np.arange(HIGHEST + 1))
-    marks = np.flatnonzero(text == 0)
+    marks = np.flatnonzero(text == 0).astype(np.int32)
 
     queue, carried = RunQueue(), _Carried(depth)
     found = RunQueue(descending=True)  # falling suffixes by byte, as the second scan wants them

@@ -51,7 +51,7 @@ from civicsift.session import materialise, scratch_path
 LENGTH = 50
 GRAM = 16  # a power of two; longer grams repeat less by chance, shorter ones give longer segments
 KEYS_PER_BUCKET = 1 << 20
-BYTES_PER_SHARD = 5 << 20
+BYTES_PER_SHARD = 5 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -127,6 +127,8 @@ def send_segments(bodies: DataFrame, folder: str, bits: int, shards: int) -> Dat
             parts = np.concatenate([np.zeros(0, _PART), *(p for p, _ in found)])
             keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found)])
             text = np.concatenate([np.zeros(0, np.uint8), *texts])
+            found.clear()
+            texts.clear()
             sizes = parts["count"].astype(np.int64) + LENGTH - 1
             begins = np.cumsum(sizes) - sizes
             later = _later(parts)
@@ -211,11 +213,12 @@ def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
         texts.append(np.frombuffer(body, np.uint8, offset=count * _PART.itemsize))
     group = np.repeat(np.arange(len(heads)), [head.size for head in heads])
     parts, text = np.concatenate(heads), np.concatenate(texts)
+    del texts
     later = _later(parts)
     sizes = parts["count"].astype(np.int64) + LENGTH - 1
     sorted_parts = np.flatnonzero(~later)
-    own = ranges((np.cumsum(sizes) - sizes)[sorted_parts], sizes[sorted_parts])
-    runs = repeated_positions(parts[sorted_parts], text[own])
+    text = text[ranges((np.cumsum(sizes) - sizes)[sorted_parts], sizes[sorted_parts])]
+    runs = repeated_positions(parts[sorted_parts], text)
     segment = sorted_parts[runs["row"]]
     runs["start"] += parts["start"][segment]
     runs["row"] = parts["row"][segment]
