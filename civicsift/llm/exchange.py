@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from civicsift.session import materialise
 SLICE_BYTES = 1 << 19
 NO_ID = (1 << 63) - 1
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = 0xD6E8FEB86659FD93
 
 
@@ -33,6 +37,18 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return (values ^ values >> np.uint64(32)) * np.uint64(_MIX)
 
 
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(size, _BASE, np.uint64)), np.cumprod(np.full(size, _INVERSE, np.uint64))
+
+
+def string_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place on."""
+    powers, back = _powers(1 << max(raw.size - 1, 0).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:raw.size])])
+    return mixed((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if ends.size else 0)
@@ -73,14 +89,30 @@ def _file(folder: str, group: str, kind: str) -> tuple[fs.FileSystem, str]:
     return store, f"{at}/{group}.{kind}"
 
 
+def pack(data: bytes) -> bytes:
+    """Compressed form of a list that is sent back; packed lists may be laid end to end."""
+    body = zstandard.ZstdCompressor(level=1).compress(data)
+    return len(body).to_bytes(8, "little") + body
+
+
+def unpack(packed: bytes) -> bytes:
+    """The lists of all packed ones, end to end."""
+    out, at, reader = [], 0, zstandard.ZstdDecompressor()
+    while at < len(packed):
+        size = int.from_bytes(packed[at:at + 8], "little")
+        out.append(reader.decompress(packed[at + 8:at + 8 + size]))
+        at += 8 + size
+    return b"".join(out)
+
+
 def read_file(folder: str, group: str, kind: str) -> bytes:
     store, path = _file(folder, group, kind)
     with store.open_input_file(path) as file:
-        return file.read()
+        return unpack(file.read())
 
 
 def send_back(rows: DataFrame, folder: str, kind: str) -> None:
-    """Write what ``rows`` (``group, sent``) hold for each group to a file that its readers find by name."""
+    """Write what ``rows`` (``group, sent``, packed) hold for each group to a file that its readers find by name."""
 
     def write(parts: pd.DataFrame) -> pd.DataFrame:
         group = parts["group"].iloc[0]
@@ -115,7 +147,7 @@ def send_keys(bodies: DataFrame, bits: int, keys_in: Callable[[np.ndarray, np.nd
         def finish() -> pa.RecordBatch:
             codes = np.concatenate([np.zeros(0, np.uint64), *found])
             codes, counts = np.unique(codes, return_counts=True)
-            rows = [(-1, current, codes[counts > 1].tobytes())]
+            rows = [(-1, current, pack(codes[counts > 1].tobytes()))]
             buckets = (codes >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.diff(buckets, prepend=-1))
             for begin, end in zip(starts, np.append(starts, codes.size)[1:], strict=True):
@@ -145,7 +177,7 @@ def shared_codes(rows: pd.DataFrame) -> pd.DataFrame:
     def shared(codes: np.ndarray) -> bytes:
         at = np.searchsorted(repeated, codes)
         hit = np.zeros(codes.size, bool) if not repeated.size else repeated[np.minimum(at, repeated.size - 1)] == codes
-        return (codes[hit].astype(np.uint64) | bucket).tobytes()
+        return pack((codes[hit].astype(np.uint64) | bucket).tobytes())
 
     return pd.DataFrame({"group": rows["group"], "sent": [shared(codes) for codes in lists]})
 

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,7 @@ from civicsift.llm.exchange import (
     codes_of,
     emit,
     mixed,
+    pack,
     placed,
     raw_rows,
     read_file,
@@ -45,6 +45,7 @@ from civicsift.llm.exchange import (
     send_keys,
     shared_codes,
     slices,
+    string_hashes,
     with_copies,
 )
 from civicsift.operators.prefix import spread_lookup
@@ -55,7 +56,6 @@ WORDS = 50
 WIDTH = WORDS - SHINGLE + 1  # shingles of a passage
 SIMILARITY = 0.8
 PAIRS = 4
-CACHED_WORDS = 150_000
 KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 
@@ -63,27 +63,24 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = 24  # of a place within a slice, see exchange.SLICE_BYTES
 
 
-class _WordCodes(dict):
-    """Word -> hash; emptied when full."""
+def shingles(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of texts laid end to end, the number of shingles and of words of each text.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
-
-
-_codes = _WordCodes()
-
-
-def shingles(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts end to end, the number of shingles and of words of each text."""
-    words = [body.lower().split() for body in bodies]
-    counts = np.array([len(w) for w in words], np.int64)
+    Words are runs of other bytes than blank, tab, line feed, vertical tab, form feed and carriage return, A-Z
+    lower-cased.
+    """
+    begins = np.cumsum(lengths) - lengths
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.zeros(raw.size + 1, bool)
+    edge[begins] = True
+    edge[-1] = True
+    first = np.flatnonzero(~blank & (np.concatenate([[True], blank])[:raw.size] | edge[:-1]))
+    last = np.flatnonzero(~blank & (np.concatenate([blank, [True]])[1:] | edge[1:]))
+    counts = np.diff(np.searchsorted(first, np.append(begins, raw.size)))
     sizes = np.maximum(counts - SHINGLE + 1, 0)
-    codes = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(_codes.__getitem__, w), np.uint64, len(w)) for w in words)])
-    if codes.size < SHINGLE:
+    if first.size < SHINGLE:
         return np.zeros(0, np.uint64), sizes, counts
+    codes = string_hashes(raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8), first, last + 1 - first)
     rolled = np.zeros(codes.size - SHINGLE + 1, np.uint64)
     for at in range(SHINGLE):
         rolled = rolled * _BASE + codes[at:codes.size - SHINGLE + 1 + at]
@@ -130,9 +127,7 @@ def cells(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _cell_keys(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths).tolist()
-    body = raw.tobytes()
-    values, sizes, _ = shingles([body[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+    values, sizes, _ = shingles(raw, lengths)
     return cells(values, sizes)[0]
 
 
@@ -167,8 +162,7 @@ def send_cells(bodies: DataFrame, folder: str, bits: int, shards: int) -> DataFr
                 current, found = group, []
                 known = np.unique(np.frombuffer(read_file(folder, group, "keys"), np.uint64))
             rows, lengths, raw = raw_rows(piece)
-            ends, body = np.cumsum(lengths).tolist(), raw.tobytes()
-            values, sizes, _ = shingles([body[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            values, sizes, _ = shingles(raw, lengths)
             key, text, first, last, centre = cells(values, sizes)
             code = codes_of(key, bits)
             if not known.size or not key.size:
@@ -217,7 +211,7 @@ def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
     asks["other_id"], asks["other_group"], asks["other_row"], asks["other_start"] = two["id"], two["group"], two["row"], low + shift
     groups, owner = np.unique(one["group"], return_inverse=True)
     return pd.DataFrame({"group": [str(group) for group in groups],
-                         "sent": [_joined(asks[owner == number]).tobytes() for number in range(groups.size)]})
+                         "sent": [pack(_joined(asks[owner == number]).tobytes()) for number in range(groups.size)]})
 
 
 def _joined(asks: np.ndarray) -> np.ndarray:
@@ -247,7 +241,8 @@ def _joined(asks: np.ndarray) -> np.ndarray:
 
 def _row_values(bodies: pa.Array, wanted: np.ndarray) -> dict[int, np.ndarray]:
     """The shingles of the rows ``wanted`` of a piece."""
-    values, sizes, _ = shingles([bodies[int(row)].as_py() for row in wanted])
+    texts = [bodies[int(row)].as_py() for row in wanted]
+    values, sizes, _ = shingles(np.frombuffer(b"".join(texts), np.uint8), np.array([len(text) for text in texts], np.int64))
     ends = np.cumsum(sizes)
     return {int(row): values[end - size:end].astype(np.uint32) for row, end, size in zip(wanted, ends, sizes, strict=True)}
 
@@ -275,7 +270,7 @@ def send_passages(bodies: DataFrame, folder: str) -> DataFrame:
             targets, owner = np.unique(own["other_group"], return_inverse=True)
             order = np.argsort(owner, kind="stable")
             parts = np.split(checks[order], np.cumsum(np.bincount(owner, minlength=targets.size))[:-1])
-            yield emit([(str(target), part.tobytes()) for target, part in zip(targets, parts, strict=True)] if own.size else [],
+            yield emit([(str(target), pack(part.tobytes())) for target, part in zip(targets, parts, strict=True)] if own.size else [],
                        ["group", "sent"], [pa.string(), pa.binary()])
 
     return bodies.mapInArrow(work, "group string, sent binary")
@@ -289,6 +284,8 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
 
 def alike(one: np.ndarray, two: np.ndarray) -> tuple[int, int] | None:
     """The first and last start at which the passages of two aligned lists are similar enough, if any."""
+    if np.array_equal(one, two):
+        return 0, one.size - WIDTH
     starts = np.arange(one.size - WIDTH + 1)
     if np.unique(one).size == one.size:  # then a passage must have this many shingles in common with the other list
         common = np.concatenate([[0], np.cumsum(np.isin(one, two))])

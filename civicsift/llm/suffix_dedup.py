@@ -35,6 +35,7 @@ from civicsift.llm.exchange import (
     codes_of,
     emit,
     mixed,
+    pack,
     placed,
     ranges,
     raw_rows,
@@ -43,6 +44,7 @@ from civicsift.llm.exchange import (
     send_keys,
     shared_codes,
     slices,
+    string_hashes,
     with_copies,
 )
 from civicsift.llm.induced_sort import groups as equal_strings
@@ -54,7 +56,6 @@ KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 5 << 19
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def segments(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,14 +88,6 @@ def segments(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return least[begin], text, begin, stop - begin
 
 
-def _string_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the ``size`` bytes from each place on."""
-    powers = np.cumprod(np.full(raw.size, _BASE, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers)])
-    back = np.cumprod(np.full(raw.size, _INVERSE, np.uint64))
-    return mixed((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64))
-
-
 _PART = np.dtype([("row", np.int32), ("start", np.int32), ("count", np.int32), ("id", np.int64), ("hash", np.uint64)])
 _RUN = np.dtype([("row", np.int32), ("start", np.int32), ("count", np.int32)])
 
@@ -114,7 +107,7 @@ def _runs(parts: np.ndarray) -> bytes:
     out = np.empty(parts.size, _RUN)
     for name in _RUN.names:
         out[name] = parts[name]
-    return out.tobytes()
+    return pack(out.tobytes())
 
 
 def send_segments(bodies: DataFrame, folder: str, bits: int, shards: int) -> DataFrame:
@@ -164,7 +157,7 @@ def send_segments(bodies: DataFrame, folder: str, bits: int, shards: int) -> Dat
             parts["start"] = begin - (np.cumsum(lengths) - lengths)[text]
             parts["count"] = count
             parts["id"] = piece.column("order_id").to_numpy()[rows[text]]
-            parts["hash"] = _string_hashes(raw, begin, count + LENGTH - 1)
+            parts["hash"] = string_hashes(raw, begin, count + LENGTH - 1)
             found.append((parts, key))
             texts.append(raw[ranges(begin, count + LENGTH - 1)])
         if current is not None:
@@ -224,7 +217,7 @@ def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
     runs["row"] = parts["row"][segment]
     out = []
     for number in range(len(heads)):
-        out.append(_runs(parts[later & (group == number)]) + runs[group[segment] == number].tobytes())
+        out.append(_runs(parts[later & (group == number)]) + _runs(runs[group[segment] == number]))
     return pd.DataFrame({"group": rows["group"], "sent": out})
 
 

@@ -86,3 +86,15 @@ def test_ranges_are_joined_and_cut():
         asks[at] = (row, start, count, 9, 9, 9, start + shift)
     got = [(a["row"], a["start"], a["count"], a["other_start"]) for a in passages._joined(asks)]
     assert got == [(1, 0, 46, 5), (1, 46, 14, 51), (1, 20, 4, 26), (2, 0, 1, 5)]
+
+
+def test_words_end_at_blanks_and_texts():
+    texts = ["", " a B\tc\x0bd\x0ce ", "F", "g\x1ch é\r\nÉ i j k", "  ", "l m n o p q"]
+    raw = [text.encode() for text in texts]
+    joined = np.frombuffer(b"".join(raw), np.uint8)
+    values, sizes, counts = passages.shingles(joined, np.array([len(b) for b in raw]))
+    words = [b.lower().split() for b in raw]
+    assert counts.tolist() == [len(w) for w in words] and sizes.tolist() == [max(len(w) - 4, 0) for w in words]
+    alone = [passages.shingles(np.frombuffer(b" ".join(w[at:at + 5]), np.uint8), np.array([len(b" ".join(w[at:at + 5]))]))[0]
+             for w in words for at in range(len(w) - 4)]
+    assert values.tolist() == np.concatenate(alone).tolist() and len(set(values.tolist())) == values.size
