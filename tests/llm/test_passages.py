@@ -28,18 +28,17 @@ def brute_pairs(rows):
 def test_classes_of_messy_rows(messy, nothing, monkeypatch):
     small = messy.filter("text is null or length(text) < 5000")
     equal, near = brute_pairs(small.collect())
-    for slice_bytes in (exchange.SLICE_BYTES, 600):
-        monkeypatch.setattr(exchange, "SLICE_BYTES", slice_bytes)
-        rows = passages.near_passages(small).collect()
-        assert len(rows) == small.count()
-        of = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
-        assert equal and all(of[a] == of[b] for a, b in equal if b is not None)
-        linked = {n for pair in near for n in pair}
-        times = Counter(r.doc_id for r in rows)
-        for r in rows:
-            assert (r.n_links > 0) == bool(r.spans) and (r.n_links == 0 or r.doc_id in linked or r.doc_id is None)
-            assert all(0 <= s.start and s.end - s.start >= 50 for s in r.spans)
-            assert times[r.doc_id] > 1 or all(s.end <= r.n_words for s in r.spans)
+    monkeypatch.setattr(exchange, "SLICE_BYTES", 600)
+    rows = passages.near_passages(small).collect()
+    assert len(rows) == small.count()
+    of = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
+    assert equal and all(of[a] == of[b] for a, b in equal if b is not None)
+    linked = {n for pair in near for n in pair}
+    times = Counter(r.doc_id for r in rows)
+    for r in rows:
+        assert (r.n_links > 0) == bool(r.spans) and (r.n_links == 0 or r.doc_id in linked or r.doc_id is None)
+        assert all(0 <= s.start and s.end - s.start >= 50 for s in r.spans)
+        assert times[r.doc_id] > 1 or all(s.end <= r.n_words for s in r.spans)
     assert passages.near_passages(nothing).collect() == []
 
 

@@ -65,7 +65,6 @@ def cut(docs):
 
 def test_messy_rows_equal_brute_force(messy, nothing, monkeypatch):
     want = brute(messy.collect())
-    assert cut(messy) == want
     monkeypatch.setattr(exchange, "SLICE_BYTES", 500)
     monkeypatch.setattr(suffix_dedup, "KEYS_PER_BUCKET", 200)
     monkeypatch.setattr(suffix_dedup, "BYTES_PER_SHARD", 20_000)
