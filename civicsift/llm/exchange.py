@@ -26,6 +26,8 @@ from civicsift.session import materialise
 
 SLICE_BYTES = 1 << 19
 NO_ID = (1 << 63) - 1
+HOT = np.uint64(1 << 63)  # marks codes that come back as hot
+MOST_COUNTED = (1 << 16) - 1  # occurrences of a code in one group are counted up to here
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -138,48 +140,85 @@ def codes_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(32 - bits)
 
 
-def send_keys(bodies: DataFrame, bits: int, keys_in: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``bucket, group, sent``: distinct key codes by bucket; bucket -1 holds codes that repeat in their group."""
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of lists of codes and counts, and the sums of their counts."""
+    codes, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c for c, _ in found)]), return_inverse=True)
+    weights = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+    return codes, np.bincount(inverse, weights, codes.size).astype(np.int64)
+
+
+def send_keys(bodies: DataFrame, bits: int, keys_in: Callable[..., np.ndarray],
+              given: Callable[[str], object] | None = None) -> DataFrame:
+    """``bucket, group, sent, counts``: distinct key codes by bucket and how often each occurs in the group; bucket -1
+    holds nothing and stands for the group. With ``given``, what it gives for a group goes to ``keys_in`` too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, found = None, []
+        current, found, more = None, [], ()
 
         def finish() -> pa.RecordBatch:
-            codes = np.concatenate([np.zeros(0, np.uint64), *found])
-            codes, counts = np.unique(codes, return_counts=True)
-            rows = [(-1, current, pack(codes[counts > 1].tobytes()))]
+            codes, counts = _summed(found)
+            counts = np.minimum(counts, MOST_COUNTED).astype(np.uint16)
+            rows = [(-1, current, b"", b"")]
             buckets = (codes >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.diff(buckets, prepend=-1))
             for begin, end in zip(starts, np.append(starts, codes.size)[1:], strict=True):
-                rows.append((int(buckets[begin]), current, codes[begin:end].astype(np.uint32).tobytes()))
-            return emit(rows, ["bucket", "group", "sent"], [pa.int64(), pa.string(), pa.binary()])
+                rows.append((int(buckets[begin]), current, codes[begin:end].astype(np.uint32).tobytes(),
+                             pack(counts[begin:end].tobytes())))
+            return emit(rows, ["bucket", "group", "sent", "counts"], [pa.int64(), pa.string(), pa.binary(), pa.binary()])
 
         for group, _, piece in slices(batches):
             if group != current:
                 if current is not None:
                     yield finish()
                 current, found = group, []
+                more = () if given is None else (given(group),)
             _, lengths, raw = raw_rows(piece)
-            found.append(codes_of(keys_in(raw, lengths), bits))
+            found.append(np.unique(codes_of(keys_in(raw, lengths, *more), bits), return_counts=True))
         if current is not None:
             yield finish()
 
-    return bodies.mapInArrow(work, "bucket long, group string, sent binary")
+    return bodies.mapInArrow(work, "bucket long, group string, sent binary, counts binary")
+
+
+def shared_codes(hot: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For each group those of its codes of a bucket that occur more than once anywhere; the ones that occur at least
+    ``hot`` times are marked with ``HOT``. ``hot`` is at most ``MOST_COUNTED``."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        bucket = np.uint64(rows["bucket"].iloc[0] << 32)
+        lists = [np.frombuffer(sent, np.uint32) for sent in rows["sent"]]
+        counts = [np.frombuffer(unpack(packed), np.uint16) for packed in rows["counts"]]
+        every = np.concatenate(lists)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if every.size else np.zeros(0, np.int64)
+        sums = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), starts) if every.size else starts
+        repeated, often = every[starts][sums > 1], sums[sums > 1] >= hot
+
+        def shared(codes: np.ndarray) -> bytes:
+            hit, at = lookup(repeated, codes)
+            return pack((codes[hit].astype(np.uint64) | bucket | np.where(often[at[hit]], HOT, np.uint64(0))).tobytes())
+
+        return pd.DataFrame({"group": rows["group"], "sent": [shared(codes) for codes in lists],
+                             "hot": [int(often.sum())] * len(lists)})
+
+    return work
 
 
-def shared_codes(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each group the codes of a bucket that other groups have too."""
-    bucket = np.uint64(rows["bucket"].iloc[0] << 32)
-    lists = [np.frombuffer(sent, np.uint32) for sent in rows["sent"]]
-    every = np.sort(np.concatenate(lists))
-    repeated = every[1:][every[1:] == every[:-1]]
+def lookup(known: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code is among the sorted ``known``, and where."""
+    if not known.size:
+        return np.zeros(codes.size, bool), np.zeros(codes.size, np.int64)
+    at = np.minimum(np.searchsorted(known, codes), known.size - 1)
+    return known[at] == codes, at
 
-    def shared(codes: np.ndarray) -> bytes:
-        at = np.searchsorted(repeated, codes)
-        hit = np.zeros(codes.size, bool) if not repeated.size else repeated[np.minimum(at, repeated.size - 1)] == codes
-        return pack((codes[hit].astype(np.uint64) | bucket).tobytes())
 
-    return pd.DataFrame({"group": rows["group"], "sent": [shared(codes) for codes in lists]})
+def known_codes(folder: str, group: str, kind: str = "keys") -> tuple[np.ndarray, np.ndarray]:
+    """The codes that came back to a group, ascending, and whether each is hot."""
+    marked = np.unique(np.frombuffer(read_file(folder, group, kind), np.uint64))
+    codes = marked & ~HOT
+    order = np.argsort(codes, kind="stable")
+    return codes[order], (marked >= HOT)[order]
 
 
 def with_copies(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:

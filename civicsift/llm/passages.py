@@ -8,11 +8,18 @@ signatures; passages with a Jaccard similarity of s share a given pair with a ch
 ``PAIRS`` pairs miss one of 0.8 in about ``0.36 ** PAIRS`` of all cases. Jobs:
 
 1. keys: cells that repeat anywhere are found by ``exchange``, without moving texts;
-2. cells: only those are dealt by key to shards. Within a key each cell is joined with the first document's
-   cell and with the cell of the document before it, aligned at their common shingle, never with all others;
-3. verification: the passage of one side is sent to the group that holds the other, where the exact Jaccard
+2. cells: only those are dealt by key to shards. Within a key each cell is joined with all cells of other
+   documents, aligned at their common shingle;
+3. hot keys, those of ``HOT_CELLS`` cells or more, would need too many pairs. The passages of their cells are joined by
+   an exact prefix filter instead (``rekeyed``). Shingles are ordered by how often they occur, the rarest first; two
+   passages that are similar enough share one of the first shingles of both. If that occurs fewer than
+   ``HOT_SHINGLES`` times, it is the key of further cells of 2. Otherwise the passages have only frequent shingles in
+   common, and their similarity follows from their types: the set of frequent shingles and the number of all. Types
+   are compared instead of passages (``hot_links``), and links by them are counted in bit maps of documents
+   (``count_links``), never listed;
+4. verification: the passage of one side is sent to the group that holds the other, where the exact Jaccard
    similarity of both shingle sets decides;
-4. classes: documents joined by verified passages, and copies of whole texts, form connected components.
+5. classes: documents joined by verified passages, and copies of whole texts, form connected components.
 
 Defined cases: null texts count as empty; texts of fewer than ``WORDS`` words hold no passage, copies
 included. A null id counts as larger than all others and stays null. Rows of one id are parts of one
@@ -28,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicsift.llm.components import components
@@ -36,6 +43,8 @@ from civicsift.llm.exchange import (
     NO_ID,
     codes_of,
     emit,
+    known_codes,
+    lookup,
     mixed,
     pack,
     placed,
@@ -49,6 +58,7 @@ from civicsift.llm.exchange import (
     with_copies,
 )
 from civicsift.operators.prefix import spread_lookup
+from civicsift.operators.tfidf import number_terms
 from civicsift.session import materialise, scratch_path
 
 SHINGLE = 5
@@ -58,6 +68,11 @@ SIMILARITY = 0.8
 PAIRS = 4
 KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 16 << 20
+HOT_CELLS = 64  # of a key; as many cells or more are joined by other means than all pairs
+HOT_SHINGLES = 64  # occurrences, in passages of hot keys, from which a shingle is frequent
+KINDS_PER_BLOCK = 1 << 10  # documents of different types that are counted in one task
+MAP_BITS = 1 << 15  # of Spark's bit maps
+WINDOWS = 1 << 14  # passages that are ordered at a time
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = 24  # of a place within a slice, see exchange.SLICE_BYTES
@@ -139,62 +154,352 @@ _ASK = np.dtype(_SIDE)  # row, start: the side that sends its shingles; count: o
 _CHECK = np.dtype([*_SIDE, ("shingles", np.uint32, 2 * WIDTH - 1)])  # row, start: the side that compares
 
 
+_DEALT = "shard long, sent binary, size long"
+_HOT_ROWS = "id long, group string, row int, places array<int>, shingles array<long>"
+
+
+def _dealt(parts: np.ndarray, shards: int) -> list[tuple[int, bytes, int]]:
+    """Cells packed by shard."""
+    shard = (mixed(parts["key"]) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    parts, shard = parts[order], shard[order]
+    starts = np.flatnonzero(np.diff(shard, prepend=-1))
+    return [(int(shard[a]), pa.compress(parts[a:b].tobytes(), "zstd", asbytes=True), int((b - a) * _CELL.itemsize))
+            for a, b in zip(starts, np.append(starts, shard.size)[1:], strict=True)]
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, values.size), pa.int32()), pa.array(values, kind))
+
+
 def send_cells(bodies: DataFrame, folder: str, bits: int, shards: int) -> DataFrame:
-    """``shard, sent``: the cells of repeated keys."""
+    """The cells of repeated keys by ``shard``; rows of shard -1 hold the shingles of a text in cells of hot keys."""
+    dealt = ["shard", "sent", "size"]
+    names = [*dealt, "id", "group", "row", "places", "shingles"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known, found = None, np.zeros(0, np.uint64), []
+        current, known, often, found = None, np.zeros(0, np.uint64), np.zeros(0, bool), []
 
         def finish() -> pa.RecordBatch:
-            parts = np.concatenate([np.zeros(0, _CELL), *found])
-            shard = (mixed(parts["key"]) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            parts, shard = parts[order], shard[order]
-            starts = np.flatnonzero(np.diff(shard, prepend=-1))
-            rows = [(int(shard[a]), pa.compress(parts[a:b].tobytes(), "zstd", asbytes=True), int((b - a) * _CELL.itemsize))
-                    for a, b in zip(starts, np.append(starts, shard.size)[1:], strict=True)]
-            return emit(rows, ["shard", "sent", "size"], [pa.int64(), pa.binary(), pa.int64()])
+            rows = _dealt(np.concatenate([np.zeros(0, _CELL), *found]), shards)
+            return emit([(*row, *[None] * 5) for row in rows], names, kinds)
 
         for group, number, piece in slices(batches):
             if group != current:
                 if current is not None:
                     yield finish()
                 current, found = group, []
-                known = np.unique(np.frombuffer(read_file(folder, group, "keys"), np.uint64))
+                known, often = known_codes(folder, group)
             rows, lengths, raw = raw_rows(piece)
             values, sizes, _ = shingles(raw, lengths)
             key, text, first, last, centre = cells(values, sizes)
-            code = codes_of(key, bits)
             if not known.size or not key.size:
                 continue
-            hit = known[np.minimum(np.searchsorted(known, code), known.size - 1)] == code
+            hit, at = lookup(known, codes_of(key, bits))
+            hot = hit & often[at]
+            hit &= ~hot
             part = np.empty(int(hit.sum()), _CELL)
             for name, column in (("key", key), ("first", first), ("last", last), ("centre", centre)):
                 part[name] = column[hit]
+            ids = piece.column("order_id").to_numpy()[rows]
             part["row"] = number + rows[text[hit]]
-            part["id"] = piece.column("order_id").to_numpy()[rows[text[hit]]]
+            part["id"] = ids[text[hit]]
             part["group"] = int(group)
             found.append(part)
+            if not hot.any():
+                continue
+            begins = np.cumsum(sizes) - sizes
+            edges = np.zeros(values.size + 1, np.int64)
+            np.add.at(edges, begins[text[hot]] + first[hot], 1)
+            np.add.at(edges, begins[text[hot]] + last[hot] + WIDTH, -1)
+            covered = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+            owner = np.searchsorted(np.cumsum(sizes), covered, side="right")
+            texts, starts = np.unique(owner, return_index=True)
+            count = texts.size
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(count, -1)), pa.nulls(count, pa.binary()), pa.nulls(count, pa.int64()), pa.array(ids[texts]),
+                pa.array([group] * count, pa.string()), pa.array((number + rows[texts]).astype(np.int32)),
+                _lists((covered - begins[owner]).astype(np.int32), starts, pa.int32()),
+                _lists(values[covered].view(np.int64), starts, pa.int64())], names)
         if current is not None:
             yield finish()
 
-    return bodies.mapInArrow(work, "shard long, sent binary, size long")
+    return bodies.mapInArrow(work, f"{_DEALT}, {_HOT_ROWS}")
+
+
+_TYPE_ROWS = "type long, id long, row_key long, first long, last long, words int, shingles array<long>"
+
+
+def rekeyed(texts: DataFrame, shards: int, hot: int) -> DataFrame:
+    """Cells, types and their definitions of the passages of ``texts``.
+
+    ``texts`` has ``id, group, row, row_key`` and ``parts``: sorted by place, the shingles of a row, and how often each
+    occurs in all rows. Cells have a ``shard``, definitions ``words``; the rest says which starts have which type.
+    """
+    names = ["shard", "sent", "size", "type", "id", "row_key", "first", "last", "words", "shingles"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), *[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64())]
+    class_bit = np.uint64(62)  # above: 0 for shingles that occur once, 1 for rare ones, 2 for frequent ones
+
+    def typed(code: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray, seen: set[int]) -> tuple:
+        """Types of the passages from ``begin`` on, where they have one, and new definitions. ``low`` and ``high``
+        become the first and last start of passages with a rare shingle at that place among their first ones."""
+        window = code[begin[:, None] + np.arange(WIDTH)]
+        order = np.argsort(window, axis=1, kind="stable")
+        window = np.take_along_axis(window, order, 1)
+        fresh = np.ones(window.shape, bool)
+        fresh[:, 1:] = window[:, 1:] != window[:, :-1]
+        size = fresh.sum(axis=1)
+        need = (4 * size + 4) // 5  # shingles that a passage of ``SIMILARITY`` has in common with it at least
+        leading = fresh & (np.cumsum(fresh, axis=1) <= (size - need + 1)[:, None])
+        kind = window >> class_bit
+        at, column = np.nonzero(leading & (kind == 1))
+        place = begin[at] + order[at, column]
+        np.minimum.at(low, place, begin[at])
+        np.maximum.at(high, place, begin[at])
+        frequent = fresh & (kind == 2)
+        whole = np.flatnonzero(frequent.sum(axis=1) >= need)
+        frequent, window, size = frequent[whole], window[whole], size[whole]
+        number = mixed(np.where(frequent, mixed(window), np.uint64(0)).sum(axis=1, dtype=np.uint64) * _BASE + size.astype(np.uint64))
+        new = []
+        for value, row in zip(*np.unique(number, return_index=True), strict=True):
+            if int(value) not in seen:
+                seen.add(int(value))
+                new.append((None, None, None, int(value.view(np.int64)), None, None, None, None, int(size[row]),
+                            window[row][frequent[row]].view(np.int64)))
+        return begin[whole], number.view(np.int64), new
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, count = [], 0
+        for batch in batches:
+            column = batch.column("parts")
+            sizes = np.diff(column.offsets.to_numpy())
+            flat = column.flatten()
+            place = flat.field("place").to_numpy().astype(np.int64)
+            times = flat.field("times").to_numpy()
+            shingle = mixed(flat.field("shingle").to_numpy().view(np.uint64))
+            kind = np.where(times < 2, 0, np.where(times < hot, 1, 2)).astype(np.uint64)
+            code = kind << class_bit | shingle >> np.uint64(2)
+            owner = np.repeat(np.arange(sizes.size), sizes)
+            ids, row_keys, groups, rows = (batch.column(name).to_pylist() for name in ("id", "row_key", "group", "row"))
+            ids, row_keys, groups, rows = (np.array(v, np.int64) for v in (ids, row_keys, [int(g) for g in groups], rows))
+            end = max(code.size - WIDTH + 1, 0)
+            begin = np.flatnonzero((owner[:end] == owner[WIDTH - 1:]) & (place[WIDTH - 1:] - place[:end] == WIDTH - 1))
+            low, high = np.full(code.size, code.size), np.full(code.size, -1)
+            starts, types = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, begin.size, WINDOWS):
+                some, number, new = typed(code, begin[at:at + WINDOWS], low, high, seen)
+                starts.append(some)
+                types.append(number)
+                if new:
+                    yield emit(new, names, kinds)
+                if len(seen) > 1 << 20:  # a definition may be given again
+                    seen.clear()
+            centre = np.flatnonzero(high >= 0)
+            part = np.empty(centre.size, _CELL)
+            part["key"] = mixed(code[centre] * _BASE + np.uint64(PAIRS))
+            for name, values in (("id", ids), ("group", groups), ("row", rows)):
+                part[name] = values[owner[centre]]
+            for name, values in (("first", low[centre]), ("last", high[centre]), ("centre", centre)):
+                part[name] = place[values]
+            held.append(part)
+            count += part.size
+            if count > 1 << 18:
+                yield emit([(*row, *[None] * 7) for row in _dealt(np.concatenate(held), shards)], names, kinds)
+                held, count = [], 0
+            start, number = np.concatenate(starts), np.concatenate(types)
+            fresh = np.ones(start.size, bool)
+            fresh[1:] = (start[1:] != start[:-1] + 1) | (number[1:] != number[:-1])
+            run = np.flatnonzero(fresh)
+            stop = start[np.append(run, start.size)[1:] - 1] if run.size else run
+            none = [pa.nulls(run.size, k) for k in kinds]
+            text = owner[start[run]]
+            yield pa.RecordBatch.from_arrays([
+                *none[:3], pa.array(number[run]), pa.array(ids[text]), pa.array(row_keys[text]), pa.array(place[start[run]]),
+                pa.array(place[stop]), *none[8:]], names)
+        if held:
+            yield emit([(*row, *[None] * 7) for row in _dealt(np.concatenate(held), shards)], names, kinds)
+
+    return texts.mapInArrow(work, f"{_DEALT}, {_TYPE_ROWS}")
+
+
+def hot_passages(hot: DataFrame, shards: int) -> DataFrame:
+    """``rekeyed`` of the shingles of rows in cells of hot keys."""
+    each = hot.select("id", "group", "row", F.explode(F.arrays_zip("places", "shingles")).alias("part")).select(
+        "id", "group", "row", F.col("part.places").alias("place"), F.col("part.shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("times", F.col("n"))
+    counts = materialise(counts, "shingles")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    looked_up = spread_lookup(each, counts, "shingle", "n", total, spread_on=["group", "row", "place"])
+    part = F.struct("place", "shingle", F.coalesce("times", F.lit(1).cast("long")).alias("times"))
+    texts = looked_up.groupBy("group", "row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(part)).alias("parts"))
+    texts = texts.withColumn("row_key", F.xxhash64("group", "row"))
+    return materialise(rekeyed(texts, shards, HOT_SHINGLES), "rekeyed")
+
+
+def _two_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, least, second``: the two smallest of the distinct values of a key."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    least = rows.select(key, value).distinct().withColumn("rank", rank).filter("rank <= 2")
+    return least.groupBy(key).agg(F.min(value).alias("least"), F.max(F.when(F.col("rank") == 2, F.col(value))).alias("second"))
+
+
+def similar_types(types: DataFrame) -> DataFrame:
+    """``type, other``: types, of ``type, words, shingles``, whose passages are similar enough by their frequent
+    shingles alone; both ways, and each with itself if so."""
+    types = types.withColumn("shingles", F.sort_array("shingles"))
+    size = F.size("shingles")
+    need = F.ceil(4 * (F.col("words") + F.col("other_words")) / 9)  # shingles in common, by the sizes of both
+    sizes = types.select(F.col("words").alias("other_words")).distinct()
+    leading = types.join(F.broadcast(sizes), (need <= size) & (need <= F.col("other_words"))).select(
+        "type", "words", "other_words", (size > need).alias("spare"), F.explode(F.slice("shingles", F.lit(1), (size - need + 1).cast("int"))).alias("shingle"))
+    swapped = leading.select(F.col("type").alias("other"), F.col("words").alias("other_words"),
+                             F.col("other_words").alias("words"), F.col("spare").alias("other_spare"), "shingle")
+    # two types without a shingle to spare would have the same ones; they differ in ``words`` or are the same type
+    possible = (F.col("spare") | F.col("other_spare") | (F.col("words") != F.col("other_words"))) & (F.col("type") < F.col("other"))
+    pairs = leading.join(swapped, ["shingle", "words", "other_words"]).filter(possible).select("type", "other").distinct()
+    others = types.select(F.col("type").alias("other"), F.col("words").alias("other_words"), F.col("shingles").alias("other_shingles"))
+    common = F.size(F.array_intersect("shingles", "other_shingles"))
+    near = pairs.join(types, "type").join(others, "other").filter(
+        9 * common >= 4 * (F.col("words") + F.col("other_words"))).select("type", "other")
+    own = types.filter(9 * size >= 8 * F.col("words")).select("type", F.col("type").alias("other"))
+    return near.unionByName(near.select(F.col("other").alias("type"), F.col("type").alias("other"))).unionByName(own)
+
+
+def hot_links(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From the rows of ``hot_passages``: similar types, the starts that have them (``type, id, ...``), edges that
+    join all documents linked by types, and sides of their passages."""
+    members = found.filter("row_key is not null").select("type", "id", "row_key", "first", "last")
+    types = found.filter("words is not null").groupBy("type").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
+    near = materialise(similar_types(types), "similar-types")
+    members = materialise(members.join(near.select("type").distinct(), "type", "left_semi"), "typed-starts")
+    least = materialise(_two_least(members, "type", "id"), "least-of-types")
+    ids = least.select(F.col("type").alias("other"), F.explode(F.array_compact(F.array("least", "second"))).alias("partner"))
+    of_type = _two_least(near.join(ids, "other"), "type", "partner").join(
+        members.groupBy("type").agg(F.count(F.lit(1)).alias("rows")), "type")
+    known = spread_lookup(members, of_type, "type", "rows", members.count(), how="inner", spread_on=["row_key", "first"])
+    known = materialise(known, "linked-starts")
+
+    # a document is joined with the smallest one of all types near its own, and that with the smallest of its type
+    one = least.select("type", F.col("least").alias("u"))
+    two = least.select(F.col("type").alias("other"), F.col("least").alias("v"))
+    edges = near.filter("type <= other").join(one, "type").join(two, "other").select("u", "v").unionByName(
+        known.select(F.col("id").alias("u"), F.col("least").alias("v"))).filter("u != v").distinct()
+
+    partner = F.when(F.col("least") != F.col("id"), F.col("least")).otherwise(F.col("second"))
+    starts = known.withColumn("partner", partner).filter("partner is not null")
+    row = Window.partitionBy("row_key").orderBy("first")
+    fresh = F.coalesce((F.col("first") > F.lag("last").over(row) + 1).cast("int"), F.lit(1))
+    stretches = starts.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(row))
+    sides = stretches.groupBy("row_key", "stretch").agg(
+        F.first("id").alias("order_id"), F.min("first").alias("start"), (F.max("last") + WORDS).alias("end"),
+        F.min("partner").alias("partner")).select("order_id", "start", "end", "partner")
+    return near, members, edges, sides
+
+
+_COUNTED = "kind long, n_hot long, u long, v long"
+
+
+def _count_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """The number of documents linked to each kind of a block, and the edges of the block that are not among them.
+
+    Sets of documents are bit maps, one per type and bucket of numbers; a kind reaches all that are in the map
+    of a type near one of its own.
+    """
+    near = {row.key: row.list for row in rows[rows["tag"] == 1].itertuples()}
+    kinds, edges, maps = (rows[rows["tag"] == tag] for tag in (0, 3, 2))
+    totals = dict.fromkeys(kinds["key"].tolist(), 0)
+    linked = np.zeros(len(edges), bool)
+    edge_kinds, edge_numbers = edges["key"].to_numpy(), edges["number"].to_numpy()
+    by_kind = pd.Series(np.arange(len(edges))).groupby(edge_kinds).indices
+    for bucket, part in maps.groupby("number"):
+        used = max(len(bits.rstrip(b"\0")) for bits in part["bits"]) or 1
+        bits = np.stack([np.frombuffer(b, np.uint8, used) for b in part["bits"]])
+        place = {key: at for at, key in enumerate(part["key"].tolist())}
+        reached = {}
+        for key, others in near.items():
+            at = [place[other] for other in others.tolist() if other in place]
+            if at:
+                reached[key] = np.bitwise_or.reduce(bits[at], axis=0)
+        for kind in kinds.itertuples():
+            sets = [reached[key] for key in kind.list.tolist() if key in reached]
+            if not sets:
+                continue
+            every = np.unpackbits(np.bitwise_or.reduce(np.stack(sets), axis=0), bitorder="little")
+            totals[kind.key] += int(every.sum())
+            for at, numbers in ((None, np.array([kind.number])), (by_kind.get(kind.key), None)):
+                if at is not None:
+                    numbers = edge_numbers[at]
+                if numbers is None:
+                    continue
+                within = numbers - int(bucket) * MAP_BITS
+                inside = (within >= 0) & (within < every.size)
+                hit = np.zeros(numbers.size, bool)
+                hit[inside] = every[within[inside]] == 1
+                if at is None:
+                    totals[kind.key] -= int(hit[0])  # a document is no partner of its own
+                else:
+                    linked[at] |= hit
+    rest = edges[~linked]
+    return pd.concat([
+        pd.DataFrame({"kind": list(totals), "n_hot": list(totals.values()), "u": None, "v": None}),
+        pd.DataFrame({"kind": None, "n_hot": None, "u": rest["u"], "v": rest["v"]}),
+    ]).astype({name: "Int64" for name in ("kind", "n_hot", "u", "v")})
+
+
+def count_links(near: DataFrame, members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, n_hot``: the number of other documents each is linked to by types, and the distinct ``edges`` between
+    documents that are not. Documents with the same types are of one kind and counted together."""
+    of_document = members.groupBy("id").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    numbered, _ = number_terms(of_document.withColumn("kind", F.xxhash64("types")).withColumnRenamed("id", "term"))
+    numbered = materialise(numbered.withColumnRenamed("term", "id"), "document-types")
+    kinds = materialise(numbered.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("documents"), F.first("types").alias("list"), F.min("idx").alias("number")), "kinds")
+    blocks = max(1, math.ceil(kinds.count() / KINDS_PER_BLOCK))
+    block = F.pmod(F.xxhash64("kind"), F.lit(blocks)).alias("block")
+    bits = members.select("id", "type").distinct().join(numbered.select("id", "idx"), "id").groupBy(
+        "type", F.floor(F.col("idx") / MAP_BITS).alias("number")).agg(
+        F.bitmap_construct_agg((F.col("idx") % MAP_BITS)).alias("bits"))
+    bits = materialise(bits, "type-maps")
+    lists = near.groupBy("type").agg(F.collect_list("other").alias("list"))
+    own = materialise(kinds.select(block, F.explode("list").alias("type")).distinct().join(lists, "type"), "block-types")
+    wanted = own.select("block", F.explode("list").alias("type")).distinct()
+
+    # edges between two of these documents, to be looked up where the kind of the first is
+    with_kind = materialise(edges.distinct().join(numbered.select(F.col("id").alias("u"), "kind"), "u", "left"), "edge-kinds")
+    inner = with_kind.filter("kind is not null").join(numbered.select(F.col("id").alias("v"), "idx"), "v", "left")
+    inner = materialise(inner.select("u", "v", "kind", F.col("idx").alias("number")), "inner-edges")
+
+    def tagged(rows: DataFrame, tag: int, **columns: str) -> DataFrame:
+        shape = {"key": "long", "number": "long", "bits": "binary", "list": "array<long>", "u": "long", "v": "long"}
+        return rows.select("block", F.lit(tag).alias("tag"), *[
+            (F.col(columns[name]) if name in columns else F.lit(0 if kind == "long" else None)).cast(kind).alias(name)
+            for name, kind in shape.items()])  # without nulls pandas keeps whole numbers
+
+    sent = tagged(kinds.select(block, "kind", "number", "list"), 0, key="kind", number="number", list="list").unionByName(
+        tagged(own, 1, key="type", list="list")).unionByName(
+        tagged(wanted.join(bits, "type"), 2, key="type", number="number", bits="bits")).unionByName(
+        tagged(inner.filter("number is not null").select(block, "kind", "number", "u", "v"), 3, key="kind", number="number", u="u", v="v"))
+    counted = materialise(sent.groupBy("block").applyInPandas(_count_links, _COUNTED), "counted")
+    facts = counted.filter("kind is not null").select("kind", "n_hot").join(kinds.select("kind", "documents"), "kind")
+    known = spread_lookup(numbered.select("id", "kind"), facts, "kind", "documents", numbered.count(), spread_on=["id"])
+    rest = with_kind.filter("kind is null").select("u", "v").unionByName(
+        inner.filter("number is null").select("u", "v")).unionByName(counted.filter("kind is null").select("u", "v"))
+    return known.select("id", "n_hot"), rest
 
 
 def join_cells(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of cells of one key: each with the one before it and with the first, of other documents."""
+    """All pairs of cells of one key and different documents, the larger id first."""
     parts = parts[np.lexsort((parts["first"], parts["row"], parts["group"], parts["id"], parts["key"]))]
-    fresh = np.concatenate([[True], parts["key"][1:] != parts["key"][:-1]]) if parts.size else np.zeros(0, bool)
-    heads = np.flatnonzero(fresh)
-    head = np.repeat(heads, np.diff(np.append(heads, parts.size)))
-    new_document = fresh.copy()
-    new_document[1:] |= parts["id"][1:] != parts["id"][:-1]
-    firsts = np.flatnonzero(new_document)
-    document = np.repeat(firsts, np.diff(np.append(firsts, parts.size)))  # where the own document's cells begin
-    at = np.flatnonzero(document != head)
-    before = document[at] - 1
-    pairs = np.unique(np.concatenate([np.stack([at, before]), np.stack([at, head[at]])], axis=1), axis=1)
-    return parts[pairs[0]], parts[pairs[1]]
+    pairs = []
+    for apart in range(1, parts.size):
+        at = np.flatnonzero(parts["key"][apart:] == parts["key"][:-apart])
+        if not at.size:
+            break
+        pairs.append(np.stack([at + apart, at])[:, parts["id"][at] != parts["id"][at + apart]])
+    one, two = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+    return parts[one], parts[two]
 
 
 def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
@@ -333,8 +638,8 @@ def _every_group(bodies: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def near_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (documents it was
-    found to share a passage with), ``n_words`` and ``spans`` (start and end word of stretches in which passages were
+    """Per row of ``docs``: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (the number of
+    documents it was found to share a passage with), ``n_words`` and ``spans`` (start and end word of stretches in which passages were
     found, and the smallest id each was found in). A copy of a whole text has links to the first of its copies only.
     """
     spark = docs.sparkSession
@@ -345,10 +650,15 @@ def near_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     shards = max(1, math.ceil(size / BYTES_PER_SHARD))
 
     keys = materialise(send_keys(bodies, bits, _cell_keys), "keys")
-    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(shared_codes, "group string, sent binary")
+    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(
+        shared_codes(HOT_CELLS), "group string, sent binary, hot long").drop("hot")
     send_back(keys.filter("bucket < 0").select("group", "sent").unionByName(shared), folder, "keys")
     found = materialise(send_cells(bodies, folder, bits, shards), "cells")
-    asks = found.groupBy("shard").applyInPandas(_candidates, "group string, sent binary")
+    hot = hot_passages(found.filter("shard < 0").select("id", "group", "row", "places", "shingles"), shards)
+    similar, members, hot_edges, hot_sides = hot_links(hot)
+    dealt = found.filter("shard >= 0").select("shard", "sent", "size").unionByName(
+        hot.filter("shard is not null").select("shard", "sent", "size"))
+    asks = dealt.groupBy("shard").applyInPandas(_candidates, "group string, sent binary")
     send_back(_every_group(bodies, asks), folder, "asks")
     send_back(_every_group(bodies, send_passages(bodies, folder)), folder, "checks")
     links = materialise(verify(bodies, folder), "links")
@@ -358,22 +668,26 @@ def near_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = materialise(stored.select(
         "id", "order_id", words.cast("long").alias("n_words"), "copy", "first"), "rows")
     whole = rows.filter((F.col("n_words") >= WORDS) & F.col("copy")).select("order_id", "first", "n_words")
-    edges = links.select(F.col("id").alias("u"), F.col("other_id").alias("v")).distinct().unionByName(
+    edges = links.select(F.greatest("id", "other_id").alias("u"), F.least("id", "other_id").alias("v")).distinct().unionByName(
         whole.select(F.col("order_id").alias("u"), F.col("first").alias("v")).distinct())
+    counted, edges = count_links(similar, members, edges)
     edges = materialise(edges, "edges")
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    linked = both.groupBy("u").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("u", "order_id")
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    linked = both.groupBy("u").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        counted.filter("n_hot > 0").select(F.col("id").alias("u"), F.col("n_hot").alias("n")))
+    linked = linked.groupBy(F.col("u").alias("order_id")).agg(F.sum("n").alias("n_links"))
+    edges = edges.unionByName(hot_edges)
     roots = components(edges).select(F.col("node").alias("order_id"), F.col("root").alias("class_id"))
     sides = links.select(F.col("id").alias("order_id"), "start", "end", F.col("other_id").alias("partner")).unionByName(
         links.select(F.col("other_id").alias("order_id"), F.col("other_start").alias("start"),
-                     F.col("other_end").alias("end"), F.col("id").alias("partner")))
+                     F.col("other_end").alias("end"), F.col("id").alias("partner"))).unionByName(hot_sides)
     copied = whole.select("order_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("first").alias("partner"))
     originals = whole.groupBy("first").agg(F.max("n_words").alias("end"), F.min("order_id").alias("partner")).select(
         F.col("first").alias("order_id"), F.lit(0).cast("long").alias("start"), "end", "partner")
     spans = (sides.unionByName(copied).unionByName(originals)
              .groupBy("order_id", "start", "end").agg(F.min("partner").alias("partner"))
              .groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "partner"))).alias("spans")))
-    facts = roots.join(linked, "order_id").join(spans, "order_id")
+    facts = roots.join(linked, "order_id", "left").join(spans, "order_id", "left")
     weights = rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("rows"))
     total = rows.count()
     joined = spread_lookup(rows, facts.join(weights, "order_id"), "order_id", "rows", total, spread_on=["n_words"])

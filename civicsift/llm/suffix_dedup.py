@@ -32,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicsift.llm.exchange import (
+    MOST_COUNTED,
     codes_of,
     emit,
+    known_codes,
     mixed,
     pack,
     placed,
@@ -143,7 +145,7 @@ def send_segments(bodies: DataFrame, folder: str, bits: int, shards: int) -> Dat
                 if current is not None:
                     yield finish()
                 current, found, texts = group, [], []
-                known = np.unique(np.frombuffer(read_file(folder, group, "keys"), np.uint64))
+                known, _ = known_codes(folder, group)
             rows, lengths, raw = raw_rows(piece)
             key, text, begin, count = segments(raw, lengths)
             code = codes_of(key, bits)
@@ -269,7 +271,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shards = max(1, math.ceil(size / BYTES_PER_SHARD))
 
     keys = materialise(send_keys(bodies, bits, lambda raw, lengths: segments(raw, lengths)[0]), "keys")
-    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(shared_codes, "group string, sent binary")
+    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(
+        shared_codes(MOST_COUNTED), "group string, sent binary, hot long").drop("hot")
     send_back(keys.filter("bucket < 0").select("group", "sent").unionByName(shared), folder, "keys")
 
     parts = materialise(send_segments(bodies, folder, bits, shards), "segments")

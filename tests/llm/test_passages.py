@@ -62,6 +62,15 @@ def test_near_passages_are_found_and_others_left_alone(spark, make_words):
     assert all(got[n].class_id == n and got[n].n_links == 0 for n in alone)
 
 
+def test_all_cells_of_a_key_meet():
+    parts = np.zeros(7, passages._CELL)
+    parts["key"], parts["id"] = [5, 5, 5, 5, 5, 8, 8], [1, 2, 2, 3, 4, 1, 1]
+    parts["first"] = range(7)
+    one, two = passages.join_cells(parts)
+    got = sorted(zip(two["first"].tolist(), one["first"].tolist(), strict=True))
+    assert got == [(a, b) for a in range(5) for b in range(a + 1, 5) if (a, b) != (1, 2)]
+
+
 def test_cells_group_all_passages_by_their_signatures():
     rng = np.random.default_rng(3)
     sizes = np.array([0, 45, 46, 200, 130])
