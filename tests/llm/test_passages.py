@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from civicsift.llm import exchange, passages
 
@@ -62,6 +63,57 @@ def test_near_passages_are_found_and_others_left_alone(spark, make_words):
     assert all(got[n].class_id == n and got[n].n_links == 0 for n in alone)
 
 
+def linked_documents(rows):
+    equal, near = brute_pairs(rows)
+    assert equal == near
+    partners = {row.doc_id: set() for row in rows}
+    for one, two in near:
+        partners[one].add(two)
+        partners[two].add(one)
+    return partners
+
+
+def classes_of(partners):
+    of = {}
+    for start in sorted(partners):
+        todo = [start]
+        while todo:
+            if (one := todo.pop()) not in of:
+                of[one] = start
+                todo += partners[one]
+    return of
+
+
+@pytest.mark.parametrize("hot", [(3, 3), (1000, 1000), (16, 8)])
+def test_links_are_those_of_brute_force_between_documents_of_common_lines(spark, make_words, monkeypatch, hot):
+    """A line in most documents, passages around it that few share, others stand between those in order of ids."""
+    monkeypatch.setattr(passages, "HOT_CELLS", hot[0])
+    monkeypatch.setattr(passages, "HOT_SHINGLES", hot[1])
+    monkeypatch.setattr(passages, "KINDS_PER_BLOCK", 8)
+    rng = random.Random(11)
+    line, common = make_words(rng, 24), [make_words(rng, 64), make_words(rng, 75)]
+    around = [(make_words(rng, 40), make_words(rng, 40)) for _ in range(4)]
+    texts = []
+    for number in range(32):
+        one, two = around[number % 4] if number % 3 else (make_words(rng, 40), make_words(rng, 40))
+        texts.append(" ".join([one, line, two, make_words(rng, 10)]))
+    for number in range(24):
+        middle = [common[0]] * (number % 2 == 0) + [common[1]] * (number % 3 == 0) + [line] * (number % 5 == 0)
+        rng.shuffle(middle)
+        texts.append(" ".join([make_words(rng, rng.randrange(20, 60)), *(m + " " + make_words(rng, rng.randrange(12, 20)) for m in middle)]))
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame(list(zip(order, texts, strict=True)), "doc_id long, text string").repartition(3)
+    partners = linked_documents(docs.collect())
+    want = classes_of(partners)
+    got = {r.doc_id: r for r in passages.near_passages(docs).collect()}
+    assert max(map(len, partners.values())) > 11
+    assert {n: r.n_links for n, r in got.items()} == {n: len(others) for n, others in partners.items()}
+    assert {n: r.class_id for n, r in got.items()} == want
+    for n, r in got.items():
+        assert {s.partner for s in r.spans} <= partners[n] and bool(r.spans) == bool(partners[n])
+        assert not partners[n] or min(s.partner for s in r.spans) == min(partners[n])
+
+
 def test_all_cells_of_a_key_meet():
     parts = np.zeros(7, passages._CELL)
     parts["key"], parts["id"] = [5, 5, 5, 5, 5, 8, 8], [1, 2, 2, 3, 4, 1, 1]
