@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from civicsift.llm import exchange, passages
@@ -123,6 +124,16 @@ def test_all_cells_of_a_key_meet():
     assert got == [(a, b) for a in range(5) for b in range(a + 1, 5) if (a, b) != (1, 2)]
 
 
+def test_codes_of_hot_keys_are_marked():
+    codes, counts = [[1, 4, 7], [4, 9], [4, 7]], [[1, 2, 1], [1, 3], [1, 1]]
+    rows = pd.DataFrame({"bucket": [2] * 3, "group": list("abc"),
+                         "sent": [np.array(c, np.uint32).tobytes() for c in codes],
+                         "counts": [exchange.pack(np.array(n, np.uint16).tobytes()) for n in counts]})
+    got = [np.frombuffer(exchange.unpack(sent), np.uint64).tolist() for sent in exchange.shared_codes(3)(rows)["sent"]]
+    hot, four, seven, nine = int(exchange.HOT), (2 << 32) + 4, (2 << 32) + 7, (2 << 32) + 9
+    assert got == [[four + hot, seven], [four + hot, nine + hot], [four + hot, seven]]
+
+
 def test_cells_group_all_passages_by_their_signatures():
     rng = np.random.default_rng(3)
     sizes = np.array([0, 45, 46, 200, 130])
