@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicsift.llm.common import named, text_or_empty, unpacked, whole_row
-from civicsift.operators.prefix import spread_lookup
+from civicsift.operators.prefix import running_totals, spread_lookup
 from civicsift.session import materialise
 
 MOST_COPIES = 3
 LEAF_ROWS = 5_000  # documents that meet in one leaf, about
 FAN_IN = 64
+PIECE_ROWS = 4096  # rows that repeat are numbered in pieces of so many
 EPSILON = 1e-12
 GOLDEN, STRIDE = 0.6180339887498949, 7919.0  # they turn used draws into new ones
 
@@ -169,15 +170,24 @@ def mix(docs: DataFrame, source_column: str = "source", text_column: str = "text
 def repeat_rows(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: every row of ``docs`` as many times as it is taken, with its columns unchanged.
 
-    Rows meet their copies by id and content; of rows that repeat in full the mean number is taken.
+    Rows meet their copies by id and content; rows of one id and content share the copies of all of them evenly, and
+    some of them one more where that leaves a remainder.
     """
     columns = {"text_column": "text", "id_column": "doc_id"} | {k: v for k, v in options.items() if k.endswith("_column")}
     taken = mix(docs, **options)
-    per_row = (taken.filter("copies > 0").groupBy("doc_id", "row_key")
-               .agg((F.sum("copies") / F.count(F.lit(1))).alias("times")))
+    per_row = (taken.groupBy("doc_id", "row_key").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
+               .filter("total > 0"))
     rows = docs.select(whole_row(docs).alias("row"), named(docs, columns["id_column"]).alias("id"),
                        F.xxhash64(named(docs, columns["id_column"]), named(docs, columns["text_column"])).alias("key"))
+    per_row = materialise(per_row, "copies")
     joined = rows.join(per_row, rows["id"].eqNullSafe(per_row["doc_id"]) & (rows["key"] == per_row["row_key"]))
-    times = F.greatest(F.round("times").cast("int"), F.lit(1))
-    copies = joined.select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
+    single = joined.filter("rows = 1").select("row", F.col("total").alias("times"))
+    # rows that repeat are numbered by pieces, however many there are of one
+    same = F.concat_ws(" ", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("key").cast("string"), F.col("id").isNull().cast("string"))
+    repeated = materialise(joined.filter("rows > 1").select(
+        "row", same.alias("same"), "total", "rows", F.lit(1).alias("one"), F.monotonically_increasing_id().alias("at")), "repeated")
+    placed = running_totals(repeated, ["same"], F.floor(F.col("at") / PIECE_ROWS), [F.col("at")], ["one"])
+    share = F.floor(F.col("total") / F.col("rows")) + (F.col("one_before") < F.col("total") % F.col("rows")).cast("long")
+    times = single.unionByName(placed.select("row", share.alias("times"))).filter("times > 0")
+    copies = times.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     return copies.select(*unpacked(copies, docs.columns))

@@ -101,3 +101,14 @@ def test_rows_are_repeated_whole(messy, nothing):
     want = {r.doc_id: r.copies for r in mixing.mix(unique).collect() if r.copies}
     assert Counter(r.doc_id for r in mixing.repeat_rows(unique).collect()) == Counter(want)
     assert mixing.repeat_rows(nothing).collect() == []
+
+
+def test_rows_that_repeat_share_the_copies_of_all(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 7)
+    rows = [(1, "one two", "a")] * 300 + [(None, "one two", "a")] * 40 + [(n, "three words here", "b") for n in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in mixing.repeat_rows(docs).collect())
+    assert 0 < want[1] < 300 and got == +want
