@@ -59,14 +59,17 @@ def spread_lookup(
     joined from a broadcast of at most ``HOT_SHARE`` rows; their rows are spread over
     salts in the shuffled join for everything else, where they meet no partner. The salt is
     a hash of ``spread_on`` (all columns if not given), so a lost task is redone alike.
+    The salt of ``table`` is 0 in every row but no literal: the optimizer would take a literal
+    out of the join keys, and the rows of a hot key would be placed by their key alone.
     Frequent keys that ``table`` does not know are left to adaptive skew handling.
     """
     values = [name for name in table.columns if name not in (key, weight)]
     limit = max(total // HOT_SHARE, 1)
     packed = table.select(key, weight, F.struct(*values).alias("_value"))
     hot = packed.filter(F.col(weight) > limit).select(F.col(key).alias("_hot_key"), F.col("_value").alias("_hot"))
+    cold_salt = F.when(F.col(weight) > limit, F.lit(-1)).otherwise(F.lit(0))
     cold = packed.filter(F.col(weight) <= limit).select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.col("_value").alias("_cold"))
+        F.col(key).alias("_cold_key"), cold_salt.alias("_cold_salt"), F.col("_value").alias("_cold"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     spread = F.pmod(F.xxhash64(*(spread_on or rows.columns)), F.lit(SALTS)).cast("int") + 1
     salted = marked.withColumn("_salt", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(spread))

@@ -111,6 +111,22 @@ def test_spread_lookup_equals_plain_join(spark):
         assert mine.exceptAll(plain).count() == 0
 
 
+def test_spread_lookup_places_a_hot_key_over_all_tasks(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"))
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.col("key") * 2)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sizes = spread_lookup(rows, table, "key", "n", 20_000).groupBy(F.spark_partition_id().alias("p")).count()
+        assert max(row["count"] for row in sizes.collect()) < 2 * 20_000 / 16
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_running_totals_equal_window(spark):
     rng = np.random.default_rng(0)
     rows = [(f"k{i % 3}", float(x), int(n)) for i, (x, n) in enumerate(zip(rng.random(500), rng.integers(0, 9, 500)))]
