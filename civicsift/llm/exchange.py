@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,9 +38,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return (values ^ values >> np.uint64(32)) * np.uint64(_MIX)
 
 
-@lru_cache(maxsize=2)
+_KNOWN_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a plain table: cached functions travel by name only
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumprod(np.full(size, _BASE, np.uint64)), np.cumprod(np.full(size, _INVERSE, np.uint64))
+    if size not in _KNOWN_POWERS:
+        if len(_KNOWN_POWERS) > 1:
+            _KNOWN_POWERS.clear()
+        _KNOWN_POWERS[size] = (np.cumprod(np.full(size, _BASE, np.uint64)), np.cumprod(np.full(size, _INVERSE, np.uint64)))
+    return _KNOWN_POWERS[size]
 
 
 def string_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
