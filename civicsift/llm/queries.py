@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicsift.llm import bpe, exact_dedup, mixing, multi_index, passages, quality, simhash, suffix_dedup, url_filter, warc
+from civicsift.llm import (bpe, cover_tree, exact_dedup, fim, mixing, multi_index, ngram_join, passages, quality, simhash,
+                           suffix_dedup, url_filter, warc)
 from civicsift.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +99,22 @@ def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    joined = ngram_join.join(table(spark, folder, "documents").select("doc_id", "text"))
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op12_fim(spark: SparkSession, folder: str) -> DataFrame:
+    moved = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return moved.select(F.col("row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.mine(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -109,6 +126,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_multi_index": op10_multi_index,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_fim": op12_fim,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -133,4 +153,62 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
         FROM r
     """,
+    "op11_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                   END AS g FROM d),
+        e AS MATERIALIZED (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS sh FROM s),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+            FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+        both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach(id, other) AS (
+            SELECT x, y FROM both_ways UNION SELECT r.id, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
+        least AS (SELECT id, min(other) AS other FROM reach GROUP BY id)
+        SELECT doc_id, len(g) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+        FROM s LEFT JOIN least ON id = doc_id
+    """,
+    "op12_fim": """
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                   list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substring(
+                       sha256('1:' || CAST(doc_id AS VARCHAR)), i, 8) AS BIGINT)) AS h FROM documents),
+        c AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90
+                        THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(
+                embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                   CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank,
+               other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
 }
