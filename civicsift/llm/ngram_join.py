@@ -1,7 +1,7 @@
 """Jaccard self-join on word shingles by T-occurrence search with DivideSkip.
 
 Documents of similarity 0.8 share at least ``T`` shingles, so a document need be compared only with those that
-share one of its ``n - T + 1`` least frequent shingles. Frequencies are estimated for all shingles in a table of
+share ``k`` of its ``n - T + k`` least frequent shingles; ``k`` is 1 and ``SLACK`` percent of ``n``. Frequencies are estimated for all shingles in a table of
 counters of fixed size; any order common to all documents gives the same links, a better one fewer comparisons.
 
 Documents with one set of shingles are one node. The documents of a shingle are its list; lists of the same
@@ -43,6 +43,7 @@ from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise
 
 PERCENT = 80  # of the union that the intersection must reach
+SLACK = 5  # percent of a set: documents that share a passage only are mostly told apart by it without being compared
 COUNTER_BITS = 23  # 2 ** 23 counters of four bytes, whatever the size of the table
 COUNTER_PARTS = 64
 SLICE_BYTES = 1 << 19
@@ -56,6 +57,11 @@ def least_overlap(size: int) -> int:
     return -(-PERCENT * size // 100)
 
 
+def least_frequent(size: int) -> int:
+    """How many of a set's least frequent shingles are looked up."""
+    return size - least_overlap(size) + 1 + size * SLACK // 100
+
+
 def pair_overlap(size: int, other: int) -> int:
     """Shingles that two linked sets share at least: 100 * overlap >= PERCENT * (size + other - overlap)."""
     return -(-PERCENT * (size + other) // (100 + PERCENT))
@@ -132,7 +138,7 @@ def describe(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             sizes, nodes, keys = [], [], []
             for found in sets_of(batch.column("text")):
                 often = shared.value[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                order = np.argsort(often, kind="stable")[:found.size - least_overlap(found.size) + 1]
+                order = np.argsort(often, kind="stable")[:least_frequent(found.size)]
                 sizes.append(found.size)
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 keys.append(found[order].view(np.int64))
@@ -260,13 +266,23 @@ def _links(links: list[tuple]) -> pa.RecordBatch:
 
 
 def candidate_units(nodes: DataFrame) -> DataFrame:
-    """``unit, node, n``: the nodes of every list of two or more, lists of the same nodes once."""
+    """``unit, node, n``: the nodes of every list of two or more, lists of the same nodes once.
+
+    A node stays if it shares as many of its looked-up shingles as it shares with any node it is linked with. That one is
+    no smaller than ``PERCENT`` of the node, and so are the shingles it adds to its own prefix.
+    """
     entries = nodes.select(F.explode("keys").alias("key"), "node", "n")
     lists = entries.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(7))).alias("two")).filter("size > 1")
-    units = materialise(lists.groupBy("size", "one", "two").agg(F.min("key").alias("unit")).select("unit", "size"), "units")
-    return materialise(entries.join(units, entries["key"] == units["unit"]).select("unit", "node", "n"), "unit-nodes")
+    units = materialise(lists.groupBy("size", "one", "two").agg(
+        F.min("key").alias("unit"), F.count(F.lit(1)).alias("lists")).select("unit", "lists"), "units")
+    held = materialise(entries.join(units, entries["key"] == units["unit"]).select("unit", "lists", "node", "n"), "unit-nodes")
+    shared = held.groupBy("node", "n").agg(F.sum("lists").alias("shared")).filter(
+        F.col("shared") > F.floor(F.col("n") * PERCENT * SLACK / 10_000)).select("node")
+    kept = materialise(held.join(materialise(shared, "unit-shared"), "node").select("unit", "node", "n"), "unit-kept")
+    several = materialise(kept.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("unit"), "unit-several")
+    return materialise(kept.join(several, "unit"), "unit-nodes")
 
 
 def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -279,15 +295,19 @@ def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> Da
     near = mark_repeats(texts.withColumn("name", name), "name", words, words.count(), bits).filter("maybe_repeated")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of this task; a set that several tasks give is searched as often, to the same end
         for batch in batches:
-            found = [s.tobytes() for s in sets_of(batch.column("text"))]
-            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.binary())], ["node", "found"])
+            fresh = {}
+            for found in sets_of(batch.column("text")):
+                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh[digest] = found.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary()), pa.array(list(fresh.values()), pa.binary())],
+                                             ["node", "found"])
 
     small_batches(spark)
-    made = near.select("text").mapInArrow(work, "node binary, found binary")
-    once = made.groupBy("node").agg(F.first("found").alias("found"))  # sets of one digest are equal
-    return materialise(once.join(wanted.select("node"), "node", "left_semi"), "unit-sets")
+    return materialise(near.select("text").mapInArrow(work, "node binary, found binary"), "unit-sets")
 
 
 def _round(units: DataFrame, names: DataFrame, sets: DataFrame, number: int) -> tuple[DataFrame, DataFrame] | None:
@@ -309,8 +329,9 @@ def _round(units: DataFrame, names: DataFrame, sets: DataFrame, number: int) ->
     own = F.pmod(F.xxhash64("node", F.lit(number), F.lit(1)), deals).cast("int")
     taking = live.join(reach, "unit").filter(useful).withColumn(
         "deal", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), deals - 1)).otherwise(F.array(own))))
-    rows = taking.join(sets, "node").select("unit", "deal", "leads", "component", "found")
-    return search_rows(rows), live.filter("not leads").select("unit", "node", "n")
+    # written, so that its size is known and small ones leave the sets where they are until they go to their tasks
+    rows = materialise(taking.select("unit", "deal", "leads", "component", "node"), "unit-taking").join(sets, "node")
+    return search_rows(rows.select("unit", "deal", "leads", "component", "found")), live.filter("not leads").select("unit", "node", "n")
 
 
 def linked_nodes(units: DataFrame, sets: DataFrame) -> DataFrame:
