@@ -10,10 +10,12 @@ document of the unit as a query against it: the long inverted lists are set asid
 heap that skips ahead, and a document found often enough is looked for in the long lists by binary search
 (``Index.search``). Only pairs that no chain of links connects yet are counted, as the join gives components.
 
-Units of any size are searched in rounds. The documents of a unit outside its largest component are its index, at
-most about ``LEADERS`` a round, copied to tasks of ``TASK_ROWS`` documents; they meet all others of the unit and
-leave it. A unit ends when one component is left in it. A first round, in which every document goes to one of its units
-only, connects most of what belongs together.
+Units of any size are searched in rounds. In the first, every document goes to one of its units only, with its set, which
+connects most of what belongs together. Later ones take for each unit the documents outside its largest component, at
+most about ``LEADERS`` a round; they are paired, by number, with all others of the unit and leave it. A pair that
+shares too few looked-up shingles is dropped. What is left is searched by the component of the leaders: they are
+the index, and a set is sent there once however many units it has in common with them. A unit ends when one component is
+left in it. Large searches are dealt over tasks of ``TASK_ROWS`` documents.
 
 Shingles are compared by 64-bit hashes. Defined cases: a null text counts as empty; a document without words has no
 shingle, is linked with nothing and keeps its own id as component; fewer than five words are one shingle. Rows that
@@ -266,7 +268,7 @@ def _links(links: list[tuple]) -> pa.RecordBatch:
 
 
 def candidate_units(nodes: DataFrame) -> DataFrame:
-    """``unit, node, n``: the nodes of every list of two or more, lists of the same nodes once.
+    """``unit, node, n, lists``: the nodes of every list of two or more; ``lists`` lists of the same nodes are one unit.
 
     A node stays if it shares as many of its looked-up shingles as it shares with any node it is linked with. That one is
     no smaller than ``PERCENT`` of the node, and so are the shingles it adds to its own prefix.
@@ -282,7 +284,7 @@ def candidate_units(nodes: DataFrame) -> DataFrame:
         F.col("shared") > F.floor(F.col("n") * PERCENT * SLACK / 10_000)).select("node")
     kept = materialise(held.join(materialise(shared, "unit-shared"), "node").select("unit", "node", "n"), "unit-kept")
     several = materialise(kept.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("unit"), "unit-several")
-    return materialise(kept.join(several, "unit"), "unit-nodes")
+    return materialise(kept.join(several, "unit").join(units, "unit"), "unit-nodes")
 
 
 def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -310,48 +312,81 @@ def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> Da
     return materialise(near.select("text").mapInArrow(work, "node binary, found binary"), "unit-sets")
 
 
-def _round(units: DataFrame, names: DataFrame, sets: DataFrame, number: int) -> tuple[DataFrame, DataFrame] | None:
-    """Search units once: the links found, and what is left of the units; None when no unit has two components."""
-    now = units.join(names, "node").select("unit", "node", "n", "component")
+def _live(units: DataFrame, names: DataFrame, number: int) -> DataFrame:
+    """The units with two components at least: which nodes lead this round, and whether all outside the largest one do."""
+    now = units.join(names, "node").select("unit", "lists", "node", "n", "component")
     parts = now.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("part"))
     shape = parts.groupBy("unit").agg(F.max_by("component", F.struct("part", "component")).alias("main"),
                                       F.max("part").alias("most"), F.sum("part").alias("size")).filter("size > most")
-    chance = (F.xxhash64("node", F.lit(number)).cast("double") / 2.0 ** 64 + 0.5) * (F.col("size") - F.col("most"))
-    live = materialise(
-        now.join(shape, "unit").withColumn("leads", (F.col("component") != F.col("main")) & (chance < LEADERS)), "unit-round")
-    if live.isEmpty():
-        return None
-    reach = live.filter("leads").groupBy("unit").agg(
-        F.min("n").alias("least"), F.max("n").alias("greatest"), F.min("component").alias("one"), F.max("component").alias("two"))
-    useful = F.col("leads") | ((100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("greatest"))
-                               & ((F.col("one") != F.col("two")) | (F.col("component") != F.col("one"))))
-    deals = F.ceil(F.col("size") / TASK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(number), F.lit(1)), deals).cast("int")
-    taking = live.join(reach, "unit").filter(useful).withColumn(
-        "deal", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), deals - 1)).otherwise(F.array(own))))
-    # written, so that its size is known and small ones leave the sets where they are until they go to their tasks
+    outside = F.col("size") - F.col("most")
+    chance = (F.xxhash64("node", F.lit(number)).cast("double") / 2.0 ** 64 + 0.5) * outside
+    return materialise(now.join(shape, "unit").select(
+        "unit", "lists", "node", "n", "component", "size", (outside <= LEADERS).alias("whole"),
+        ((F.col("component") != F.col("main")) & ((outside <= LEADERS) | (chance < LEADERS))).alias("leads")), "unit-round")
+
+
+def _sent(taking: DataFrame, sets: DataFrame) -> DataFrame:
+    """Search ``unit, deal, leads, component, node``. It is written first, so that its size is known and, while it is small,
+    the sets stay where they are until they go to their tasks."""
     rows = materialise(taking.select("unit", "deal", "leads", "component", "node"), "unit-taking").join(sets, "node")
-    return search_rows(rows.select("unit", "deal", "leads", "component", "found")), live.filter("not leads").select("unit", "node", "n")
+    return search_rows(rows.select("unit", "deal", "leads", "component", "found"))
+
+
+def _dealt(rows: DataFrame, size: str, number: int) -> DataFrame:
+    """Give leaders every ``deal`` of their unit, others one of them."""
+    deals = F.ceil(F.col(size) / TASK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(number), F.lit(1)), deals).cast("int")
+    return rows.withColumn("deal", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), deals - 1)).otherwise(F.array(own))))
+
+
+def first_links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within units, every node being in one unit only."""
+    reach = live.filter("leads").groupBy("unit").agg(F.min("n").alias("least"), F.max("n").alias("greatest"))
+    useful = F.col("leads") | ((100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("greatest")))
+    return _sent(_dealt(live.join(reach, "unit").filter(useful), "size", 0), sets)
+
+
+def later_links(live: DataFrame, sets: DataFrame, number: int) -> DataFrame:
+    """Links between components of units whose nodes are in many of them."""
+    leaders = live.filter("leads").select("unit", F.col("node").alias("leader"), F.col("n").alias("m"),
+                                          F.col("component").alias("origin"), "lists")
+    fitting = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("component") != F.col("origin"))
+    pairs = leaders.join(live.drop("lists"), "unit").filter(fitting & (~F.col("leads") | (F.col("leader") < F.col("node"))))
+    # a pair is seen in every unit of both, unless both are in units of which only some nodes lead this round
+    part = live.filter("not whole").select("node").distinct()
+    counted = pairs.groupBy("leader", "node", "origin").agg(F.sum("lists").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    counted = counted.join(part.withColumn("open", F.lit(True)), "node", "left").join(
+        part.select(F.col("node").alias("leader"), F.lit(True).alias("leader_open")), "leader", "left")
+    enough = F.col("shared") > F.floor(F.least("n", "m") * SLACK / 100)
+    found = materialise(counted.filter(enough | (F.col("open") & F.col("leader_open"))).select("leader", "node", "origin"), "unit-pairs")
+    shares = materialise(found.select("origin", "leader").distinct().groupBy("origin").agg(
+        F.ceil(F.count(F.lit(1)) / LEADERS).cast("int").alias("shares")), "unit-shares")
+    placed = found.join(shares, "origin").withColumn("unit", F.struct(
+        "origin", F.pmod(F.xxhash64("leader", F.lit(number)), F.col("shares")).cast("int").alias("share")))
+    named = live.select("node", "component").distinct()
+    both = placed.select("unit", F.col("leader").alias("node"), F.lit(True).alias("leads")).unionByName(
+        placed.select("unit", "node", F.lit(False).alias("leads"))).distinct()
+    sizes = both.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
+    return _sent(_dealt(both.join(sizes, "unit").join(named, "node"), "size", number), sets)
 
 
 def linked_nodes(units: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, component`` of all nodes of ``units``; a component is named after one of its nodes."""
     names = materialise(units.select("node").distinct().withColumn("component", F.col("node")), "node-names")
     own = units.groupBy("node").agg(F.min_by("unit", F.xxhash64("unit")).alias("unit"))
-    first, number = units.join(own, ["node", "unit"]).select("unit", "node", "n"), 0
+    first, number = units.join(own, ["node", "unit"]), 0
     while True:
-        result = _round(first if number == 0 else units, names, sets, number)
-        if result is not None:
-            links = materialise(result[0], "unit-links")
-            if not links.isEmpty():
-                roots = components(links)
-                names = materialise(
-                    names.join(roots, names["component"] == roots["node"], "left")
-                    .select(names["node"], F.coalesce("root", "component").alias("component")), "node-names")
-            if number:
-                units = materialise(result[1], "unit-nodes")
-        elif number:
+        live = _live(first if number == 0 else units, names, number)
+        if number and live.isEmpty():
             return names
+        links = materialise(later_links(live, sets, number) if number else first_links(live, sets), "unit-links")
+        if not links.isEmpty():
+            roots = components(links)
+            names = materialise(
+                names.join(roots, names["component"] == roots["node"], "left")
+                .select(names["node"], F.coalesce("root", "component").alias("component")), "node-names")
+        if number:
+            units = materialise(live.filter("not leads").select("unit", "lists", "node", "n"), "unit-nodes")
         number += 1
 
 
