@@ -350,15 +350,20 @@ def similar_types(types: DataFrame) -> DataFrame:
     shingles alone; both ways, and each with itself if so."""
     types = types.withColumn("shingles", F.sort_array("shingles"))
     size = F.size("shingles")
+    # with any partner of a fitting number of words, four fifths of a type's own number are in common at least
+    weakest = F.ceil(4 * F.col("words") / 5)
+    leading = types.filter(size >= weakest).select(
+        "type", "words", size.alias("size"),
+        F.posexplode(F.slice("shingles", F.lit(1), (size - weakest + 1).cast("int"))).alias("place", "shingle"))
+    swapped = leading.select("shingle", *[F.col(name).alias(f"other_{name}") for name in ("words", "size", "place")],
+                             F.col("type").alias("other"))
     need = F.ceil(4 * (F.col("words") + F.col("other_words")) / 9)  # shingles in common, by the sizes of both
-    sizes = types.select(F.col("words").alias("other_words")).distinct()
-    leading = types.join(F.broadcast(sizes), (need <= size) & (need <= F.col("other_words"))).select(
-        "type", "words", "other_words", (size > need).alias("spare"), F.explode(F.slice("shingles", F.lit(1), (size - need + 1).cast("int"))).alias("shingle"))
-    swapped = leading.select(F.col("type").alias("other"), F.col("words").alias("other_words"),
-                             F.col("other_words").alias("words"), F.col("spare").alias("other_spare"), "shingle")
+    fitting = 5 * F.least("words", "other_words") >= 4 * F.greatest("words", "other_words")
+    leads = (F.col("place") <= F.col("size") - need) & (F.col("other_place") <= F.col("other_size") - need)
     # two types without a shingle to spare would have the same ones; they differ in ``words`` or are the same type
-    possible = (F.col("spare") | F.col("other_spare") | (F.col("words") != F.col("other_words"))) & (F.col("type") < F.col("other"))
-    pairs = leading.join(swapped, ["shingle", "words", "other_words"]).filter(possible).select("type", "other").distinct()
+    possible = (F.col("size") > need) | (F.col("other_size") > need) | (F.col("words") != F.col("other_words"))
+    pairs = leading.join(swapped, "shingle").filter(
+        (F.col("type") < F.col("other")) & fitting & leads & possible).select("type", "other").distinct()
     others = types.select(F.col("type").alias("other"), F.col("words").alias("other_words"), F.col("shingles").alias("other_shingles"))
     common = F.size(F.array_intersect("shingles", "other_shingles"))
     near = pairs.join(types, "type").join(others, "other").filter(
