@@ -10,7 +10,7 @@ The vectors of a few first-half centroids make a lane; large lanes are dealt ove
 the queries that walk to them, in blocks. A task returns the best rows per query, which are merged.
 
 Defined cases: vectors that are null or zero, that hold null or non-finite components, or whose length is
-not the greatest among the others take no part, neither do rows without an id. Rows that share an
+not the most frequent one (of several such the shortest) take no part, neither do rows without an id. Rows that share an
 id are candidates each, listed once with their best score, and share one ranking as a query. Ties go to the smaller id. With
 fewer candidates than asked for all are listed. An empty table gives an empty result.
 """
@@ -103,7 +103,8 @@ def prepare(table: DataFrame, id_column: str, vector_column: str) -> tuple[DataF
     """``id, vector`` of the rows that take part, and the length of their vectors."""
     rows = table.select(named(table, id_column).alias("id"), named(table, vector_column).alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    length = rows.agg(F.max(F.size("vector"))).first()[0] or 0
+    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    length = lengths["length"] if lengths else 0
     return rows.filter(F.size("vector") == length), length
 
 

@@ -59,6 +59,11 @@ def test_rows_that_take_no_part(spark):
     assert multi_index.nearest(frame.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
+def test_one_longer_vector_changes_nothing(spark, vectors):
+    rows = vectors[:60]
+    assert found(spark, [*rows, (5000, [0.5] * 17)]) == found(spark, rows)
+
+
 def test_walk_goes_down_the_sums(vectors):
     rng = np.random.default_rng(2)
     first, second = rng.normal(size=(7, 3)), rng.normal(size=(5, 3))
