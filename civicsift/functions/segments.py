@@ -112,10 +112,24 @@ def editable_changes(parts: Column) -> Column:
     return F.aggregate(tags, zero, step, lambda state: state["changes"])
 
 
-def is_editable(changes: Column, at: Column) -> Column:
-    """Whether piece ``at`` lies in an editable element, given ``editable_changes``."""
-    before = F.filter(changes, lambda change: change["after"] < at)
-    return F.coalesce(F.get(before, F.size(before) - 1)["on"], F.lit(False))
+def editable_flags(parts: Column, changes: Column) -> Column:
+    """For every piece whether it lies in an editable element, given ``editable_changes``; one step per change."""
+    count = F.size(parts)
+    after = F.transform(changes, lambda change: change["after"])
+    ends = F.concat(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), F.array(count - 1))
+    runs = F.zip_with(changes, ends, lambda change, end: F.array_repeat(change["on"], F.greatest(end - change["after"], F.lit(0))))
+    first = F.array_repeat(F.lit(False), F.coalesce(F.get(after, F.lit(0)) + 1, count))
+    return F.flatten(F.concat(F.array(first), F.when(F.size(changes) > 0, runs).otherwise(
+        F.array().cast("array<array<boolean>>"))))
+
+
+def aligned(entries: Column, at: str, value: str) -> Column:
+    """Field ``value`` of ``entries``, structs in ascending order of the distinct numbers ``at``, as an array in which each
+    stands at its number; nulls between. A list beside such an array is matched in one pass."""
+    numbers = F.transform(entries, lambda entry: entry[at])
+    before = F.slice(F.concat(F.array(F.lit(-1)), numbers), F.lit(1), F.size(entries))
+    return F.flatten(F.zip_with(entries, before, lambda entry, last: F.concat(
+        F.array_repeat(F.when(F.lit(False), entry[value]), entry[at] - last - 1), F.array(entry[value]))))
 
 
 def unescape(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,11 +10,31 @@ from civicsift.functions.text import dedupe_key, is_number, keep_if
 from civicsift.operators.checks import require_columns
 
 
+class CleanObserver:
+    """Counts rows while they are cleaned, in the very pass that writes them; see ``clean_comments``.
+
+    An observer serves one action on the cleaned frame, after which ``counts`` can be asked for.
+    """
+
+    def __init__(self) -> None:
+        self._read, self._filled, self._kept = (Observation() for _ in range(3))
+
+    @staticmethod
+    def _watch(frame: DataFrame, observation: Observation) -> DataFrame:
+        return frame.observe(observation, F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> dict[str, int]:
+        """Rows read, blank rows removed, duplicate rows removed, rows left."""
+        read, filled, kept = (o.get["rows"] for o in (self._read, self._filled, self._kept))
+        return {"input_rows": read, "removed_empty": read - filled, "removed_duplicates": filled - kept, "output_rows": kept}
+
+
 def clean_comments(
     comments: DataFrame,
     keep_first: bool = False,
     position: Column | None = None,
     body: str = "body",
+    observer: CleanObserver | None = None,
 ) -> DataFrame:
     """One row per distinct normalised body, blanks and URL-only bodies dropped.
 
@@ -22,7 +42,7 @@ def clean_comments(
     latest ``created_utc``, then the largest ``comment_id``, then the earliest position;
     columns that do not exist take no part. ``keep_first`` looks at the position only.
 
-    ``position`` is a number or a struct of numbers.
+    ``position`` is a number or a struct of numbers. ``observer`` counts the rows as they pass.
 
     The winner is an aggregate, not a window: each task first reduces its own copies, so a
     text that makes up a third of all rows reaches the shuffle as one row per task.
@@ -30,13 +50,20 @@ def clean_comments(
     require_columns(comments, [body])
     if position is None:
         position = F.col("_position") if "_position" in comments.columns else F.monotonically_increasing_id()
+    names = comments.columns
+    if observer:
+        comments = observer._watch(comments, observer._read)
     keyed = comments.withColumn("_at", position).withColumn(
         "_key", keep_if(dedupe_key(F.col(body)), lambda key: key != ""))
+    if observer:
+        keyed = observer._watch(keyed, observer._filled)
     at = _earliest_largest(keyed)
     rank = F.struct(*([] if keep_first else preference(comments.columns)), at.alias("at"))
     # the digest stands for the text, which then neither moves nor is sorted by
-    rows = keyed.select(F.sha2("_key", 256).alias("_digest"), rank.alias("_rank"), F.struct(*comments.columns).alias("_row"))
+    rows = keyed.select(F.sha2("_key", 256).alias("_digest"), rank.alias("_rank"), F.struct(*names).alias("_row"))
     kept = rows.groupBy("_digest").agg(F.max_by("_row", "_rank").alias("_row"))
+    if observer:
+        kept = observer._watch(kept, observer._kept)
     return kept.select("_row.*")
 
 

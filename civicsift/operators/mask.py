@@ -51,7 +51,7 @@ def mask_texts(texts: DataFrame, scorer: Scorer, key: str, text: str = "text", o
     ).filter(F.col("text") != "")
     masks = _masks(scorer(rows)).withColumnRenamed("key", "_key")
     joined = texts.join(masks, F.col(key) == F.col("_key"), "left")
-    rebuilt = _rebuild(seg.sentences(F.col(text)), F.col("_masks"), F.lit("0"), lambda part: part, lambda part: part)
+    rebuilt = _rebuild(seg.sentences(F.col(text)), F.get("_masks", F.lit(0))["parts"], lambda part: part, lambda part: part)
     masked = F.when(F.col("_masks").isNull(), F.col(text)).otherwise(rebuilt)
     return joined.withColumn(output, settled(masked)).drop("_key", "_masks")
 
@@ -71,13 +71,12 @@ def mask_pages(pages: DataFrame, scorer: Scorer, key: str = "page_id", page: str
     masks = _masks(scorer(rows)).withColumnRenamed("key", "_key")
     joined = pages.join(masks, F.col(key) == F.col("_key"), "left")
 
-    def node_text(piece: Column, i: Column) -> Column:
-        number = i.cast("string")
-        touched = F.exists(F.map_keys("_masks"), lambda name: F.substring_index(name, ":", 1) == number)
-        rebuilt = _rebuild(seg.sentences(seg.unescape(piece)), F.col("_masks"), number, seg.escape, _span)
-        return F.when(touched, rebuilt).otherwise(piece)
+    def node_text(piece: Column, parts: Column) -> Column:
+        rebuilt = _rebuild(seg.sentences(seg.unescape(piece)), parts, seg.escape, _span)
+        return F.when(parts.isNull(), piece).otherwise(rebuilt)
 
-    whole = F.array_join(F.transform(seg.pieces(F.col(page)), node_text), "")
+    # pieces and masks go side by side; the last masked piece may be followed by others
+    whole = F.array_join(F.zip_with(seg.pieces(F.col(page)), seg.aligned(F.col("_masks"), "node", "parts"), node_text), "")
     masked = F.when(F.col("_masks").isNull(), F.col(page)).otherwise(whole)
     return joined.withColumn(output, settled(masked)).drop("_key", "_masks")
 
@@ -92,8 +91,8 @@ def _nodes(page: Column) -> Column:
         return F.filter(decoded, lambda part: part["text"].rlike(_WORD))
 
     def build_editable(parts: Column) -> Column:
-        return bind(seg.editable_changes(parts), lambda changes: F.filter(
-            build(parts), lambda part: ~seg.is_editable(changes, part["node"])))
+        flags = bind(seg.editable_changes(parts), lambda changes: seg.editable_flags(parts, changes))
+        return bind(flags, lambda on: F.filter(build(parts), lambda part: ~F.get(on, part["node"])))
 
     editable = page.rlike("(?i)contenteditable")
     return bind(
@@ -101,20 +100,20 @@ def _nodes(page: Column) -> Column:
 
 
 def _masks(scored: DataFrame) -> DataFrame:
-    """``(key, _masks)``: per text the labels of its active segments, named ``node:pos``."""
-    active = scored.filter(F.size("active_labels") > 0)
-    name = F.concat_ws(":", F.col("segment.node").cast("string"), F.col("segment.pos").cast("string"))
-    return active.select(F.col("segment.key").alias("key"), name.alias("name"), "active_labels").groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "active_labels"))).alias("_masks"))
+    """``(key, _masks)``: per text its nodes with active segments, and per node the places and labels of those, in order."""
+    active = scored.filter(F.size("active_labels") > 0).select("segment.key", "segment.node", "segment.pos", "active_labels")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "active_labels"))), lambda part: F.struct(
+        part["pos"].alias("pos"), part["active_labels"].alias("labels")))
+    nodes = active.groupBy("key", "node").agg(parts.alias("parts"))
+    return nodes.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "parts"))).alias("_masks"))
 
 
-def _rebuild(parts: Column, masks: Column, node: Column, clean: Callable, put: Callable) -> Column:
+def _rebuild(sentences: Column, parts: Column, clean: Callable, put: Callable) -> Column:
     """Segments joined again, masked ones replaced."""
-    def one(part: Column, i: Column) -> Column:
-        labels = F.try_element_at(masks, F.concat_ws(":", node, i.cast("string")))
-        return F.when(labels.isNull(), clean(part)).otherwise(put(seg.placeholder(part, labels)))
+    def one(sentence: Column, labels: Column) -> Column:
+        return F.when(labels.isNull(), clean(sentence)).otherwise(put(seg.placeholder(sentence, labels)))
 
-    return F.array_join(F.transform(parts, one), "")
+    return F.array_join(F.zip_with(sentences, seg.aligned(parts, "pos", "labels"), one), "")
 
 
 def _span(text: Column) -> Column:

@@ -155,6 +155,42 @@ WITH prep AS (
   WHERE text NOT IN ('', '[deleted]', '[removed]')
     AND {_clean('text')} <> '' AND NOT starts_with({_clean('text')}, 'http'))"""
 
+_CLEAN_COUNTS = f"""
+SELECT count(*) AS input_rows, count(*) FILTER (k = '') AS removed_empty,
+  count(*) FILTER (k <> '') - count(DISTINCT k) FILTER (k <> '') AS removed_duplicates,
+  count(DISTINCT k) FILTER (k <> '') AS output_rows FROM (SELECT {_key('text')} AS k FROM documents)"""
+
+_DIRTY = """
+WITH x AS (
+  SELECT CASE j WHEN 3 THEN 'hot' WHEN 2 THEN 'v' || doc_id WHEN 4 THEN 'v' || doc_id ELSE doc_id::VARCHAR END AS comment_id,
+    CASE j WHEN 1 THEN 'again ' || text WHEN 4 THEN 'late ' || text WHEN 2 THEN
+      ['', '[deleted]', '[removed]', 'http://x.org/ a', E' \\n\\t ', 'HTTP://X.ORG a', '  https://y.org', '[deleted] '][doc_id % 8 + 1]
+      ELSE text END AS body, doc_id * 5 + j AS "at"
+  FROM documents, (SELECT unnest(range(5)) AS j))"""
+
+_PATTERN_FILES = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(nullif(regexp_extract(text, '[A-Za-z]{{3,}}'), ''), 'none') AS word, doc_id % {len(LABELS)} AS place,
+    doc_id // {len(LABELS)} % 10 AS kind FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY doc_id) AS line FROM d),
+o AS (SELECT *, 0 AS origin FROM n UNION ALL SELECT *, 1 FROM n WHERE place < 3)
+SELECT origin, [{", ".join(_text(name) for name in LABELS)}][place + 1] AS label, line,
+  CASE kind WHEN 7 THEN '(' || word WHEN 8 THEN '\\b' || word || '\\b' WHEN 9 THEN word || '|x' || word ELSE word END AS pattern,
+  CASE kind WHEN 2 THEN 0.5 WHEN 3 THEN 1.25 WHEN 6 THEN NULL WHEN 8 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight,
+  CASE kind WHEN 6 THEN 'no number' WHEN 7 THEN 'invalid regex' ELSE '' END AS problem,
+  row_number() OVER (ORDER BY place, origin, line) AS number
+FROM o WHERE kind > 1"""
+
+_PAIRS_OF = """SELECT {id} p || ' ' || r AS pair FROM (
+  SELECT {id} unnest(w) AS p, unnest(w[2:]) AS q, unnest(w[3:]) AS r FROM (
+    SELECT {id} regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS w FROM {table}))
+  WHERE regexp_full_match(p, '[a-z]{{4,}}') AND q = ' ' AND regexp_full_match(r, '[a-z]{{4,}}') AND p <> r"""
+
+_PATTERN_HITS = f"""
+WITH known AS (SELECT DISTINCT pair FROM ({_PAIRS_OF.format(id='', table='conversations')}))
+SELECT doc_id, pair, count(*) AS matches FROM ({_PAIRS_OF.format(id='doc_id,', table='documents')})
+JOIN known USING (pair) GROUP BY ALL"""
+
 _TRUTH = """truth AS (SELECT doc_id, doc_id % 50 AS post_id, n_chars, toxic, quality
   FROM documents JOIN labels USING (doc_id))"""
 
@@ -251,6 +287,52 @@ SELECT 'documents' AS source_subreddit, doc_id::VARCHAR AS comment_id, lang, tex
 FROM documents
 UNION ALL SELECT 'conversations', '', '', text, conv_id::VARCHAR, role FROM conversations
 UNION ALL SELECT 'benchmark', item_id::VARCHAR, '', text, '', '' FROM benchmark""",
+    "merge_files": """
+        SELECT tag AS source_subreddit, doc_id::VARCHAR AS comment_id, text AS body,
+          CASE WHEN tag = 'beta' THEN n_chars::VARCHAR ELSE '' END AS score,
+          CASE WHEN tag = 'gamma' THEN lang ELSE '' END AS lang, row_number() OVER (ORDER BY tag, doc_id) AS position
+        FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS tag FROM documents)""",
+    "merge_counts": "SELECT count(*) AS rows, true AS all_files FROM documents",
+    "pattern_files": _PATTERN_FILES,
+    "pattern_hits": _PATTERN_HITS,
+    "clean_sorted": f"""
+        SELECT comment_id, toxic_score, created_utc, row_number() OVER (ORDER BY try_cast(toxic_score AS DOUBLE)
+          DESC NULLS LAST, created_utc DESC, comment_id DESC) AS position FROM ({_BEST})""",
+    "label_order": f"""{_PREPARED}, x AS (
+        SELECT unnest([{", ".join(_text(name) for name in LABELS)}]) AS label,
+          unnest([{", ".join(f"(SELECT sum({name})::BIGINT FROM prep)" if name in ("toxic", "insult") else "0::BIGINT"
+                             for name in LABELS)}]) AS positives)
+        SELECT label, positives, row_number() OVER (ORDER BY positives DESC, label) AS position FROM x""",
+    "preview_rows": f"""{_PREPARED}
+        SELECT comment_id, subreddit, toxic, row_number() OVER (ORDER BY comment_id::BIGINT) AS position
+        FROM prep ORDER BY position LIMIT 3""",
+    "prepare_dirty": f"""{_DIRTY}, c AS (
+        SELECT *, {_clean('body')} AS k FROM x WHERE body NOT IN ('', '[deleted]', '[removed]'))
+        SELECT comment_id, "at", md5(k) AS body_md5 FROM c WHERE k <> '' AND NOT starts_with(k, 'http')
+        QUALIFY row_number() OVER (PARTITION BY comment_id ORDER BY "at") = 1""",
+    "clean_dirty": f"""{_DIRTY}, c AS (SELECT *, {_key('body')} AS k FROM x)
+        SELECT comment_id, "at" FROM c WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY "at") = 1""",
+    "label_dirty": f"""{_labeled()}
+        SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 0.0 ELSE toxic_score END AS toxic_score,
+          CASE WHEN doc_id % 4 < 2 THEN 0.0 ELSE insult_score END AS insult_score,
+          CASE WHEN doc_id % 4 < 2 THEN '' ELSE labels END AS labels FROM l""",
+    "write_inplace": f"""
+        SELECT doc_id::VARCHAR AS comment_id, text AS body FROM documents WHERE {_key('text')} <> ''
+        QUALIFY row_number() OVER (PARTITION BY {_key('text')} ORDER BY doc_id) = 1""",
+    "model_saved": f"{_scored(MODEL_THRESHOLDS)} SELECT doc_id, label, round(prob, 6) AS prob, pred FROM p",
+    "tolerant_read": """
+        SELECT 'good' AS source_subreddit, doc_id::VARCHAR AS comment_id, md5(text) AS body_md5, '' AS problem
+        FROM documents WHERE doc_id % 3 = 0
+        UNION ALL SELECT 'records', doc_id::VARCHAR, CASE WHEN doc_id % 2 = 0 THEN '' ELSE md5(md5(text)) END,
+          CASE WHEN doc_id % 2 = 0 THEN '3 cells for 2 columns' ELSE '' END FROM documents WHERE doc_id % 3 = 1
+        UNION ALL SELECT 'bodiless', '', '', 'no column body' UNION ALL SELECT 'broken', '', '', 'file cannot be read'""",
+    "stream_burst": """
+        WITH s AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER w > INTERVAL 30 MINUTES AS fresh FROM events
+          WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        b AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM s)
+        SELECT user_id, max_by(event_id, ts) AS last_event, count(*) AS versions FROM b GROUP BY user_id, burst
+        HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_once_bounded": "SELECT event_id, true AS state_bounded FROM events",
     "csv_roundtrip": "SELECT doc_id::VARCHAR AS doc_id, source, text FROM documents",
     "normalised": f"SELECT doc_id, md5({_key('text')}) AS dedupe_md5, md5({_clean('text')}) AS clean_md5 FROM documents",
     "clean_best": _BEST,
@@ -258,10 +340,8 @@ UNION ALL SELECT 'benchmark', item_id::VARCHAR, '', text, '', '' FROM benchmark"
 SELECT doc_id, body, source FROM (
   SELECT doc_id, text AS body, source, row_number() OVER (PARTITION BY {_key('text')} ORDER BY doc_id) AS rn
   FROM documents WHERE {_key('text')} <> '') WHERE rn = 1""",
-    "clean_counts": f"""
-SELECT count(*) AS input_rows, count(*) FILTER (k = '') AS removed_empty,
-  count(*) FILTER (k <> '') - count(DISTINCT k) FILTER (k <> '') AS removed_duplicates,
-  count(DISTINCT k) FILTER (k <> '') AS output_rows FROM (SELECT {_key('text')} AS k FROM documents)""",
+    "clean_counts": _CLEAN_COUNTS,
+    "observed_counts": _CLEAN_COUNTS,
     "label_rules": f"{_labeled()} SELECT source_subreddit, comment_id, {_SCORE_COLUMNS}, labels FROM l",
     "label_counts": f"{_labeled()} {_COUNTS}",
     "label_overall": f"""{_labeled()}

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicsift.constants import LABELS
 from civicsift.functions.text import (
     clean_text,
     dedupe_key,
@@ -18,11 +20,13 @@ from civicsift.functions.text import (
     ngrams,
     rule_tokens,
 )
-from civicsift.operators import clean, label, mask, metrics, model, prepare, split, stats, tfidf
+from civicsift.operators import clean, hits, label, mask, metrics, model, prepare, split, stats, tfidf
+from civicsift.operators.order import number_rows
 from civicsift.plans.lexicon import PATTERNS, QUERY_NEGATORS
 from civicsift.plans.pipeline import train
 from civicsift.session import materialise, scratch_path, spread
-from civicsift.sources import artifacts, comments, reports
+from civicsift.sources import artifacts, comments, patterns, reports
+from civicsift.sources.files import publish
 from civicsift.streaming import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +107,15 @@ def clean_counts(spark: SparkSession, folder: str) -> DataFrame:
     return clean.clean_counts(as_comments(spark, folder))
 
 
+def observed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters of cleaning, taken while the cleaned rows are written."""
+    observer = clean.CleanObserver()
+    kept = clean.clean_comments(as_comments(spark, folder), observer=observer)
+    comments.write_csv(kept, scratch_path(spark, "cleaned"))
+    counts = observer.counts()
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 def normalised(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         "doc_id", F.md5(dedupe_key(F.col("text"))).alias("dedupe_md5"),
@@ -432,13 +445,240 @@ def fit_optimum(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("label", "rows", "positives", (F.col("gradient") < 1e-3).alias("optimal"))
 
 
+# Columns of the comment files that merge_files writes and reads, by community.
+FILE_COLUMNS = {"alpha": ["comment_id", "body"], "beta": ["body", "score", "comment_id"], "gamma": ["comment_id", "lang", "body"]}
+
+
+def comment_files(spark: SparkSession, folder: str) -> str:
+    """The documents as CSV files of three communities with different headers; returns their root."""
+    root = scratch_path(spark, "raw")
+    docs = table(spark, folder, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("comment_id"), F.col("text").alias("body"),
+        F.col("n_chars").cast("string").alias("score"), "lang")
+    for number, (community, columns) in enumerate(FILE_COLUMNS.items()):
+        own = docs.filter(F.col("doc_id") % len(FILE_COLUMNS) == number)
+        comments.write_csv(own.orderBy("doc_id").select(*columns), f"{root}/{community}/deep")
+    return root
+
+
+def merge_files(spark: SparkSession, folder: str) -> DataFrame:
+    merged = comments.merge_comments(spark, comment_files(spark, folder), position=True, name="part-*.csv")
+    at = comments.POSITION
+    numbered = number_rows(merged, [F.col(f"{at}.file"), F.col(f"{at}.block"), F.col(f"{at}.row")])
+    return numbered.select("source_subreddit", "comment_id", "body", "score", "lang", "position")
+
+
+def merge_counts(spark: SparkSession, folder: str) -> DataFrame:
+    root = comment_files(spark, folder)
+    merged = comments.merge_comments(spark, root, position=True, name="part-*.csv")
+    listed = comments.file_table(spark, root, "part-*.csv").agg(F.count(F.lit(1)).alias("listed"))
+    return comments.merge_counts(merged).crossJoin(listed).select("rows", (F.col("files") == F.col("listed")).alias("all_files"))
+
+
+def pattern_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of pattern files made from the documents: label, place and text of each line."""
+    word = F.regexp_extract("text", "[A-Za-z]{3,}", 0)
+    docs = table(spark, folder, "documents").select("doc_id", F.when(word == "", F.lit("none")).otherwise(word).alias("word"))
+    word, tab = F.col("word"), F.lit("\t")
+    lines = [F.concat(F.lit("# "), word), F.lit("  "), F.concat(word, tab, F.lit("0.5")),
+             F.concat(word, F.lit("\\t1.25")), word, F.concat(word, tab), F.concat(word, tab, F.lit("heavy")),
+             F.concat(F.lit("("), word), F.concat(F.lit(" \\b"), word, F.lit("\\b\t2 ")), F.concat(word, F.lit("|x"), word)]
+    return docs.select(
+        F.element_at(F.array(*map(F.lit, LABELS)), (F.col("doc_id") % len(LABELS) + 1).cast("int")).alias("label"), "doc_id",
+        F.element_at(F.array(*lines), (F.floor(F.col("doc_id") / len(LABELS)) % len(lines) + 1).cast("int")).alias("value"))
+
+
+def pattern_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pattern files of all labels, and of three labels once more as an extra folder, written and read with their faults."""
+    lines = materialise(pattern_lines(spark, folder), "pattern-lines")
+    base, extra = scratch_path(spark, "patterns"), scratch_path(spark, "patterns")
+    for path, rows in ((base, lines), (extra, lines.filter(F.col("label").isin(LABELS[:3])))):
+        (rows.repartition("label").sortWithinPartitions("label", "doc_id").select("label", "value")
+         .write.partitionBy("label").text(path))
+    read = patterns.pattern_files(spark, base, extra, name="part-*", label="label=([^/]+)/[^/]+$")
+    kind = F.coalesce(F.substring_index("problem", ":", 1), F.lit(""))
+    return read.select("origin", "label", F.col("line").cast("long").alias("line"), "pattern", "weight",
+                       kind.alias("problem"), "number")
+
+
+def word_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of neighbouring words of the conversations as patterns, numbered."""
+    parts = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    turns = table(spark, folder, "conversations").select(parts.alias("p"))
+    zipped = F.arrays_zip(F.col("p"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("q"),
+                          F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0))).alias("r"))
+    triples = turns.select(F.inline(zipped)).filter(
+        F.col("p").rlike("^[a-z]{4,}$") & (F.col("q") == " ") & F.col("r").rlike("^[a-z]{4,}$") & (F.col("p") != F.col("r")))
+    pairs = triples.select(F.concat_ws(" ", "p", "r").alias("pair")).distinct()
+    return number_rows(pairs, [F.col("pair")], "number").select(
+        "number", "pair", F.concat(F.lit("\\b"), "pair", F.lit("\\b")).alias("pattern"))
+
+
+def pattern_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by all word pairs of the conversations, tens of thousands of regexes."""
+    pairs = materialise(word_pairs(spark, folder), "pairs")
+    found = hits.pattern_hits(_docs(spark, folder), pairs, "doc_id", "text")
+    return found.join(pairs, "number").select("doc_id", "pair", F.size("matches").cast("long").alias("matches"))
+
+
+def clean_sorted(spark: SparkSession, folder: str) -> DataFrame:
+    kept = clean.clean_comments(scored_comments(spark, folder), position=F.col("doc_id"))
+    return number_rows(kept, clean.output_order(kept.columns)).select("comment_id", "toxic_score", "created_utc", "position")
+
+
+def label_order(spark: SparkSession, folder: str) -> DataFrame:
+    shares = stats.label_distribution(prepared(spark, folder), LABELS)
+    return number_rows(shares, [F.desc("positives"), F.col("label")]).select("label", "positives", "position")
+
+
+def preview_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows of the training frame in input order."""
+    rows = number_rows(prepared(spark, folder).select("comment_id", "subreddit", "toxic"), [F.col("comment_id").cast("long")])
+    return prepare.preview(rows.orderBy("position"), 3)
+
+
+def dirty_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents among blank, deleted and URL bodies, repeated ids, and one id that a third of the rows share."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), "text")
+    odd = F.element_at(F.array(*map(F.lit, ["", "[deleted]", "[removed]", "http://x.org/ a", " \n\t ", "HTTP://X.ORG a",
+                                            "  https://y.org", "[deleted] "])), (F.col("doc_id") % 8 + 1).cast("int"))
+    rows = [(F.col("name"), F.col("text"), 0), (F.col("name"), F.concat(F.lit("again "), "text"), 1),
+            (F.concat(F.lit("v"), "name"), odd, 2), (F.lit("hot"), F.col("text"), 3),
+            (F.concat(F.lit("v"), "name"), F.concat(F.lit("late "), "text"), 4)]
+    made = F.array(*[F.struct(name.alias("comment_id"), body.alias("body"), (F.col("doc_id") * 5 + at).alias("at"))
+                     for name, body, at in rows])
+    return docs.select(F.inline(made))
+
+
+def prepare_dirty(spark: SparkSession, folder: str) -> DataFrame:
+    frame = prepare.prepare_frame(dirty_comments(spark, folder), position=F.col("at"))
+    return frame.select("comment_id", "at", F.md5("body_clean").alias("body_md5"))
+
+
+def clean_dirty(spark: SparkSession, folder: str) -> DataFrame:
+    return clean.clean_comments(dirty_comments(spark, folder), keep_first=True, position=F.col("at")).select("comment_id", "at")
+
+
+def label_dirty(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule labels where half of the bodies begin with a link, in either case and after blanks."""
+    begin = F.element_at(F.array(*map(F.lit, ["http://a.org ", " \n HTTPS://b.org ", "", "xhttp "])), (F.col("doc_id") % 4 + 1).cast("int"))
+    bodies = table(spark, folder, "documents").select("doc_id", F.concat(begin, "text").alias("body"))
+    return label.label_comments(bodies, PATTERNS, negators=QUERY_NEGATORS).select("doc_id", "toxic_score", "insult_score", "labels")
+
+
+def write_inplace(spark: SparkSession, folder: str) -> DataFrame:
+    """A comment file cleaned over itself; a writer that fails afterwards changes nothing."""
+    path = scratch_path(spark, "comments.csv")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("comment_id"), F.col("text").alias("body"))
+    comments.write_csv(docs, path)
+    rows = comments.read_csv(spark, path)
+    kept = clean.clean_comments(rows, keep_first=True, position=F.col("comment_id").cast("long"))
+    comments.write_output(kept, path, "_cleaned", inplace=True)
+    failing = comments.read_csv(spark, path).withColumn("body", F.raise_error(F.concat(F.lit("stopped at "), "comment_id")).cast("string"))
+    try:
+        comments.write_output(failing, path, "_cleaned", inplace=True)
+    except PySparkException:
+        return comments.read_csv(spark, path)
+    raise AssertionError("a failing writer has committed")
+
+
+def model_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of a model that was saved over another one and loaded again."""
+    path = scratch_path(spark, "model")
+    fitted = formula_model(spark, folder, MODEL_THRESHOLDS)
+    artifacts.save_model(formula_model(spark, folder, EVAL_THRESHOLDS), path)
+    artifacts.save_model(fitted, path)
+    scored = model.predict(_docs(spark, folder), artifacts.load_model(spark, path))
+    rows = F.arrays_zip(F.array(*[F.lit(name) for name in MODEL_LABELS]).alias("label"), F.col("probs").alias("prob"),
+                        F.col("preds").alias("pred"))
+    return scored.select("doc_id", F.inline(rows)).withColumn("prob", F.round("prob", 6))
+
+
+def tolerant_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Comment files of which some have records with a cell too many, some lack the body, and one cannot be read at all."""
+    root = scratch_path(spark, "raw")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("comment_id"), F.col("text").alias("body"))
+    comments.write_csv(docs.filter("doc_id % 3 = 0").select("comment_id", "body"), f"{root}/good")
+    digest = F.md5("body")
+    extra = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(","), digest)).otherwise(F.lit(""))
+    lines = docs.filter("doc_id % 3 = 1").select(F.concat("comment_id", F.lit(","), digest, extra).alias("value"))
+    # a text file has no header of its own, so each one is given the first line
+    with_header = lines.repartition(2).mapInPandas(_headed, "value string")
+    with_header.write.option("compression", "none").text(f"{root}/records")
+    comments.write_csv(docs.filter("doc_id % 3 = 2").select("comment_id", digest.alias("title")).coalesce(2), f"{root}/bodiless")
+    ids = scratch_path(spark, "ids")
+    docs.select("comment_id").coalesce(1).write.text(ids)
+    publish(spark, ids, f"{root}/broken/part-0.csv.gz")
+    rows, failures = comments.read_tolerant(spark, root, name="part-*")
+    good = rows.select("source_subreddit", "comment_id", F.md5("body").alias("body_md5"), F.lit("").alias("problem"))
+    place = F.regexp_extract("path", "/([a-z]+)/[^/]+$", 1)
+    bad = failures.select(place.alias("source_subreddit"), F.substring_index("record", ",", 1).alias("comment_id"),
+                          F.lit("").alias("body_md5"), "problem").distinct()
+    return good.unionByName(bad)
+
+
+def _headed(frames):
+    first = True
+    for frame in frames:
+        yield type(frame)({"value": (["comment_id,body"] if first else []) + frame["value"].tolist()})
+        first = False
+
+
+def stream_burst(spark: SparkSession, folder: str) -> DataFrame:
+    """Last event of every user and burst that has ended, a burst being events at most half an hour apart."""
+    output, state = scratch_path(spark, "bursts"), scratch_path(spark, "state")
+    events = _stream(spark, folder, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ended = scan.bursts(events, ["user_id"], "ts", "30 minutes", "1 hour")
+    rows = ended.select("user_id", F.col("row.event_id").alias("last_event"), "versions")
+    scan.start(rows, lambda batch: batch, output, state, available_now=True).awaitTermination()
+    return scan.results(spark, output)
+
+
+def stream_once_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event once, from a stream that is restarted and given all earlier events again, in state that does not grow."""
+    arriving, output, state = (scratch_path(spark, name) for name in ("arriving", "deduped", "state"))
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+
+    def run() -> None:
+        stream = scan.read_files(spark, arriving, events.schema)
+        once = scan.once(stream, ["event_id"], "ts", "1 hour").select("event_id")
+        scan.start(once, lambda batch: batch, output, state, available_now=True).awaitTermination()
+
+    events.filter(early).unionByName(events.filter(early)).write.parquet(arriving)
+    run()
+    events.unionByName(events.filter(~early)).write.mode("append").parquet(arriving)
+    run()
+    kept = scan.state_rows(spark, state).agg(F.count(F.lit(1)).alias("kept"))
+    latest = events.agg(F.max("ts").alias("latest"))
+    recent = events.join(latest, F.col("ts") >= F.col("latest") - F.expr("interval 2 hours")).agg(F.count(F.lit(1)).alias("recent"))
+    bounded = kept.join(recent).select((F.col("kept") <= F.col("recent")).alias("state_bounded"))  # one row
+    return scan.results(spark, output).join(F.broadcast(bounded))
+
+
 QUERIES: dict[str, Query] = {
     "merge_union": merge_union,
+    "merge_files": merge_files,
+    "merge_counts": merge_counts,
+    "pattern_files": pattern_files,
+    "pattern_hits": pattern_hits,
+    "clean_sorted": clean_sorted,
+    "label_order": label_order,
+    "preview_rows": preview_rows,
+    "prepare_dirty": prepare_dirty,
+    "clean_dirty": clean_dirty,
+    "label_dirty": label_dirty,
+    "write_inplace": write_inplace,
+    "model_saved": model_saved,
+    "tolerant_read": tolerant_read,
+    "stream_burst": stream_burst,
+    "stream_once_bounded": stream_once_bounded,
     "csv_roundtrip": csv_roundtrip,
     "normalised": normalised,
     "clean_best": clean_best,
     "clean_first": clean_first,
     "clean_counts": clean_counts,
+    "observed_counts": observed_counts,
     "label_rules": label_rules,
     "label_counts": label_counts,
     "label_overall": label_overall,

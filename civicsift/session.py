@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[str] = []  # paths given out and not released yet
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was written to scratch paths inside. Frames made inside are lazy and may read it, so write
+    or collect them before."""
+    held = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        for path in _SCRATCH[held:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _SCRATCH[held:]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -7,15 +7,17 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicsift.constants import VOCABULARY_SHARD
 from civicsift.functions.text import strip
 from civicsift.operators.model import CLASSIFIER, TextModel
 from civicsift.operators.tfidf import VectorizerSettings
-from civicsift.session import scratch_path
-from civicsift.sources.files import beside, exists, publish, require_file, swap_into, write_document
+from civicsift.session import materialise, scratch_path
+from civicsift.sources import versions
+from civicsift.sources.files import exists, publish, require_file, write_document
+from civicsift.sources.lines import decoded_path, first_line, numbered_lines, write_lines
 
 # fixed values: file names of the JSON bundle
 METADATA = "metadata.json"
@@ -25,8 +27,9 @@ COEFFICIENTS = "classifier_coefficients.json"
 INTERCEPTS = "classifier_intercepts.json"
 COMBINED = "vocabulary_combined.json"
 
-# Each document of a bundle is written by one task.
-MAX_JSON_TERMS = 1_000_000
+# fixed values: the ends of the lines before which entries stand a line each
+_IDF, _END = '"idf": [', "]}}"
+_ROW_STARTS = ("[[", "],[")
 
 _NUMBERS = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
 
@@ -34,18 +37,21 @@ _NUMBERS = ["BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"]
 def save_model(model: TextModel, folder: str) -> None:
     """Parquet vocabulary with weights, and one small JSON document for everything else."""
     spark = model.vocabulary.sparkSession
-    fresh = beside(folder)
-    model.vocabulary.write.parquet(f"{fresh}/vocabulary")
     document = {
         "labels": model.labels, "thresholds": model.thresholds, "intercepts": model.intercepts,
         "terms": model.terms, "settings": asdict(model.settings), "classifier": model.classifier,
     }
-    _write_json(spark, document, f"{fresh}/model.json")
-    swap_into(spark, fresh, folder)
+
+    def write(path: str) -> None:
+        model.vocabulary.write.parquet(f"{path}/vocabulary")
+        _write_json(spark, document, f"{path}/model.json")
+
+    versions.commit(spark, folder, write)
 
 
 def load_model(spark: SparkSession, folder: str) -> TextModel:
-    require_file(spark, folder)
+    """The latest version saved in ``folder``."""
+    folder = versions.folder_of(spark, require_file(spark, folder))
     text = read_text(spark, f"{folder}/model.json")
     document = json.loads(text)
     settings = dict(document["settings"])
@@ -58,13 +64,11 @@ def load_model(spark: SparkSession, folder: str) -> TextModel:
 
 
 def export_json(model: TextModel, folder: str, shard: int = VOCABULARY_SHARD, combined: bool = True) -> None:
-    """Write the JSON bundle: single documents, so its size is checked; ``save_model`` has no limit."""
-    if model.terms > MAX_JSON_TERMS:
-        raise ValueError(f"{model.terms} terms do not fit a JSON bundle, use save_model")
+    """Write the JSON bundle. Its long documents hold an entry a line, so that many tasks write and read them."""
     spark = model.vocabulary.sparkSession
     names = export_vocabulary(model.vocabulary, folder, shard)
     if combined:
-        _export_combined(model.vocabulary, f"{folder}/{COMBINED}", shard)
+        _export_combined(model.vocabulary, f"{folder}/{COMBINED}")
     export_classifier(model, folder)
     _write_json(spark, model.thresholds, f"{folder}/{THRESHOLDS}")
     write_document(_one_row(spark, "\n".join(model.labels)), f"{folder}/{LABEL_LINES}")
@@ -82,12 +86,23 @@ def export_json(model: TextModel, folder: str, shard: int = VOCABULARY_SHARD, co
             "combined_vocabulary": COMBINED if combined else None,
         },
     }
-    # the idf list is put into the document by Spark, next to the settings from the driver
-    start = json.dumps(head)[:-2] + ', "idf": '
-    idf = model.vocabulary.groupBy().agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("idx", "idf"))), lambda cell: cell["idf"]).alias("idf"))
-    write_document(
-        idf.select(F.concat(F.lit(start), F.to_json("idf"), F.lit("}}")).alias("value")), f"{folder}/{METADATA}")
+    entries = model.vocabulary.select(_place(0), _after_first(F.col("idf").cast("string")))
+    write_lines(_between(entries, json.dumps(head)[:-2] + ", " + _IDF, _END), f"{folder}/{METADATA}")
+
+
+def _place(section: int | Column) -> Column:
+    return F.struct(F.lit(section).cast("int").alias("section"), F.col("idx").cast("long").alias("idx")).alias("place")
+
+
+def _after_first(entry: Column) -> Column:
+    """An entry of a list, with the comma before it; indices count from 0."""
+    return F.concat(F.when(F.col("idx") == 0, F.lit("")).otherwise(F.lit(",")), entry).alias("value")
+
+
+def _between(entries: DataFrame, start: str, end: str, last: int = 0) -> DataFrame:
+    """``place, value`` with a line before all entries and one after them; ``last`` is their greatest section."""
+    edges = entries.sparkSession.createDataFrame([(-1, 0, start), (last + 1, 0, end)], "section int, idx long, value string")
+    return entries.unionByName(edges.select(F.struct("section", "idx").alias("place"), "value"))
 
 
 def export_vocabulary(vocabulary: DataFrame, folder: str, shard: int = VOCABULARY_SHARD) -> list[str]:
@@ -109,14 +124,12 @@ def export_vocabulary(vocabulary: DataFrame, folder: str, shard: int = VOCABULAR
 def export_classifier(model: TextModel, folder: str) -> None:
     """Coefficient matrix (one row of the document per label) and intercepts."""
     spark = model.vocabulary.sparkSession
+    labels = len(model.labels)
     cells = model.vocabulary.select("idx", F.posexplode("coef").alias("label", "coef"))
-    rows = cells.groupBy("label").agg(
-        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("idx", "coef"))), lambda cell: cell["coef"]))
-        .alias("row"))
-    matrix = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("label", "row"))).alias("rows"))
-    joined = F.array_join(F.transform("rows", lambda row: row["row"]), ", ")
-    write_document(
-        matrix.select(F.concat(F.lit("["), joined, F.lit("]")).alias("value")), f"{folder}/{COEFFICIENTS}")
+    entries = cells.select(_place(F.col("label")), _after_first(F.col("coef").cast("string")))
+    starts = spark.createDataFrame([(label, -1, _ROW_STARTS[1]) for label in range(1, labels)], "section int, idx long, value string")
+    rows = entries.unionByName(starts.select(F.struct("section", "idx").alias("place"), "value"))
+    write_lines(_between(rows, _ROW_STARTS[0], "]]", labels), f"{folder}/{COEFFICIENTS}")
     _write_json(spark, model.intercepts, f"{folder}/{INTERCEPTS}")
 
 
@@ -133,14 +146,11 @@ def load_json(spark: SparkSession, folder: str) -> TextModel:
     if not labels:
         raise ValueError("no labels found in artifacts")
     intercepts = _document(spark, f"{folder}/{INTERCEPTS}", "array<double>").first()[0]
-    matrix = _document(spark, f"{folder}/{COEFFICIENTS}", "array<array<double>>")
-    if matrix.select(F.size("value")).first()[0] != len(labels) or len(intercepts) != len(labels):
+    cells, rows = _matrix(spark, f"{folder}/{COEFFICIENTS}")
+    if rows != len(labels) or len(intercepts) != len(labels):
         raise ValueError("classifier shapes do not match the number of labels")
     vocabulary = load_vocabulary(spark, folder, vectorizer["vocabulary_files"] or [])
-    idf = spark.read.schema(_METADATA).json(f"{folder}/{METADATA}", multiLine=True).select(
-        F.posexplode("vectorizer.idf").alias("idx", "idf"))
-    cells = matrix.select(F.posexplode("value").alias("label", "row")).select(
-        "label", F.posexplode("row").alias("idx", "coef"))
+    idf = _idf(spark, f"{folder}/{METADATA}")
     by_label = [F.max(F.when(F.col("label") == i, F.col("coef"))) for i in range(len(labels))]
     coefficients = cells.groupBy("idx").agg(F.array(*by_label).alias("coef"))
     zeros = F.array(*[F.lit(0.0) for _ in labels])
@@ -148,7 +158,32 @@ def load_json(spark: SparkSession, folder: str) -> TextModel:
         "term", "idx", "idf", F.coalesce("coef", zeros).alias("coef"))
     fitted = metadata["classifier"].asDict() if metadata["classifier"] else {}
     classifier = {name: value if fitted.get(name) is None else fitted[name] for name, value in CLASSIFIER.items()}
-    return TextModel(_settings(vectorizer), labels, thresholds, intercepts, table, vocabulary.count(), classifier)
+    table = materialise(table, "bundle")  # else every use of the model would read the documents again
+    return TextModel(_settings(vectorizer), labels, thresholds, intercepts, table, table.count(), classifier)
+
+
+def _idf(spark: SparkSession, path: str) -> DataFrame:
+    """``idx, idf``; from lines, or from a document of another writer as a whole."""
+    if not first_line(spark, path).endswith(_IDF):
+        return spark.read.schema(_METADATA).json(path, multiLine=True).select(F.posexplode("vectorizer.idf").alias("idx", "idf"))
+    lines = numbered_lines(spark, path, line_break="\n").filter((F.col("line") > 1) & (F.col("raw") != _END))
+    return lines.select((F.col("line") - 2).alias("idx"), F.ltrim("raw", F.lit(",")).cast("double").alias("idf"))
+
+
+def _matrix(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """``label, idx, coef`` and the number of labels; from lines, or from a document of another writer as a whole."""
+    if first_line(spark, require_file(spark, path)) != _ROW_STARTS[0]:
+        matrix = _document(spark, path, "array<array<double>>")
+        cells = matrix.select(F.posexplode("value").alias("label", "row")).select("label", F.posexplode("row").alias("idx", "coef"))
+        return cells, matrix.select(F.size("value")).first()[0]
+    lines = numbered_lines(spark, path, line_break="\n")
+    # a line per label
+    starts = sorted(row["line"] for row in lines.filter(F.col("raw").isin(*_ROW_STARTS)).select("line").collect())
+    before = F.filter(F.array(*[F.lit(start) for start in starts]), lambda start: start < F.col("line"))
+    cells = lines.filter(~F.col("raw").isin(*_ROW_STARTS, "]]")).select(
+        (F.size(before) - 1).alias("label"), (F.col("line") - F.element_at(before, -1) - 1).alias("idx"),
+        F.ltrim("raw", F.lit(",")).cast("double").alias("coef"))
+    return cells, len(starts)
 
 
 def load_vocabulary(spark: SparkSession, folder: str, names: Sequence[str] = ()) -> DataFrame:
@@ -163,24 +198,37 @@ def load_vocabulary(spark: SparkSession, folder: str, names: Sequence[str] = ())
             present.append(name)
         else:
             warnings.warn(f"vocabulary file {name} is missing", stacklevel=2)
-    parts = []
-    for number, name in enumerate(present):
-        entries = spark.read.text(f"{folder}/{name}", wholetext=True).select(
-            F.explode(F.from_json("value", "map<string,variant>")).alias("term", "cell"))
+    if present:
+        order = F.array_position(F.array(*map(F.lit, present)), F.element_at(F.split("file", "/"), -1))
+        cells = _object_cells(spark, [f"{folder}/{name}" for name in present])
         numeric = F.schema_of_variant("cell")
-        entries = entries.filter(numeric.isin(_NUMBERS) | numeric.startswith("DECIMAL"))
-        parts.append(entries.select(
-            "term", F.lit(number).alias("shard"), F.try_variant_get("cell", "$", "double").cast("long").alias("idx")))
-    if parts:
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        table = union.groupBy("term").agg(F.max_by("idx", "shard").alias("idx"))
+        cells = cells.filter(numeric.isin(_NUMBERS) | numeric.startswith("DECIMAL"))
+        numbered = cells.select("term", order.alias("shard"), F.try_variant_get("cell", "$", "double").cast("long").alias("idx"))
+        table = numbered.groupBy("term").agg(F.max_by("idx", "shard").alias("idx"))
         if not table.isEmpty():
             return table
     raise ValueError("vocabulary appears empty")
 
 
+def _object_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, term, cell`` of JSON objects. A line that holds whole entries is read alone, so that a large file is
+    read by many tasks; files with other lines are read as one text each."""
+    def cells_of(texts: DataFrame, body: Column) -> DataFrame:
+        cells = F.from_json(body, "map<string,variant>", {"mode": "PERMISSIVE"})
+        return texts.select("file", "value", cells.alias("cells"))
+
+    def named(texts: DataFrame) -> DataFrame:
+        return texts.select(decoded_path(F.col("_metadata.file_path")).alias("file"), "value")
+
+    inner = F.regexp_replace(F.regexp_replace("value", r"^\s*[{,]?\s*", ""), r"\s*[,}]?\s*$", "")
+    by_line = cells_of(named(spark.read.text(paths)), F.concat(F.lit("{"), inner, F.lit("}")))
+    odd = [row["file"] for row in by_line.filter(F.col("cells").isNull()).select("file").distinct().collect()]  # of the files given
+    found = by_line.filter(~F.col("file").isin(odd)) if odd else by_line
+    if odd:
+        found = found.unionByName(cells_of(named(spark.read.text(odd, wholetext=True)), F.col("value")))
+    return found.select("file", F.explode("cells").alias("term", "cell"))
+
+
 def read_lines(spark: SparkSession, path: str) -> list[str]:
     """Trimmed non-blank lines; no file, no lines."""
     if not exists(spark, path):
@@ -210,7 +258,11 @@ _METADATA = (f"labels array<string>, thresholds map<string,double>, classifier {
 
 
 def _metadata(spark: SparkSession, path: str):
-    frame = spark.read.schema(_METADATA).json(require_file(spark, path), multiLine=True)
+    head = first_line(spark, require_file(spark, path))
+    if head.endswith(_IDF):
+        frame = _one_row(spark, head + _END).select(F.from_json("value", _METADATA).alias("all")).select("all.*")
+    else:
+        frame = spark.read.schema(_METADATA).json(path, multiLine=True)
     without_idf = F.when(F.col("vectorizer").isNotNull(), F.col("vectorizer").dropFields("idf"))
     return frame.select("labels", "thresholds", "classifier", without_idf.alias("vectorizer")).first()
 
@@ -256,13 +308,11 @@ def _shard_rows(vocabulary: DataFrame, shard: int) -> DataFrame:
         "shard", F.substring(F.col("object"), F.lit(2), F.length("object") - 2).alias("cells"))
 
 
-def _export_combined(vocabulary: DataFrame, path: str, shard: int) -> None:
-    """All shards as one object, a shard a line."""
-    lines = _shard_rows(vocabulary, shard)
-    comma = F.when(F.col("shard") > 1, F.lit(",")).otherwise(F.lit("{"))
-    body = lines.select("shard", F.concat(comma, F.col("cells")).alias("value"))
-    end = vocabulary.sparkSession.range(1).select(F.lit(2147483647).alias("shard"), F.lit("}").alias("value"))
-    write_document(body.unionByName(end).orderBy("shard").select("value"), path)
+def _export_combined(vocabulary: DataFrame, path: str) -> None:
+    """All entries as one object, an entry a line."""
+    entry = F.to_json(F.create_map("term", "idx"))
+    bare = F.substring(entry, F.lit(2), F.length(entry) - 2)
+    write_lines(_between(vocabulary.select(_place(0), _after_first(bare)), "{", "}"), path)
 
 
 def _one_row(spark: SparkSession, text: str) -> DataFrame:

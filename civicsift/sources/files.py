@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
 
 from civicsift.session import scratch_path
@@ -23,6 +20,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    return _fs(spark, path).getFileStatus(_path(spark, path)).isFile()
+
+
 def require_file(spark: SparkSession, path: str) -> str:
     if not exists(spark, path):
         raise FileNotFoundError(path)
@@ -34,33 +35,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return _fs(spark, path).makeQualified(_path(spark, path)).toString()
 
 
-def find_files(spark: SparkSession, root: str, name: str) -> list[tuple[str, int]]:
-    """Path and size of every file called ``name`` below ``root``, sorted by path."""
-    require_file(spark, root)
-    found = []
-    listing = _fs(spark, root).listFiles(_path(spark, root), True)
-    while listing.hasNext():
-        status = listing.next()
-        if status.getPath().getName() == name:
-            found.append((status.getPath().toString(), status.getLen()))
-    return sorted(found)
-
-
-def first_lines(spark: SparkSession, paths: Iterable[str], threads: int = 16) -> list[str]:
-    """First line of each file; only these few bytes come to the driver."""
-    io = spark._jvm.java.io
-
-    def read(path: str) -> str:
-        reader = io.BufferedReader(io.InputStreamReader(_fs(spark, path).open(_path(spark, path)), "UTF-8"))
-        try:
-            return (reader.readLine() or "").lstrip("﻿")
-        finally:
-            reader.close()
-
-    with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(read, paths))
-
-
 def beside(target: str) -> str:
     """A path next to ``target`` that nothing else uses."""
     return f"{target.rstrip('/')}.new-{uuid.uuid4().hex}"
@@ -69,7 +43,7 @@ def beside(target: str) -> str:
 def swap_into(spark: SparkSession, new: str, target: str) -> None:
     """Put the finished output ``new`` in the place of ``target``."""
     fs = _fs(spark, target)
-    old = _path(spark, target.rstrip("/") + ".replaced")
+    old = _path(spark, f"{target.rstrip('/')}.replaced-{uuid.uuid4().hex}")
     destination = _path(spark, target)
     if destination.getParent() is not None:
         fs.mkdirs(destination.getParent())
@@ -102,3 +76,24 @@ def publish(spark: SparkSession, folder: str, path: str) -> None:
     target = _path(spark, path)
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
         fs, parts[0], _fs(spark, path), target, False, True, spark._jsc.hadoopConfiguration())
+
+
+def assemble(spark: SparkSession, folder: str, path: str) -> None:
+    """Put the part files in ``folder`` end to end at ``path``, in order of their names.
+
+    Their bytes pass through a buffer of a few kilobytes; nothing is held.
+    """
+    fs, target = _fs(spark, folder), _path(spark, path)
+    parts = sorted(status.getPath().toString() for status in fs.listStatus(_path(spark, folder))
+                   if status.getPath().getName().startswith("part-"))
+    copy = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = _fs(spark, path).create(target, True)
+    try:
+        for part in parts:
+            source = fs.open(_path(spark, part))
+            try:
+                copy(source, out, 1 << 16, False)
+            finally:
+                source.close()
+    finally:
+        out.close()

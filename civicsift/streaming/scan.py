@@ -6,7 +6,8 @@ batch that is run again after a failure leaves the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from civicsift.session import materialise
 # fixed values: pause between two looks at the input
 PAUSE = "250 milliseconds"
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,17 +41,41 @@ def once(stream: DataFrame, keys: Sequence[str], event_time: str | None = None,
     """Drop items seen before.
 
     With an event time the keys are forgotten after ``delay``; without one they are kept for
-    good, in a state store that reaches beyond memory (see ``large_state``).
+    good, in a state store that reaches beyond memory (see ``start``).
     """
     if event_time is None:
-        large_state(stream.sparkSession)
         return stream.dropDuplicates(list(keys))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def large_state(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB instead of executor memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+def bursts(stream: DataFrame, keys: Sequence[str], event_time: str, pause: str = PAUSE, delay: str = "0 seconds") -> DataFrame:
+    """The last version of every item of a burst, so that it is looked at once however often it changes.
+
+    Versions of an item no more than ``pause`` apart are one burst. It is given out once the watermark, the latest event time
+    less ``delay``, has passed its end; then its state goes. Of versions at one time the greatest row is taken. Columns: the keys,
+    ``row`` (the other columns of that version), ``started`` and ``versions``.
+    """
+    rest = F.struct(*[F.col(name) for name in stream.columns if name not in keys])
+    timed = stream.withWatermark(event_time, delay)
+    grouped = timed.groupBy(*keys, F.session_window(event_time, pause).alias("_burst")).agg(
+        F.max(F.struct(F.col(event_time).alias("at"), rest.alias("row"))).alias("_last"), F.count(F.lit(1)).alias("versions"))
+    return grouped.select(*keys, F.col("_last.row").alias("row"), F.col("_burst.start").alias("started"), "versions")
+
+
+def state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stream keeps in its state store after its last batch, read from its checkpoint."""
+    return spark.read.format("statestore").load(checkpoint)
+
+
+@contextmanager
+def large_state(spark: SparkSession) -> Iterator[None]:
+    """State of streams started inside is kept in RocksDB instead of executor memory; other streams are left as they are."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def label_stream(stream: DataFrame, patterns: Sequence[PatternSpec], **options) -> DataFrame:
@@ -65,7 +91,8 @@ def start(stream: DataFrame, work: Callable[[DataFrame], DataFrame], output: str
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=pause)
-    return writer.start()
+    with large_state(stream.sparkSession):  # a stream keeps the settings it was started with
+        return writer.start()
 
 
 def score_stream(stream: DataFrame, load: Callable[[], TextModel], output: str, checkpoint: str,

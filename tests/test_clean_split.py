@@ -156,3 +156,15 @@ def test_summary_distribution_histogram(spark):
         assert [r["comments"] for r in got] == counts.tolist()
         assert all(math.isclose(r["left"], e) for r, e in zip(got, edges))
     assert stats.length_histogram(frame.filter(F.lit(False))).count() == 0
+
+
+def test_counts_are_observed_in_one_pass(spark, tmp_path):
+    rows = [("a", "x"), ("b", " X "), ("c", ""), ("d", "http://y"), ("e", "z"), ("f", None)]
+    spark.createDataFrame(rows, "comment_id string, body string").write.parquet(str(tmp_path / "in"))
+    frame = spark.read.parquet(str(tmp_path / "in"))
+    observer = clean.CleanObserver()
+    kept = clean.clean_comments(frame, observer=observer)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    kept.write.parquet(str(tmp_path / "out"))
+    assert observer.counts() == {"input_rows": 6, "removed_empty": 3, "removed_duplicates": 1, "output_rows": 2}
+    assert tuple(clean.clean_counts(frame).first()) == (6, 3, 1, 2)

@@ -1,3 +1,4 @@
+import datetime
 import html
 import re
 import time
@@ -152,3 +153,27 @@ def test_nothing_starts_if_the_model_does_not_load(spark, tmp_path, comment_file
     with pytest.raises(FileNotFoundError):
         scan.score_stream(scan.read_files(spark, path, rows.schema), broken, str(tmp_path / "o"), str(tmp_path / "s"))
     assert len(spark.streams.active) == before
+
+
+def test_bursts_give_the_last_version_once(spark, tmp_path):
+    def at(seconds):
+        return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
+
+    rows = [("a", at(0), 1), ("a", at(0.2), 2), ("a", at(0.4), 3), ("a", at(5), 4), ("b", at(0.1), 5), ("a", at(60), 6)]
+    schema = "item string, ts timestamp, version int"
+    spark.createDataFrame(rows[:2], schema).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = scan.bursts(scan.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema),
+                             ["item"], "ts")
+        scan.start(stream.select("item", "row.version", "versions"), lambda batch: batch, str(tmp_path / "out"),
+                   str(tmp_path / "state"), available_now=True).awaitTermination()
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    run()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    spark.createDataFrame(rows[2:], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run()  # the burst of the first run goes on in the second
+    got = sorted(tuple(r) for r in scan.results(spark, str(tmp_path / "out")).collect())
+    assert got == [("a", 3, 3), ("a", 4, 1), ("b", 5, 1)]
+    assert scan.state_rows(spark, str(tmp_path / "state")).count() >= 1

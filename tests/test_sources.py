@@ -162,3 +162,59 @@ def test_numbers_are_decimal(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r["v"] for r in frame.select(clean._number(F.col("t")).alias("v")).collect()] == [
         1.0, 2.5, -500.0, None, None, None, None, None, None, float("inf")]
+
+
+def test_headers_of_many_shapes(spark, tmp_path):
+    root = tmp_path / "raw"
+    put(root / "a" / "comments.csv", "﻿id,body\n1,x\n")
+    put(root / "b" / "comments.csv", 'body,"odd, name",id,body,\ny,o,2,again,u\nz\n')
+    put(root / "c" / "comments.csv", "ID,score\n3,9\n")
+    put(root / "d" / "comments.csv", "")
+    put(root / "e" / "comments.csv", "id,body\n")
+    merged = comments.merge_comments(spark, str(root))
+    assert merged.columns == ["source_subreddit", "id", "body", "odd, name", "body.1", "Unnamed: 4", "score"]
+    assert sorted(tuple(r) for r in merged.collect()) == [
+        ("a", "1", "x", "", "", "", ""), ("b", "", "z", "", "", "", ""), ("b", "2", "y", "o", "again", "u", ""),
+        ("c", "3", "", "", "", "", "9")]
+    put(root / "f" / "comments.csv", "source_subreddit\nq\n")
+    with pytest.raises(ValueError, match="already exists"):
+        comments.merge_comments(spark, str(root))
+    with pytest.raises(ValueError, match="no nothing.csv files"):
+        comments.merge_comments(spark, str(root), name="nothing.csv")
+    with pytest.raises(FileNotFoundError):
+        comments.merge_comments(spark, str(tmp_path / "missing"))
+
+
+def test_tolerant_read(spark, tmp_path):
+    root = tmp_path / "raw"
+    put(root / "a" / "comments.csv", 'id,body\n1,"x, ""y"""\n2,a,b\n3\n')
+    put(root / "b" / "comments.csv", "id,body,score\n4,z,5\n6,z,5,\n")
+    put(root / "c" / "comments.csv", "id,title\n7,t\n")
+    put(root / "d" / "comments.csv", "")
+    rows, failures = comments.read_tolerant(spark, str(root))
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        ("a", "1", 'x, "y"', ""), ("a", "3", "", ""), ("b", "4", "z", "5")]
+    assert sorted((r["path"].split("/")[-2], r["problem"], r["record"]) for r in failures.collect()) == [
+        ("a", "3 cells for 2 columns", "2,a,b"), ("b", "4 cells for 3 columns", "6,z,5,"), ("c", "no column body", "")]
+
+
+def test_pattern_table_numbers_lines_and_tells_faults(spark, tmp_path):
+    put(tmp_path / "base" / "toxic.tsv", "# c\n\nplain\x85second\r\nbad(\t1\n\tonly\t2\nword\theavy\n" + "many\n" * 500)
+    put(tmp_path / "base" / "insult.tsv", "clown\\t0.8\n")
+    put(tmp_path / "base" / "notes.tsv", "ignored\n")
+    put(tmp_path / "extra" / "toxic.tsv", "plain\n")
+    with pytest.raises(FileNotFoundError, match="severe_toxic, obscene"):
+        patterns.pattern_files(spark, str(tmp_path / "base"))
+    for label in ("severe_toxic", "obscene", "threat", "identity_hate", "racism"):
+        put(tmp_path / "base" / f"{label}.tsv", "# nothing yet\n")
+    table = patterns.pattern_files(spark, str(tmp_path / "base"), str(tmp_path / "extra"))
+    rows = [(r["origin"], r["label"], r["line"], r["pattern"], r["weight"], (r["problem"] or "").split(":")[0])
+            for r in table.orderBy("number").collect()]
+    assert rows[:5] == [
+        (0, "toxic", 3, "plain", 1.0, ""), (0, "toxic", 4, "second", 1.0, ""), (0, "toxic", 5, "bad(", 1.0, "invalid regex"),
+        (0, "toxic", 6, "only", 2.0, ""), (0, "toxic", 7, "word", None, "no number")]
+    assert [r[2] for r in rows[5:505]] == list(range(8, 508))
+    assert rows[505:] == [(1, "toxic", 1, "plain", 1.0, ""), (0, "insult", 1, "clown", 0.8, "")]
+    with pytest.raises(ValueError, match="toxic.tsv:5: invalid regex.*toxic.tsv:7: no number: heavy"):
+        patterns.require_valid(table)
+    assert patterns.require_valid(table.filter("problem IS NULL")).count() == len(rows) - 2
