@@ -12,9 +12,8 @@ heap that skips ahead, and a document found often enough is looked for in the lo
 
 Units of any size are searched in rounds. In the first, every document goes to one of its units only, with its set, which
 connects most of what belongs together. Later ones take for each unit the documents outside its largest component, at
-most about ``LEADERS`` a round; they are paired, by number, with all others of the unit and leave it. A pair that
-shares too few looked-up shingles is dropped. What is left is searched by the component of the leaders: they are
-the index, and a set is sent there once however many units it has in common with them. A unit ends when one component is
+most about ``LEADING`` a round; they are indexed in blocks, meet all others of the unit there, and leave it. A set is sent
+to a block once, however many units it has in common with it. A unit ends when one component is
 left in it. Large searches are dealt over tasks of ``TASK_ROWS`` documents.
 
 Shingles are compared by 64-bit hashes. Defined cases: a null text counts as empty; a document without words has no
@@ -49,7 +48,9 @@ SLACK = 5  # percent of a set: documents that share a passage only are mostly to
 COUNTER_BITS = 23  # 2 ** 23 counters of four bytes, whatever the size of the table
 COUNTER_PARTS = 64
 SLICE_BYTES = 1 << 19
-LEADERS = 32  # documents of a unit that are indexed in one round
+LEADERS = 32  # documents of a unit that are indexed in the first round
+LEADING = 1024  # documents of a unit that meet all others of it in one later round
+INDEXED = 128  # of these in one block
 TASK_ROWS = 512
 MU = 0.01  # weight of a heap step against a binary search, in the share of lists set aside
 
@@ -268,7 +269,7 @@ def _links(links: list[tuple]) -> pa.RecordBatch:
 
 
 def candidate_units(nodes: DataFrame) -> DataFrame:
-    """``unit, node, n, lists``: the nodes of every list of two or more; ``lists`` lists of the same nodes are one unit.
+    """``unit, node, n``: the nodes of every list of two or more; lists of the same nodes are one unit.
 
     A node stays if it shares as many of its looked-up shingles as it shares with any node it is linked with. That one is
     no smaller than ``PERCENT`` of the node, and so are the shingles it adds to its own prefix.
@@ -284,7 +285,7 @@ def candidate_units(nodes: DataFrame) -> DataFrame:
         F.col("shared") > F.floor(F.col("n") * PERCENT * SLACK / 10_000)).select("node")
     kept = materialise(held.join(materialise(shared, "unit-shared"), "node").select("unit", "node", "n"), "unit-kept")
     several = materialise(kept.groupBy("unit").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("unit"), "unit-several")
-    return materialise(kept.join(several, "unit").join(units, "unit"), "unit-nodes")
+    return materialise(kept.join(several, "unit"), "unit-nodes")
 
 
 def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -312,17 +313,18 @@ def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> Da
     return materialise(near.select("text").mapInArrow(work, "node binary, found binary"), "unit-sets")
 
 
-def _live(units: DataFrame, names: DataFrame, number: int) -> DataFrame:
-    """The units with two components at least: which nodes lead this round, and whether all outside the largest one do."""
-    now = units.join(names, "node").select("unit", "lists", "node", "n", "component")
+def _live(units: DataFrame, names: DataFrame, number: int, most: int) -> DataFrame:
+    """The units with two components at least, and which of their nodes outside the largest one lead this round: all, or
+    about ``most``."""
+    now = units.join(names, "node").select("unit", "node", "n", "component")
     parts = now.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("part"))
     shape = parts.groupBy("unit").agg(F.max_by("component", F.struct("part", "component")).alias("main"),
                                       F.max("part").alias("most"), F.sum("part").alias("size")).filter("size > most")
     outside = F.col("size") - F.col("most")
     chance = (F.xxhash64("node", F.lit(number)).cast("double") / 2.0 ** 64 + 0.5) * outside
     return materialise(now.join(shape, "unit").select(
-        "unit", "lists", "node", "n", "component", "size", (outside <= LEADERS).alias("whole"),
-        ((F.col("component") != F.col("main")) & ((outside <= LEADERS) | (chance < LEADERS))).alias("leads")), "unit-round")
+        "unit", "node", "n", "component", "size",
+        ((F.col("component") != F.col("main")) & ((outside <= most) | (chance < most))).alias("leads")), "unit-round")
 
 
 def _sent(taking: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,27 +349,28 @@ def first_links(live: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def later_links(live: DataFrame, sets: DataFrame, number: int) -> DataFrame:
-    """Links between components of units whose nodes are in many of them."""
-    leaders = live.filter("leads").select("unit", F.col("node").alias("leader"), F.col("n").alias("m"),
-                                          F.col("component").alias("origin"), "lists")
-    fitting = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("component") != F.col("origin"))
-    pairs = leaders.join(live.drop("lists"), "unit").filter(fitting & (~F.col("leads") | (F.col("leader") < F.col("node"))))
-    # a pair is seen in every unit of both, unless both are in units of which only some nodes lead this round
-    part = live.filter("not whole").select("node").distinct()
-    counted = pairs.groupBy("leader", "node", "origin").agg(F.sum("lists").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
-    counted = counted.join(part.withColumn("open", F.lit(True)), "node", "left").join(
-        part.select(F.col("node").alias("leader"), F.lit(True).alias("leader_open")), "leader", "left")
-    enough = F.col("shared") > F.floor(F.least("n", "m") * SLACK / 100)
-    found = materialise(counted.filter(enough | (F.col("open") & F.col("leader_open"))).select("leader", "node", "origin"), "unit-pairs")
-    shares = materialise(found.select("origin", "leader").distinct().groupBy("origin").agg(
-        F.ceil(F.count(F.lit(1)) / LEADERS).cast("int").alias("shares")), "unit-shares")
-    placed = found.join(shares, "origin").withColumn("unit", F.struct(
-        "origin", F.pmod(F.xxhash64("leader", F.lit(number)), F.col("shares")).cast("int").alias("share")))
-    named = live.select("node", "component").distinct()
-    both = placed.select("unit", F.col("leader").alias("node"), F.lit(True).alias("leads")).unionByName(
-        placed.select("unit", "node", F.lit(False).alias("leads"))).distinct()
-    sizes = both.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
-    return _sent(_dealt(both.join(sizes, "unit").join(named, "node"), "size", number), sets)
+    """Links between components of units whose nodes are in many of them.
+
+    Leaders that have their largest unit in common are indexed together, up to about ``INDEXED`` in a block. A node goes once to
+    every block that holds a leader of one of its units, so that what is sent grows with blocks, not with pairs.
+    """
+    leaders = live.filter("leads")
+    homes = leaders.groupBy("node").agg(F.max_by("unit", F.struct("size", "unit")).alias("home"))
+    crowds = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / INDEXED).cast("int").alias("shares"))
+    blocks = materialise(homes.join(crowds, "home").select("node", F.struct(
+        "home", F.pmod(F.xxhash64("node", F.lit(number)), F.col("shares")).cast("int").alias("share")).alias("block")), "unit-blocks")
+    led = leaders.join(blocks, "node").select("unit", "block", "node", "n", "component")
+    reach = led.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("greatest"),
+                                     F.min("component").alias("one"), F.max("component").alias("two"))
+    meeting = led.select("unit", "block").distinct().join(live.select("unit", "node", "n", "component"), "unit").select(
+        "block", "node", "n", "component", F.lit(False).alias("leads"))
+    every = led.select("block", "node", "n", "component", F.lit(True).alias("leads")).unionByName(meeting)
+    once = every.groupBy("block", "node", "n", "component").agg(F.max("leads").alias("leads")).join(reach, "block")
+    useful = F.col("leads") | ((100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("greatest"))
+                               & ((F.col("one") != F.col("two")) | (F.col("component") != F.col("one"))))
+    kept = materialise(once.filter(useful).select(F.col("block").alias("unit"), "node", "component", "leads"), "unit-meeting")
+    sizes = kept.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
+    return _sent(_dealt(kept.join(sizes, "unit"), "size", number), sets)
 
 
 def linked_nodes(units: DataFrame, sets: DataFrame) -> DataFrame:
@@ -376,7 +379,7 @@ def linked_nodes(units: DataFrame, sets: DataFrame) -> DataFrame:
     own = units.groupBy("node").agg(F.min_by("unit", F.xxhash64("unit")).alias("unit"))
     first, number = units.join(own, ["node", "unit"]), 0
     while True:
-        live = _live(first if number == 0 else units, names, number)
+        live = _live(units, names, number, LEADING) if number else _live(first, names, number, LEADERS)
         if number and live.isEmpty():
             return names
         links = materialise(later_links(live, sets, number) if number else first_links(live, sets), "unit-links")
@@ -386,7 +389,7 @@ def linked_nodes(units: DataFrame, sets: DataFrame) -> DataFrame:
                 names.join(roots, names["component"] == roots["node"], "left")
                 .select(names["node"], F.coalesce("root", "component").alias("component")), "node-names")
         if number:
-            units = materialise(live.filter("not leads").select("unit", "lists", "node", "n"), "unit-nodes")
+            units = materialise(live.filter("not leads").select("unit", "node", "n"), "unit-nodes")
         number += 1
 
 

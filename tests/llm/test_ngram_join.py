@@ -98,8 +98,10 @@ def test_families_equal_brute_force(spark, families):
 def test_crowded_counters_give_the_same_links(spark, families, monkeypatch):
     monkeypatch.setattr(ngram_join, "COUNTER_BITS", 8)
     monkeypatch.setattr(ngram_join, "LEADERS", 4)
+    monkeypatch.setattr(ngram_join, "LEADING", 6)
+    monkeypatch.setattr(ngram_join, "INDEXED", 3)
     monkeypatch.setattr(ngram_join, "TASK_ROWS", 16)
-    rows = families[:250]
+    rows = families[:100]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert joined(frame) == sorted(brute_force(rows), key=key)
 
