@@ -56,3 +56,13 @@ def test_labelled_table_is_bounded(spark, monkeypatch):
         spark.range(3).selectExpr("concat('https://h', id, '.net/es/') AS url"))
     labelled = url_filter.label_by_rules(url_filter.split_urls(pages, RULES), RULES)
     assert {r.verdict: r["count"] for r in labelled.groupBy("verdict").count().collect()} == {"allow": 5, "block": 3}
+
+
+def test_held_out_urls_are_judged_right_for_both_verdicts(spark):
+    """Three times as many blocked urls as allowed ones, of which a third look alike but for their hosts."""
+    good = [f"https://{'news' if n % 3 else 'blog'}{n}.example{n % 7}.com/article/{n}" for n in range(120)]
+    bad = [f"https://{'pills' if n % 3 else 'news'}{n}.site{n % 9}.net/{'es' if n % 2 else 'fr'}/item-{n}" for n in range(360)]
+    pages = spark.createDataFrame([(u,) for u in good + bad], "url string")
+    labelled = url_filter.label_by_rules(url_filter.split_urls(pages, RULES), RULES)
+    shares = url_filter.held_out_accuracy(labelled)
+    assert shares.keys() == {"allow", "block"} and min(shares.values()) > 0.95
