@@ -109,9 +109,9 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "b
     pieces = materialise(known.filter(indexed).select("number", "regex", F.explode("factors").alias("factor")).select(
         "number", "regex", "factor", F.explode(own).alias("gram")), "pieces")
     body = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    grams = settled(folded(F.col("_text")))
-    every = body.select("_key", grams.alias("_fold")).select(
-        "_key", F.explode(F.concat(_pieces(F.col("_fold"), short), _pieces(F.col("_fold"), long))).alias("gram"))
+    lengths = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()] or [short]  # those of GRAMS in use
+    every = body.select("_key", settled(folded(F.col("_text"))).alias("_fold")).select(
+        "_key", F.explode(F.concat(*[_pieces(F.col("_fold"), length) for length in lengths])).alias("gram"))
     wanted = materialise(pieces.select("gram").distinct(), "wanted-pieces")
     held = materialise(every.join(wanted, "gram", "left_semi"), "held-pieces")
     frequency = materialise(held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")), "piece-counts")
