@@ -390,8 +390,9 @@ def mask_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = table(spark, folder, name).schema
-    return scan.read_files(spark, folder, schema, pathGlobFilter=f"{name}.parquet")
+    """The table as a stream, whether it is one file or a folder of files."""
+    # a stream takes a file by a pattern only; the pattern matches this one name
+    return scan.read_files(spark, f"{folder}/{name}.parque[t]", table(spark, folder, name).schema)
 
 
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
