@@ -1,8 +1,9 @@
 """Matches of very many regexes in very many texts, by an index of what a match must contain.
 
 A table of patterns of any size is joined to texts: from every regex follow factors, plain texts one of which any
-match holds. The rarest piece of a few characters of each factor indexes its pattern, texts are looked up by all pieces
-they hold, and where both meet and the whole factor is there too, the regex is run. Patterns without a factor,
+match holds. The rarest piece of a few characters of each factor indexes its pattern, texts are looked up by the pieces
+they hold, and where both meet and the whole factor is there too, the regex is run. Pieces are whole numbers, found in a batch of texts
+at once; bits of a fixed number keep most of those that index nothing from being shuffled. Patterns without a factor,
 like ``[0-9]+``, are few in practice; they are run on all texts, some at a time.
 """
 
@@ -10,20 +11,29 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from re import _constants as op
 
+import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civicsift.functions.regex import java_pattern, parse
 from civicsift.functions.text import keep_if, settled
+from civicsift.operators.grams import bounded_batches
 from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise
 
-GRAMS = (3, 6)  # lengths of pieces; a factor is looked up by the longest it has room for
+GRAMS = (3, 6, 9)  # lengths of pieces; a factor is looked up by the longest it has room for
+FILTER_BITS = 16  # for each piece that is looked for, up to 2 ** MOST_BITS in all
+MOST_BITS = 27
+SLICES = 16  # of the bits, each set by one task
+MOST_REACH = 1000  # characters of a match around which a regex is run on a part of the text
 TOGETHER = 100  # patterns without an index entry that are run in one look at the texts
 
 # fixed values: the letters beyond ASCII that regexes take for ASCII ones when case is ignored, and those
@@ -80,20 +90,132 @@ def _best(nodes: list) -> set[str] | None:
     return max(found, key=lambda texts: (min(map(len, texts)), -len(texts)), default=None)
 
 
+def reach(pattern: str) -> int:
+    """Characters a match can have at most, if what is beyond them and the next character cannot matter; else 0."""
+    def looks_away(nodes: Iterable) -> bool:
+        for kind, value in nodes:
+            if kind in (op.ASSERT, op.ASSERT_NOT) or kind is op.AT and str(value) not in ("AT_BOUNDARY", "AT_NON_BOUNDARY"):
+                return True
+            parts = value[1] if kind is op.BRANCH else [part for part in value if hasattr(part, "getwidth")] if isinstance(
+                value, tuple) else [value] if hasattr(value, "getwidth") else []
+            if any(looks_away(part) for part in parts):
+                return True
+        return False
+
+    tree = parse(pattern)
+    return 0 if tree.getwidth()[1] > MOST_REACH or looks_away(tree) else tree.getwidth()[1]
+
+
 def with_factors(patterns: DataFrame) -> DataFrame:
-    """Add ``regex`` (in Java's form) and ``factors`` to a table with ``pattern``."""
+    """Add ``regex`` (in Java's form), ``factors`` and ``reach`` to a table with ``pattern``."""
+    patterns = patterns.repartition(patterns.sparkSession.sparkContext.defaultParallelism)  # parsing takes longer than reading
 
-    @F.pandas_udf("regex string, factors array<string>")
+    @F.pandas_udf("regex string, factors array<string>, reach int")
     def translate(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"regex": texts.map(java_pattern), "factors": texts.map(required_factors)})
+        return pd.DataFrame({"regex": texts.map(java_pattern), "factors": texts.map(required_factors), "reach": texts.map(reach)})
+
+    return patterns.withColumn("_both", translate("pattern")).select(*patterns.columns, "_both.*")
+
+
+def piece_codes(texts: pa.Array, lengths: list[int], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``rows, codes`` of the distinct ASCII pieces of every text; ``bits`` leave out most pieces that are not set in them."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8, int(bounds[-1] - bounds[0]), int(bounds[0])) if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    for length in lengths:
+        places = max(raw.size - length + 1, 0)
+        code, kept = np.zeros(places, np.uint64), row[:places] == row[raw.size - places:]
+        for at in range(length):  # long pieces may share a number, which only has a regex's factor looked for in vain
+            part = raw[at:at + places]
+            code = code * np.uint64(256 if length < 8 else 0x100000001B3) + part
+            kept &= part < 128
+        code = ((code & np.uint64((1 << 56) - 1)) | np.uint64(length << 56)).view(np.int64)
+        kept = np.flatnonzero(kept)
+        if bits is not None:
+            kept = kept[_set(bits, code[kept])]
+        own, code = row[kept], code[kept]
+        order = np.lexsort((code, own))
+        own, code = own[order], code[order]
+        first = np.ones(own.size, bool)
+        first[1:] = (own[1:] != own[:-1]) | (code[1:] != code[:-1])
+        rows.append(own[first])
+        codes.append(code[first])
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def _place(codes: np.ndarray, power: int) -> np.ndarray:
+    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - power)).astype(np.int64)
+
+
+def _set(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    place = _place(codes, bits.size.bit_length() + 2)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
 
-    return patterns.withColumn("_both", translate("pattern")).select(
-        *patterns.columns, F.col("_both.regex").alias("regex"), F.col("_both.factors").alias("factors"))
+def piece_bits(pieces: DataFrame) -> Broadcast:
+    """Bits that are set for every ``gram`` of the table, and for few other numbers, if it is not beyond ``MOST_BITS``."""
+    spark = pieces.sparkSession
+    power = min(max((pieces.count() * FILTER_BITS).bit_length(), 10), MOST_BITS)
+    size = (1 << power) // SLICES
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _place(batch.column(0).to_numpy(), power)
+            yield pa.RecordBatch.from_arrays([pa.array(place // size), pa.array(place % size)], ["slice", "place"])
 
-def _pieces(text: Column, length: int) -> Column:
-    """The distinct ASCII pieces of a text. A look-ahead finds them in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=([\x00-\x7F]{{{length}}}))"), F.lit(1)))
+    def set_bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(size, bool)
+        for batch in batches:
+            found[batch.column("place").to_numpy()] = True
+        packed = np.packbits(found, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([packed], pa.binary())], ["slice", "bits"])
+
+    bits = np.zeros((SLICES, size // 8), np.uint8)
+    rows = pieces.select("gram").mapInArrow(places, "slice long, place long").groupBy("slice").applyInArrow(set_bits, "slice long, bits binary")
+    for row in rows.collect():  # SLICES rows
+        bits[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return spark.sparkContext.broadcast(bits.reshape(-1))
+
+
+def held_pieces(texts: DataFrame, lengths: list[int], bits: Broadcast, counted: bool) -> DataFrame:
+    """The distinct pieces of every text of ``(_key, _fold)`` that ``bits`` let through: ``(_key, gram)``, or if they are to be
+    counted, ``(gram, rows)``."""
+    bounded_batches(texts.sparkSession)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, codes = piece_codes(batch.column(1), lengths, bits.value)
+            if counted:
+                grams, numbers = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(numbers.astype(np.int64))], ["gram", "rows"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(codes)], ["_key", "gram"])
+
+    if counted:
+        found = texts.select("_key", "_fold").mapInArrow(find, "gram long, rows long")
+        return found.groupBy("gram").agg(F.sum("rows").alias("rows"))
+    return texts.select("_key", "_fold").mapInArrow(find, T.StructType([texts.schema["_key"], T.StructField("gram", T.LongType())]))
+
+
+def factor_pieces(known: DataFrame) -> DataFrame:
+    """``(number, factor, reach, gram)``: the pieces that each factor is looked up by; a pattern of several factors has no reach."""
+
+    @F.arrow_udf("array<bigint>")
+    def pieces(factors: pa.Array) -> pa.Array:
+        longest = np.array(GRAMS)[np.searchsorted(GRAMS, pc.utf8_length(factors).to_numpy(zero_copy_only=False), side="right") - 1]
+        rows, codes = piece_codes(factors, list(GRAMS))
+        fits = longest[rows] == codes >> 56
+        rows, codes = rows[fits], codes[fits]
+        order = np.argsort(rows, kind="stable")
+        ends = np.searchsorted(rows[order], np.arange(len(factors) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[order]))
+
+    single = F.when(F.size("factors") == 1, F.col("reach")).otherwise(0).alias("reach")
+    factors = known.select("number", single, F.explode("factors").alias("factor"))
+    return factors.select("number", "factor", "reach", F.explode(pieces("factor")).alias("gram"))
 
 
 def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "body") -> DataFrame:
@@ -104,31 +226,28 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "b
     """
     known = materialise(with_factors(patterns.select("number", "pattern")), "factors")
     indexed = (F.size("factors") > 0) & F.forall("factors", lambda factor: F.length(factor) >= min(GRAMS))
-    short, long = GRAMS
-    own = F.when(F.length("factor") >= long, _pieces(F.col("factor"), long)).otherwise(_pieces(F.col("factor"), short))
-    pieces = materialise(known.filter(indexed).select("number", "regex", F.explode("factors").alias("factor")).select(
-        "number", "regex", "factor", F.explode(own).alias("gram")), "pieces")
+    pieces = materialise(factor_pieces(known.filter(indexed)), "pieces")
+    wanted = pieces.select("gram").distinct()
+    lengths = [row[0] for row in pieces.select(F.shiftright("gram", 56).cast("int")).distinct().collect()]  # those of GRAMS in use
     body = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    lengths = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()] or [short]  # those of GRAMS in use
-    every = body.select("_key", settled(folded(F.col("_text"))).alias("_fold")).select(
-        "_key", F.explode(F.concat(*[_pieces(F.col("_fold"), length) for length in lengths])).alias("gram"))
-    wanted = materialise(pieces.select("gram").distinct(), "wanted-pieces")
-    held = materialise(every.join(wanted, "gram", "left_semi"), "held-pieces")
-    frequency = materialise(held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")), "piece-counts")
+    folds = body.select("_key", folded(F.col("_text")).alias("_fold"))
+    frequency = materialise(held_pieces(folds, lengths, piece_bits(wanted), True).join(wanted, "gram", "left_semi"), "piece-counts")
     # a piece no text holds is the best there is: nothing can match then, and no entry is made
     counted = pieces.join(frequency, "gram", "left").na.fill(0, ["rows"])
-    rarest = counted.groupBy("number", "regex", "factor").agg(F.min_by(F.struct("gram", "rows"), F.struct("rows", "gram")).alias("best"))
-    entries = rarest.filter("best.rows > 0").groupBy(F.col("best.gram").alias("gram"), F.col("best.rows").alias("rows")).agg(
-        F.collect_list(F.struct("number", "regex", "factor")).alias("entries"))
-    total = frequency.agg(F.sum("rows")).first()[0] or 0
-    met = spread_lookup(held, materialise(entries, "pattern-index"), "gram", "rows", total, "inner", spread_on=["_key"])
-    candidates = met.select("_key", F.inline("entries"))
-    folds = body.select("_key", "_text", folded(F.col("_text")).alias("_fold"))
-    near = candidates.join(folds, "_key").filter(F.contains("_fold", "factor"))
-    once = near.groupBy("_key", "number").agg(F.first("regex").alias("regex"))  # one of a pattern's factors is enough
-    tried = once.join(body, "_key").select("_key", "number", keep_if(
-        F.regexp_extract_all("_text", F.col("regex"), F.lit(0)), lambda matches: F.size(matches) > 0).alias("matches"))
-    out = tried
+    rarest = counted.groupBy("number", "factor", "reach").agg(F.min_by(F.struct("gram", "rows"), F.struct("rows", "gram")).alias("best"))
+    entries = materialise(rarest.filter("best.rows > 0").groupBy(F.col("best.gram").alias("gram"), F.col("best.rows").alias("rows")).agg(
+        F.collect_list(F.struct("number", "factor", "reach")).alias("entries")), "pattern-index")
+    total = entries.agg(F.sum("rows")).first()[0] or 0
+    held = held_pieces(folds, lengths, piece_bits(entries), False)
+    met = spread_lookup(held, entries, "gram", "rows", total, "inner", spread_on=["_key"])
+    candidates = met.groupBy("_key").agg(F.flatten(F.collect_list("entries")).alias("_entries"))
+    joined = candidates.join(body, "_key").select("_key", "_text", "_entries", settled(folded(F.col("_text"))).alias("_fold")).select(
+        "_key", "_text", "_entries", "_fold", F.length("_text").alias("_length"), settled(F.reverse("_fold")).alias("_back"))
+    found = F.transform(F.filter("_entries", lambda entry: F.contains("_fold", entry["factor"])), _part)
+    near = joined.select("_key", "_text", F.inline(F.array_distinct(found))).select(
+        "_key", "number", F.substring("_text", F.col("from"), F.col("size")).alias("_near"))
+    out = near.join(known.select("number", "regex"), "number").select("_key", "number", keep_if(
+        F.regexp_extract_all("_near", F.col("regex"), F.lit(0)), lambda matches: F.size(matches) > 0).alias("matches"))
     for group in _groups(known.filter(~indexed).select("number", "regex").orderBy("number").collect()):
         found = F.filter(F.array(*[
             F.struct(F.lit(row["number"]).alias("number"),
@@ -138,5 +257,15 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "b
     return out.select(F.col("_key").alias(key), "number", "matches")
 
 
+def _part(entry: Column) -> Column:
+    """The part of a text that all matches are in: what reaches the first and the last place of a pattern's only factor."""
+    size, factor = entry["reach"], entry["factor"]
+    first = F.greatest(F.position(factor, F.col("_fold")) - size - 1, F.lit(1))
+    last = F.col("_length") - F.position(F.reverse(factor), F.col("_back")) + 1 + size + 1
+    whole = size == 0
+    return F.struct(entry["number"].alias("number"), F.when(whole, 1).otherwise(first).alias("from"),
+                    F.when(whole, F.col("_length")).otherwise(last - first + 1).alias("size"))
+
+
 def _groups(rows: list) -> Iterable[list]:
     return (rows[at:at + TOGETHER] for at in range(0, len(rows), TOGETHER))

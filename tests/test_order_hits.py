@@ -69,6 +69,24 @@ def test_hits_equal_python(spark):
     assert sorted(got) == sorted(expected)
 
 
+@pytest.mark.parametrize(("pattern", "reach"), [
+    (r"\bab cd\b", 5), (r"ab{2,3}", 4), (r"(?:ab|cde)f?", 4), (r"ab\s+cd", 0), (r"^abc", 0), (r"abc(?=d)", 0), (r"x(?:ab$|c)", 0), (r"(?:(?:abc)\B){2}", 6),
+])
+def test_reach(pattern, reach):
+    assert hits.reach(pattern) == reach
+
+
+def test_hits_at_the_ends_of_the_part_a_match_can_be_in(spark):
+    texts = [(n, text) for n, text in enumerate([
+        "hot dog", "xhot dog", "hot dogx hot dog", "İé hot dog, hot dog\U0001f600hot dog", "hot dogs hot dog", "a hot doghot dog", "hot dog hot dog hot dog.",
+        "dog hot", "Hot Dog" + " zz" * 400 + " HOT DOG"])]
+    regexes = [r"\bhot dog\b", r"hot dog\B", r"(?:hot )?dog", r".hot dog", r"hot dog.{0,5}", r"hot (?:dog|cat)s?"]
+    patterns = spark.createDataFrame(list(enumerate(regexes)), "number long, pattern string")
+    got = hits.pattern_hits(spark.createDataFrame(texts, "k long, body string"), patterns, "k").collect()
+    found = [(k, n, [m.group(0) for m in re.finditer(regex, text, re.IGNORECASE)]) for k, text in texts for n, regex in enumerate(regexes)]
+    assert sorted(tuple(r) for r in got) == sorted(row for row in found if row[2])
+
+
 def test_hits_of_nothing(spark):
     frame = spark.createDataFrame([("a", "trash")], "k string, body string")
     patterns = spark.createDataFrame([(1, "trash")], "number long, pattern string")
