@@ -31,7 +31,8 @@ empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,9 @@ KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 HOT_CELLS = 64  # of a key; as many cells or more are joined by other means than all pairs
 HOT_SHINGLES = 64  # occurrences, in passages of hot keys, from which a shingle is frequent
+TYPES_PER_PART = 1 << 12  # types with one leading shingle that are held at once with as many others
+COLUMNS = 1 << 10  # shingles counted at a time there
+STRIP = 1 << 9  # types compared at a time there
 KINDS_PER_BLOCK = 1 << 10  # documents of different types that are counted in one task
 MAP_BITS = 1 << 15  # of Spark's bit maps
 WINDOWS = 1 << 14  # passages that are ordered at a time
@@ -346,31 +350,116 @@ def _two_least(rows: DataFrame, key: str, value: str) -> DataFrame:
     return least.groupBy(key).agg(F.min(value).alias("least"), F.max(F.when(F.col("rank") == 2, F.col(value))).alias("second"))
 
 
+def _common(columns: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, count: int) -> np.ndarray:
+    """How many of ``width`` columns each row of ``left`` has in common with each of ``right``, of ``count`` rows; entries
+    are (owner, column)."""
+    out = np.zeros((left.size, right.size), np.float32)
+    for low in range(0, width, COLUMNS):
+        inside = (columns >= low) & (columns < low + COLUMNS)
+        sides = []
+        for side in (left, right):
+            row = np.full(count, -1)
+            row[side] = np.arange(side.size)
+            own = inside & (row[owner] >= 0)
+            held = np.zeros((side.size, min(COLUMNS, width - low)), np.float32)
+            held[row[owner[own]], columns[own] - low] = 1
+            sides.append(held)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def near_types(shingle: int, types: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray,
+               sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of similar types, one of ``left`` and one of ``right`` (rows), whose least shingle in common is ``shingle``.
+
+    ``flat`` holds the frequent shingles of all rows, ``sizes`` of each.
+    """
+    values, columns, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1  # shingles of one row are in common with none
+    owner, kept = np.repeat(np.arange(sizes.size), sizes), shared[columns]
+    owner, columns = owner[kept], (np.cumsum(shared) - 1)[columns[kept]]
+    values = values[shared]
+    before = int(np.searchsorted(values, shingle))
+    early = columns < before
+    found = [np.zeros((2, 0), np.int64)]
+    for at in range(0, left.size, STRIP):
+        some = left[at:at + STRIP]
+        common = _common(columns, owner, some, right, values.size, sizes.size)
+        one, two = np.nonzero(9 * common >= 4 * (words[some][:, None] + words[right][None, :]))
+        if one.size:
+            fresh = _common(columns[early], owner[early], some, right, before, sizes.size)[one, two] == 0
+            found.append(np.stack([types[some[one[fresh]]], types[right[two[fresh]]]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def compare_types(dealt: DataFrame) -> DataFrame:
+    """``type, other``, both ways, from the rows of similar_types; a (shingle, one, two) is compared at once."""
+    names = ["shingle", "one", "two"]
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        keys = [rows.column(name).to_numpy() for name in names]
+        types, words, part = (rows.column(name).to_numpy() for name in ("type", "words", "part"))
+        lists = rows.column("shingles").combine_chunks()
+        sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        starts = np.flatnonzero(np.concatenate([[True], np.any([key[1:] != key[:-1] for key in keys], axis=0)]))
+        for a, b in zip(starts, np.append(starts, rows.num_rows)[1:], strict=True):
+            if b - a < 2:
+                continue
+            alike = keys[1][a] == keys[2][a]
+            left = np.flatnonzero(part[a:b] == keys[1][a])
+            right = left if alike else np.flatnonzero(part[a:b] == keys[2][a])
+            if not left.size or not right.size:
+                continue
+            one, two = near_types(keys[0][a], types[a:b], words[a:b], left, right, sizes[a:b],
+                                  flat[begins[a]:begins[b - 1] + sizes[b - 1]])
+            if alike:
+                one, two = one[one < two], two[one < two]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, two])), pa.array(np.concatenate([two, one]))],
+                                             ["type", "other"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = [rows.column(name)[-1].as_py() for name in names]  # may go on in the next batch
+            same = np.all([rows.column(name).to_numpy() == key for name, key in zip(names, last, strict=True)], axis=0)
+            begin = int(np.argmax(same))
+            if begin:
+                yield from pairs(rows.slice(0, begin))
+            held = rows.slice(begin)
+        if held is not None:
+            yield from pairs(held)
+
+    return dealt.mapInArrow(work, "type long, other long")
+
+
 def similar_types(types: DataFrame) -> DataFrame:
     """``type, other``: types, of ``type, words, shingles``, whose passages are similar enough by their frequent
-    shingles alone; both ways, and each with itself if so."""
+    shingles alone; both ways, and each with itself if so.
+
+    Every type goes with its shingles to each of its leading ones and is compared there with the others; a pair is given
+    by the least shingle both have. A shingle that leads many types is dealt over pairs of parts of them.
+    """
     types = types.withColumn("shingles", F.sort_array("shingles"))
     size = F.size("shingles")
     # with any partner of a fitting number of words, four fifths of a type's own number are in common at least
     weakest = F.ceil(4 * F.col("words") / 5)
     leading = types.filter(size >= weakest).select(
-        "type", "words", size.alias("size"),
-        F.posexplode(F.slice("shingles", F.lit(1), (size - weakest + 1).cast("int"))).alias("place", "shingle"))
-    swapped = leading.select("shingle", *[F.col(name).alias(f"other_{name}") for name in ("words", "size", "place")],
-                             F.col("type").alias("other"))
-    need = F.ceil(4 * (F.col("words") + F.col("other_words")) / 9)  # shingles in common, by the sizes of both
-    fitting = 5 * F.least("words", "other_words") >= 4 * F.greatest("words", "other_words")
-    leads = (F.col("place") <= F.col("size") - need) & (F.col("other_place") <= F.col("other_size") - need)
-    # two types without a shingle to spare would have the same ones; they differ in ``words`` or are the same type
-    possible = (F.col("size") > need) | (F.col("other_size") > need) | (F.col("words") != F.col("other_words"))
-    pairs = leading.join(swapped, "shingle").filter(
-        (F.col("type") < F.col("other")) & fitting & leads & possible).select("type", "other").distinct()
-    others = types.select(F.col("type").alias("other"), F.col("words").alias("other_words"), F.col("shingles").alias("other_shingles"))
-    common = F.size(F.array_intersect("shingles", "other_shingles"))
-    near = pairs.join(types, "type").join(others, "other").filter(
-        9 * common >= 4 * (F.col("words") + F.col("other_words"))).select("type", "other")
+        "type", "words", "shingles", F.explode(F.slice("shingles", F.lit(1), (size - weakest + 1).cast("int"))).alias("shingle"))
+    crowded = leading.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / TYPES_PER_PART).cast("int").alias("parts")).filter("parts > 1")
+    rows = leading.join(F.broadcast(crowded), "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("type"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = rows.select("shingle", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"),
+                        "part", "type", "words", "shingles")
+    near = compare_types(dealt.repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two"))
     own = types.filter(9 * size >= 8 * F.col("words")).select("type", F.col("type").alias("other"))
-    return near.unionByName(near.select(F.col("other").alias("type"), F.col("type").alias("other"))).unionByName(own)
+    return near.unionByName(own)
 
 
 def hot_links(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -587,26 +676,28 @@ def send_passages(bodies: DataFrame, folder: str) -> DataFrame:
     return bodies.mapInArrow(work, "group string, sent binary")
 
 
-def similarity(one: np.ndarray, two: np.ndarray) -> float:
+def similarity(one: list[int], two: list[int]) -> float:
     """Jaccard similarity of two lists as sets."""
-    first, second = set(one.tolist()), set(two.tolist())
+    first, second = set(one), set(two)
     return len(first & second) / len(first | second)
 
 
 def alike(one: np.ndarray, two: np.ndarray) -> tuple[int, int] | None:
     """The first and last start at which the passages of two aligned lists are similar enough, if any."""
-    if np.array_equal(one, two):
-        return 0, one.size - WIDTH
-    starts = np.arange(one.size - WIDTH + 1)
-    if np.unique(one).size == one.size:  # then a passage must have this many shingles in common with the other list
-        common = np.concatenate([[0], np.cumsum(np.isin(one, two))])
-        starts = starts[common[WIDTH:] - common[:-WIDTH] >= SIMILARITY * WIDTH]
-
-    def found(order: np.ndarray) -> int | None:
-        return next((at for at in order.tolist() if similarity(one[at:at + WIDTH], two[at:at + WIDTH]) >= SIMILARITY), None)
+    one, two = one.tolist(), two.tolist()  # short ones, for which Python's sets are quicker than numpy
+    starts = range(len(one) - WIDTH + 1)
+    if one == two:
+        return 0, starts[-1]
+    if len(set(one)) == len(one):  # then a passage must have this many shingles in common with the other list
+        others = set(two)
+        common = list(accumulate((value in others for value in one), initial=0))
+        starts = [at for at in starts if common[at + WIDTH] - common[at] >= SIMILARITY * WIDTH]
+
+    def found(order: Iterable[int]) -> int | None:
+        return next((at for at in order if similarity(one[at:at + WIDTH], two[at:at + WIDTH]) >= SIMILARITY), None)
 
     first = found(starts)
-    return None if first is None else (first, found(starts[::-1]))
+    return None if first is None else (first, found(reversed(starts)))
 
 
 _LINKS = "id long, other_id long, start long, end long, other_start long, other_end long"
@@ -655,10 +746,9 @@ def near_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     bits = max(0, math.ceil(math.log2(max(1, size / 20 / KEYS_PER_BUCKET))))
     shards = max(1, math.ceil(size / BYTES_PER_SHARD))
 
-    keys = materialise(send_keys(bodies, bits, _cell_keys), "keys")
-    shared = keys.filter("bucket >= 0").groupBy("bucket").applyInPandas(
+    shared = send_keys(bodies, bits, _cell_keys).filter("bucket >= 0").groupBy("bucket").applyInPandas(
         shared_codes(HOT_CELLS), "group string, sent binary, hot long").drop("hot")
-    send_back(keys.filter("bucket < 0").select("group", "sent").unionByName(shared), folder, "keys")
+    send_back(_every_group(bodies, shared), folder, "keys")
     found = materialise(send_cells(bodies, folder, bits, shards), "cells")
     hot = hot_passages(found.filter("shard < 0").select("id", "group", "row", "places", "shingles"), shards)
     similar, members, hot_edges, hot_sides = hot_links(hot)
@@ -669,8 +759,7 @@ def near_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     send_back(_every_group(bodies, send_passages(bodies, folder)), folder, "checks")
     links = materialise(verify(bodies, folder), "links")
 
-    count = F.size(F.split(F.trim(F.regexp_replace(F.decode("body", "UTF-8"), r"[\x20\x09-\x0D]+", " ")), " "))
-    words = F.when(F.regexp_replace(F.decode("body", "UTF-8"), r"[\x20\x09-\x0D]+", "") == "", 0).otherwise(count)
+    words = F.regexp_count(F.decode("body", "UTF-8"), F.lit(r"[^\x20\x09-\x0D]+"))
     rows = materialise(stored.select(
         "id", "order_id", words.cast("long").alias("n_words"), "copy", "first"), "rows")
     whole = rows.filter((F.col("n_words") >= WORDS) & F.col("copy")).select("order_id", "first", "n_words")

@@ -169,3 +169,25 @@ def test_words_end_at_blanks_and_texts():
     alone = [passages.shingles(np.frombuffer(b" ".join(w[at:at + 5]), np.uint8), np.array([len(b" ".join(w[at:at + 5]))]))[0]
              for w in words for at in range(len(w) - 4)]
     assert values.tolist() == np.concatenate(alone).tolist() and len(set(values.tolist())) == values.size
+
+
+def test_types_are_compared_where_their_leading_shingles_are(spark, monkeypatch):
+    """Neighbouring windows of one passage: pairs equal brute force, and no pair is shuffled with its shingles."""
+    rng = random.Random(11)
+    types, base = {}, [rng.randrange(-2 ** 62, 2 ** 62) for _ in range(90)]
+    for _ in range(4):
+        passage = [rng.randrange(-2 ** 62, 2 ** 62) if rng.random() < 0.03 else code for code in base]
+        for at in range(0, 44, 2):
+            held = sorted(set(passage[at:at + rng.choice([30, 38, 46])]))
+            types[tuple(held)] = len(held) + rng.randrange(4)
+    rows = [(n, words, list(held)) for n, (held, words) in enumerate(types.items())]
+    frame = spark.createDataFrame(rows, "type long, words int, shingles array<long>").repartition(3)
+    expected = {(a, b) for a, one, x in rows for b, two, y in rows
+                if a == b and 9 * len(x) >= 8 * one or a != b and 9 * len(set(x) & set(y)) >= 4 * (one + two)}
+    assert len(expected) > 2 * len(rows)
+    for most in (1 << 12, 2):
+        monkeypatch.setattr(passages, "TYPES_PER_PART", most, raising=False)
+        near = passages.similar_types(frame)
+        assert "array_intersect" not in near._jdf.queryExecution().optimizedPlan().toString()
+        found = [tuple(row) for row in near.collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
