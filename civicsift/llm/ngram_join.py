@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from civicsift.llm.common import named, small_batches, text_or_empty
 from civicsift.llm.components import components
-from civicsift.llm.exact_dedup import filter_bits, mark_repeats, member_filter
+from civicsift.llm.exact_dedup import filter_bits, mark_repeats, member_filter, repeat_filter
 from civicsift.llm.passages import SHINGLE, shingles
 from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise
@@ -268,6 +268,24 @@ def _links(links: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([link[side] for link in links], pa.binary()) for side in (0, 1)], ["u", "v"])
 
 
+def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among ``keys``, and a few others, found without shuffling ``rows``."""
+    bits = filter_bits(keys.count())
+    words = materialise(member_filter(keys, key, bits), "unit-filter")
+    return mark_repeats(rows, key, words, words.count(), bits).filter("maybe_repeated").drop("maybe_repeated")
+
+
+def distinct_sets(described: DataFrame) -> DataFrame:
+    """``node, id, rows, n, keys``: a row for each set. Only rows whose set may be another row's too are shuffled."""
+    held = described.filter("n > 0")
+    bits = filter_bits(held.count())
+    words = materialise(repeat_filter(held, "node", bits), "node-filter")
+    marked = mark_repeats(held, "node", words, words.count(), bits)
+    single = marked.filter("not maybe_repeated").select("node", "id", F.lit(1).cast("long").alias("rows"), "n", "keys")
+    return single.unionByName(marked.filter("maybe_repeated").groupBy("node").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+
+
 def candidate_units(nodes: DataFrame) -> DataFrame:
     """``unit, node, n``: the nodes of every list of two or more; lists of the same nodes are one unit.
 
@@ -280,7 +298,8 @@ def candidate_units(nodes: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("node", F.lit(7))).alias("two")).filter("size > 1")
     units = materialise(lists.groupBy("size", "one", "two").agg(
         F.min("key").alias("unit"), F.count(F.lit(1)).alias("lists")).select("unit", "lists"), "units")
-    held = materialise(entries.join(units, entries["key"] == units["unit"]).select("unit", "lists", "node", "n"), "unit-nodes")
+    of_units = may_hold(entries, "key", units.select(F.col("unit").alias("key")))
+    held = materialise(of_units.join(units, of_units["key"] == units["unit"]).select("unit", "lists", "node", "n"), "unit-nodes")
     shared = held.groupBy("node", "n").agg(F.sum("lists").alias("shared")).filter(
         F.col("shared") > F.floor(F.col("n") * PERCENT * SLACK / 10_000)).select("node")
     kept = materialise(held.join(materialise(shared, "unit-shared"), "node").select("unit", "node", "n"), "unit-kept")
@@ -293,9 +312,7 @@ def needed_sets(texts: DataFrame, nodes: DataFrame, candidates: DataFrame) -> Da
     spark = texts.sparkSession
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     wanted = materialise(nodes.join(candidates, "node", "left_semi").select("node", name.alias("name")), "unit-names")
-    bits = filter_bits(wanted.count())
-    words = materialise(member_filter(wanted, "name", bits), "unit-filter")
-    near = mark_repeats(texts.withColumn("name", name), "name", words, words.count(), bits).filter("maybe_repeated")
+    near = may_hold(texts.withColumn("name", name), "name", wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # of this task; a set that several tasks give is searched as often, to the same end
@@ -329,8 +346,9 @@ def _live(units: DataFrame, names: DataFrame, number: int, most: int) -> DataFra
 
 def _sent(taking: DataFrame, sets: DataFrame) -> DataFrame:
     """Search ``unit, deal, leads, component, node``. It is written first, so that its size is known and, while it is small,
-    the sets stay where they are until they go to their tasks."""
-    rows = materialise(taking.select("unit", "deal", "leads", "component", "node"), "unit-taking").join(sets, "node")
+    the sets stay where they are until they go to their tasks; otherwise those that are needed move once more."""
+    taking = materialise(taking.select("unit", "deal", "leads", "component", "node"), "unit-taking")
+    rows = taking.join(may_hold(sets, "node", taking.select("node")), "node")
     return search_rows(rows.select("unit", "deal", "leads", "component", "found"))
 
 
@@ -399,10 +417,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     small_batches(spark)
     texts = docs.select(named(docs, id_column).cast("long").alias("id"), text_or_empty(named(docs, text_column)).alias("text"))
     described = materialise(describe(texts, shingle_counts(texts.select("text"))), "shingle-sets")
-    nodes = materialise(
-        described.filter("n > 0").groupBy("node").agg(
-            F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys")),
-        "shingle-nodes")
+    nodes = materialise(distinct_sets(described), "shingle-nodes")
     units = candidate_units(nodes)
     candidates = materialise(units.select("node").distinct(), "unit-candidates")
     names = linked_nodes(units, needed_sets(texts, nodes, candidates))

@@ -127,3 +127,14 @@ def test_a_set_is_sent_to_few_units(spark, families):
     nodes = described.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     units = ngram_join.candidate_units(nodes).collect()
     assert len({r["unit"] for r in units}) <= 1
+
+
+def test_only_rows_that_may_repeat_are_shuffled(spark):
+    rows = [(n, 5, bytes([n % 40]) * 16, [n % 40]) for n in range(60)] + [(None, 5, b"\0" * 16, [0]), (90, 0, b"x" * 16, [])]
+    frame = spark.createDataFrame(rows, "id long, n long, node binary, keys array<long>").repartition(4)
+    held = {bytes(r["node"]): (r["id"], r["rows"], r["n"], r["keys"]) for r in ngram_join.distinct_sets(frame).collect()}
+    assert held == {bytes([n]) * 16: (n, 1 + (n < 20) + (n == 0), 5, [n]) for n in range(40)}
+    entries = spark.range(5000).select(F.col("id").alias("key"))
+    found = ngram_join.may_hold(entries, "key", entries.filter("key % 500 = 0"))
+    assert {r["key"] for r in found.collect()} >= set(range(0, 5000, 500)) and found.count() < 100
+    assert "Exchange hashpartitioning(key" not in found._jdf.queryExecution().toString()
