@@ -76,7 +76,8 @@ TYPES_PER_PART = 1 << 12  # types with one leading shingle that are held at once
 COLUMNS = 1 << 10  # shingles counted at a time there
 STRIP = 1 << 9  # types compared at a time there
 KINDS_PER_BLOCK = 1 << 10  # documents of different types that are counted in one task
-MAP_BITS = 1 << 15  # of Spark's bit maps
+MAP_BITS = 1 << 15  # documents of a map, 1 << 16 at most
+REACHED = 1 << 24  # documents reached by types that are kept while kinds are counted
 WINDOWS = 1 << 14  # passages that are ordered at a time
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -496,10 +497,37 @@ def hot_links(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
 _COUNTED = "kind long, n_hot long, u long, v long"
 
 
+def _packed_maps(rows: DataFrame) -> DataFrame:
+    """``type, number, bits``: the ``places`` of a row as they are, two bytes each, or as a bit map, whichever is smaller."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for places in batch.column("places"):
+                places = places.values.to_numpy()
+                if 2 * places.size < MAP_BITS // 8:
+                    packed.append(places.astype(np.uint16).tobytes())
+                else:
+                    every = np.zeros(MAP_BITS, np.uint8)
+                    every[places] = 1
+                    packed.append(np.packbits(every, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("type"), batch.column("number"), pa.array(packed, pa.binary())],
+                                             ["type", "number", "bits"])
+
+    return rows.mapInArrow(work, "type long, number long, bits binary")
+
+
+def _places(packed: bytes) -> np.ndarray:
+    """The places of a map of ``_packed_maps``."""
+    if len(packed) < MAP_BITS // 8:
+        return np.frombuffer(packed, np.uint16)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")).astype(np.uint16)
+
+
 def _count_links(rows: pd.DataFrame) -> pd.DataFrame:
     """The number of documents linked to each kind of a block, and the edges of the block that are not among them.
 
-    Sets of documents are bit maps, one per type and bucket of numbers; a kind reaches all that are in the map
+    Sets of documents are packed maps, one per type and bucket of numbers; a kind reaches all that are in the map
     of a type near one of its own.
     """
     near = {row.key: row.list for row in rows[rows["tag"] == 1].itertuples()}
@@ -509,19 +537,25 @@ def _count_links(rows: pd.DataFrame) -> pd.DataFrame:
     edge_kinds, edge_numbers = edges["key"].to_numpy(), edges["number"].to_numpy()
     by_kind = pd.Series(np.arange(len(edges))).groupby(edge_kinds).indices
     for bucket, part in maps.groupby("number"):
-        used = max(len(bits.rstrip(b"\0")) for bits in part["bits"]) or 1
-        bits = np.stack([np.frombuffer(b, np.uint8, used) for b in part["bits"]])
-        place = {key: at for at, key in enumerate(part["key"].tolist())}
-        reached = {}
-        for key, others in near.items():
-            at = [place[other] for other in others.tolist() if other in place]
-            if at:
-                reached[key] = np.bitwise_or.reduce(bits[at], axis=0)
+        maps_of = dict(zip(part["key"].tolist(), part["bits"], strict=True))
+        reached: dict[int, np.ndarray] = {}
+        held = 0
         for kind in kinds.itertuples():
-            sets = [reached[key] for key in kind.list.tolist() if key in reached]
-            if not sets:
+            every = np.zeros(MAP_BITS, bool)
+            for key in kind.list.tolist():
+                if key not in reached:
+                    if held > REACHED:
+                        reached.clear()
+                        held = 0
+                    found = np.zeros(MAP_BITS, bool)
+                    for other in near[key].tolist() if key in near else []:
+                        if other in maps_of:
+                            found[_places(maps_of[other])] = True
+                    reached[key] = np.flatnonzero(found).astype(np.uint16)
+                    held += reached[key].size + 64
+                every[reached[key]] = True
+            if not every.any():
                 continue
-            every = np.unpackbits(np.bitwise_or.reduce(np.stack(sets), axis=0), bitorder="little")
             totals[kind.key] += int(every.sum())
             for at, numbers in ((None, np.array([kind.number])), (by_kind.get(kind.key), None)):
                 if at is not None:
@@ -555,8 +589,8 @@ def count_links(near: DataFrame, members: DataFrame, edges: DataFrame) -> tuple[
     block = F.pmod(F.xxhash64("kind"), F.lit(blocks)).alias("block")
     bits = members.select("id", "type").distinct().join(numbered.select("id", "idx"), "id").groupBy(
         "type", F.floor(F.col("idx") / MAP_BITS).alias("number")).agg(
-        F.bitmap_construct_agg((F.col("idx") % MAP_BITS)).alias("bits"))
-    bits = materialise(bits, "type-maps")
+        F.collect_list((F.col("idx") % MAP_BITS).cast("int")).alias("places"))
+    bits = materialise(_packed_maps(bits), "type-maps")
     lists = near.groupBy("type").agg(F.collect_list("other").alias("list"))
     own = materialise(kinds.select(block, F.explode("list").alias("type")).distinct().join(lists, "type"), "block-types")
     wanted = own.select("block", F.explode("list").alias("type")).distinct()

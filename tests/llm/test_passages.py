@@ -191,3 +191,12 @@ def test_types_are_compared_where_their_leading_shingles_are(spark, monkeypatch)
         assert "array_intersect" not in near._jdf.queryExecution().optimizedPlan().toString()
         found = [tuple(row) for row in near.collect()]
         assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_maps_of_few_documents_are_small(spark):
+    """A type of a few documents takes two bytes for each, a type of most of them a bit map."""
+    places = {1: [3], 2: [0, 32767, 5], 3: list(range(0, 32768, 2))}
+    rows = spark.createDataFrame([(n, 0, p) for n, p in places.items()], "type long, number long, places array<int>")
+    found = {r["type"]: bytes(r["bits"]) for r in passages._packed_maps(rows).collect()}
+    assert {n: len(bits) for n, bits in found.items()} == {1: 2, 2: 6, 3: 4096}
+    assert {n: sorted(passages._places(bits).tolist()) for n, bits in found.items()} == {n: sorted(p) for n, p in places.items()}
