@@ -72,6 +72,7 @@ KEYS_PER_BUCKET = 1 << 20
 BYTES_PER_SHARD = 16 << 20
 HOT_CELLS = 64  # of a key; as many cells or more are joined by other means than all pairs
 HOT_SHINGLES = 64  # occurrences, in passages of hot keys, from which a shingle is frequent
+BROADCAST_SHINGLES = 1 << 18  # counts sent to every executor, 4 MB at most; more are joined by shuffling
 TYPES_PER_PART = 1 << 12  # types with one leading shingle that are held at once with as many others
 COLUMNS = 1 << 10  # shingles counted at a time there
 STRIP = 1 << 9  # types compared at a time there
@@ -336,8 +337,11 @@ def hot_passages(hot: DataFrame, shards: int) -> DataFrame:
         "id", "group", "row", F.col("part.places").alias("place"), F.col("part.shingles").alias("shingle"))
     counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("times", F.col("n"))
     counts = materialise(counts, "shingles")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    looked_up = spread_lookup(each, counts, "shingle", "n", total, spread_on=["group", "row", "place"])
+    number, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if number <= BROADCAST_SHINGLES:
+        looked_up = each.join(F.broadcast(counts.select("shingle", "times")), "shingle", "left")
+    else:
+        looked_up = spread_lookup(each, counts, "shingle", "n", total or 0, spread_on=["group", "row", "place"])
     part = F.struct("place", "shingle", F.coalesce("times", F.lit(1).cast("long")).alias("times"))
     texts = looked_up.groupBy("group", "row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(part)).alias("parts"))
     texts = texts.withColumn("row_key", F.xxhash64("group", "row"))
