@@ -1,9 +1,9 @@
 """Matches of very many regexes in very many texts, by an index of what a match must contain.
 
 A table of patterns of any size is joined to texts: from every regex follow factors, plain texts one of which any
-match holds. The rarest piece of a few characters of each factor indexes its pattern, texts are looked up by the pieces
-they hold, and where both meet and the whole factor is there too, the regex is run. Pieces are whole numbers, found in a batch of texts
-at once; bits of a fixed number keep most of those that index nothing from being shuffled. Patterns without a factor,
+match holds. A factor is indexed by its whole text, a long one by its rarest piece, and texts are looked up by the pieces
+they hold; where both meet, the regex is run around the places of the piece. Pieces are whole numbers, found in a batch of texts
+at once; bits of a fixed number keep nearly all those that index nothing from being shuffled. Patterns without a factor,
 like ``[0-9]+``, are few in practice; they are run on all texts, some at a time.
 """
 
@@ -23,22 +23,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicsift.functions.regex import java_pattern, parse
-from civicsift.functions.text import keep_if, settled
+from civicsift.functions.regex import java_literal, java_tree, parse
 from civicsift.operators.grams import bounded_batches
 from civicsift.operators.prefix import spread_lookup
 from civicsift.session import materialise
 
-GRAMS = (3, 6, 9)  # lengths of pieces; a factor is looked up by the longest it has room for
-FILTER_BITS = 16  # for each piece that is looked for, up to 2 ** MOST_BITS in all
-MOST_BITS = 27
+GRAMS = tuple(range(3, 25))  # lengths of pieces; a factor is looked up by the longest it has room for
+FILTER_BITS = 32  # for each number that is looked for, up to 2 ** MOST_BITS in all
+MOST_BITS = 28
 SLICES = 16  # of the bits, each set by one task
+ENDS = 5  # bits of a length
+LOOK_BYTES = 1 << 20  # of texts that are looked through at once, about
+WHOLE = 1 << 30  # beyond the end of any text
+NEAR_REACH = 64  # of patterns whose matches are looked for around each place alone
+CHUNK = 1024  # characters of the pieces a text is cut into, so that a part of it is found without counting all characters before
+APART = 2 * NEAR_REACH + 2  # characters beyond which what such patterns match around two places cannot meet
 MOST_REACH = 1000  # characters of a match around which a regex is run on a part of the text
 TOGETHER = 100  # patterns without an index entry that are run in one look at the texts
 
 # fixed values: the letters beyond ASCII that regexes take for ASCII ones when case is ignored, and those
 _ODD_CASE, _PLAIN_CASE = "İıſK", "iisk"
 
+# fixed values: odd numbers that mix the bits of pieces, and those that give the bits of a piece
+_MIX, _PLACES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407)
+
+_WORD = np.isin(np.arange(256), list(b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
 # factors are found in executors, which need no copy of this package
 for _module in (__name__, parse.__module__):
     cloudpickle.register_pickle_by_value(sys.modules[_module])
@@ -51,7 +61,11 @@ def folded(text: Column) -> Column:
 
 def required_factors(pattern: str) -> list[str]:
     """Lower-case ASCII texts, one of which at least is part of every match; none if there is nothing to go by."""
-    return sorted(_best(list(parse(pattern))) or ())
+    return _factors(parse(pattern))
+
+
+def _factors(tree) -> list[str]:
+    return sorted(_best(list(tree)) or ())
 
 
 def _best(nodes: list) -> set[str] | None:
@@ -92,6 +106,10 @@ def _best(nodes: list) -> set[str] | None:
 
 def reach(pattern: str) -> int:
     """Characters a match can have at most, if what is beyond them and the next character cannot matter; else 0."""
+    return _reach(parse(pattern))
+
+
+def _reach(tree) -> int:
     def looks_away(nodes: Iterable) -> bool:
         for kind, value in nodes:
             if kind in (op.ASSERT, op.ASSERT_NOT) or kind is op.AT and str(value) not in ("AT_BOUNDARY", "AT_NON_BOUNDARY"):
@@ -102,68 +120,148 @@ def reach(pattern: str) -> int:
                 return True
         return False
 
-    tree = parse(pattern)
     return 0 if tree.getwidth()[1] > MOST_REACH or looks_away(tree) else tree.getwidth()[1]
 
 
+def described(pattern: str) -> tuple[str, list[str], int, int]:
+    """The regex in Java's form, its factors, its reach, and the ends of the factor at which no word may go on (1 the first, 2 the last one),
+    if it is looked up as a whole; plain words need not be parsed for that."""
+    known = java_literal(pattern)
+    if known:
+        regex, text, edges = known
+        return regex, [text.lower()], len(text) if len(text) <= MOST_REACH else 0, edges if len(text) <= max(GRAMS) else 0
+    tree = parse(pattern)
+    return java_tree(tree), _factors(tree), _reach(tree), 0
+
+
 def with_factors(patterns: DataFrame) -> DataFrame:
-    """Add ``regex`` (in Java's form), ``factors`` and ``reach`` to a table with ``pattern``."""
+    """Add ``regex`` (in Java's form), ``factors``, ``reach`` and ``edges`` to a table with ``pattern``."""
     patterns = patterns.repartition(patterns.sparkSession.sparkContext.defaultParallelism)  # parsing takes longer than reading
 
-    @F.pandas_udf("regex string, factors array<string>, reach int")
+    @F.pandas_udf("regex string, factors array<string>, reach int, edges int")
     def translate(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"regex": texts.map(java_pattern), "factors": texts.map(required_factors), "reach": texts.map(reach)})
+        return pd.DataFrame([described(text) for text in texts], columns=["regex", "factors", "reach", "edges"])
 
     return patterns.withColumn("_both", translate("pattern")).select(*patterns.columns, "_both.*")
 
 
-def piece_codes(texts: pa.Array, lengths: list[int], bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``rows, codes`` of the distinct ASCII pieces of every text; ``bits`` leave out most pieces that are not set in them."""
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    out = first * np.uint64(_MIX[0])
+    out += second
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(_MIX[1])
+    return out
+
+
+def _levels(raw: np.ndarray) -> dict[int, np.ndarray]:
+    """By lengths that are powers of two, a number for the bytes of that length from every place on."""
+    out, size = {1: raw.astype(np.uint64) + np.uint64(1)}, 1
+    while 2 * size <= max(GRAMS):
+        out[2 * size] = _mixed(out[size][:-size], out[size][size:])
+        size *= 2
+    return out
+
+
+def _code(levels: dict[int, np.ndarray], places: np.ndarray, kind: int) -> np.ndarray:
+    """Numbers of the pieces of a kind at some places, the kind in the upper bits; pieces may share one, and have a regex run in vain.
+
+    A kind is the length and, above ``ENDS`` bits, the ends at which no ASCII word goes on (1 the first, 2 the last one).
+    """
+    length = kind & ((1 << ENDS) - 1)
+    size = 1 << (length.bit_length() - 1)
+    return _marked(_mixed(levels[size][places], levels[size][places + (length - size)]), kind)
+
+
+def _marked(code: np.ndarray, mark: int) -> np.ndarray:
+    return ((code & np.uint64((1 << 56) - 1)) | np.uint64(mark << 56)).view(np.int64)
+
+
+def _start_length(kind: int) -> int:
+    """Characters by which pieces of a kind are looked for first; 0 if there is no use in it."""
+    length = kind & ((1 << ENDS) - 1)
+    return 8 if length >= 8 else 4 if length >= 4 else 0
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of some texts, and where in them each text begins, and the last one ends."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    bounds = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
     raw = np.frombuffer(data, np.uint8, int(bounds[-1] - bounds[0]), int(bounds[0])) if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    for length in lengths:
-        places = max(raw.size - length + 1, 0)
-        code, kept = np.zeros(places, np.uint64), row[:places] == row[raw.size - places:]
-        for at in range(length):  # long pieces may share a number, which only has a regex's factor looked for in vain
-            part = raw[at:at + places]
-            code = code * np.uint64(256 if length < 8 else 0x100000001B3) + part
-            kept &= part < 128
-        code = ((code & np.uint64((1 << 56) - 1)) | np.uint64(length << 56)).view(np.int64)
-        kept = np.flatnonzero(kept)
-        if bits is not None:
-            kept = kept[_set(bits, code[kept])]
-        own, code = row[kept], code[kept]
-        order = np.lexsort((code, own))
-        own, code = own[order], code[order]
-        first = np.ones(own.size, bool)
-        first[1:] = (own[1:] != own[:-1]) | (code[1:] != code[:-1])
-        rows.append(own[first])
-        codes.append(code[first])
-    return np.concatenate(rows), np.concatenate(codes)
-
-
-def _place(codes: np.ndarray, power: int) -> np.ndarray:
-    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - power)).astype(np.int64)
+    return raw, bounds - bounds[0]
+
+
+def held_places(texts: pa.Array, kinds: list[int], bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``rows, codes, first, last`` of the ASCII pieces of every text that ``bits`` let through: the first and the last
+    of places not ``APART``, characters counted from 1."""
+    raw, bounds = _bytes(pc.fill_null(texts.cast(pa.string()), ""))
+    found, row = [tuple(np.zeros(0, np.int64) for _ in range(4))], 0
+    while row < len(texts):
+        end = max(int(np.searchsorted(bounds, bounds[row] + LOOK_BYTES, side="right")) - 1, row + 1)
+        rows, *rest = _looked_through(raw[bounds[row]:bounds[end]], bounds[row:end + 1] - bounds[row], kinds, bits)
+        found.append((rows + row, *rest))
+        row = end
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
+def _looked_through(raw: np.ndarray, bounds: np.ndarray, kinds: list[int], bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    levels, at = _levels(raw), np.arange(raw.size)
+    stop = np.where(raw < 128, raw.size, at)  # the next character beyond ASCII
+    room = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], np.repeat(bounds[1:], np.diff(bounds))) - at
+    goes_on = np.zeros(raw.size + 1, bool)  # a word that began before, within the text
+    goes_on[1:-1] = _WORD[raw[1:]] & _WORD[raw[:-1]]
+    goes_on[bounds] = False
+    places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size, first in sorted({(_start_length(kind), kind >> ENDS & 1) for kind in kinds}):
+        begun = np.flatnonzero((room >= max(size, 1)) & ~goes_on[:-1] if first else room >= max(size, 1))
+        if size:
+            begun = begun[_set(bits, _marked(levels[size][begun], 64 + size))]
+        for kind in kinds:
+            if (_start_length(kind), kind >> ENDS & 1) == (size, first):
+                length = kind & ((1 << ENDS) - 1)
+                own = begun[room[begun] >= length]
+                own = own[~goes_on[own + length]] if kind >> ENDS & 2 else own
+                code = _code(levels, own, kind)
+                kept = _set(bits, code)
+                places.append(own[kept])
+                codes.append(code[kept])
+    place, code = np.concatenate(places), np.concatenate(codes)
+    row = np.searchsorted(bounds, place, side="right") - 1
+    order = np.lexsort((place, code, row))
+    place, code, row = place[order], code[order], row[order]
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    at = chars[place] - chars[bounds[row]] + 1
+    new = np.ones(row.size + 1, bool)
+    new[1:-1] = (row[1:] != row[:-1]) | (code[1:] != code[:-1]) | (np.diff(at) > APART)
+    return row[new[:-1]], code[new[:-1]], at[new[:-1]], at[new[1:]]
+
+
+def _bit_places(codes: np.ndarray, power: int) -> list[np.ndarray]:
+    return [((codes.view(np.uint64) * np.uint64(odd)) >> np.uint64(64 - power)).astype(np.int64) for odd in _PLACES]
 
 
 def _set(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    place = _place(codes, bits.size.bit_length() + 2)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    power = bits.size.bit_length() + 2
+    out = np.arange(codes.size)
+    for odd in _PLACES:  # few are left after the first one
+        place = ((codes[out].view(np.uint64) * np.uint64(odd)) >> np.uint64(64 - power)).view(np.int64)
+        out = out[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+    kept = np.zeros(codes.size, bool)
+    kept[out] = True
+    return kept
 
 
 def piece_bits(pieces: DataFrame) -> Broadcast:
-    """Bits that are set for every ``gram`` of the table, and for few other numbers, if it is not beyond ``MOST_BITS``."""
+    """Bits that are set for every ``gram`` and ``start`` of the table, and for few other numbers, if it is not beyond ``MOST_BITS``."""
     spark = pieces.sparkSession
-    power = min(max((pieces.count() * FILTER_BITS).bit_length(), 10), MOST_BITS)
+    codes = pieces.select("gram").union(pieces.select("start").distinct())
+    power = min(max((codes.count() * FILTER_BITS).bit_length(), 10), MOST_BITS)
     size = (1 << power) // SLICES
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = _place(batch.column(0).to_numpy(), power)
+            place = np.concatenate(_bit_places(batch.column(0).to_numpy(), power))
             yield pa.RecordBatch.from_arrays([pa.array(place // size), pa.array(place % size)], ["slice", "place"])
 
     def set_bits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,48 +272,51 @@ def piece_bits(pieces: DataFrame) -> Broadcast:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([packed], pa.binary())], ["slice", "bits"])
 
     bits = np.zeros((SLICES, size // 8), np.uint8)
-    rows = pieces.select("gram").mapInArrow(places, "slice long, place long").groupBy("slice").applyInArrow(set_bits, "slice long, bits binary")
+    rows = codes.mapInArrow(places, "slice long, place long").groupBy("slice").applyInArrow(set_bits, "slice long, bits binary")
     for row in rows.collect():  # SLICES rows
         bits[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return spark.sparkContext.broadcast(bits.reshape(-1))
 
 
-def held_pieces(texts: DataFrame, lengths: list[int], bits: Broadcast, counted: bool) -> DataFrame:
-    """The distinct pieces of every text of ``(_key, _fold)`` that ``bits`` let through: ``(_key, gram)``, or if they are to be
-    counted, ``(gram, rows)``."""
+def held_pieces(texts: DataFrame, kinds: list[int], bits: Broadcast) -> DataFrame:
+    """``(_key, _id, gram, first, last)``: where every text of ``(_key, _id, _fold)`` holds pieces that ``bits`` let through."""
     bounded_batches(texts.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, codes = piece_codes(batch.column(1), lengths, bits.value)
-            if counted:
-                grams, numbers = np.unique(codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(numbers.astype(np.int64))], ["gram", "rows"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(codes)], ["_key", "gram"])
+            rows, *found = held_places(batch.column(2), kinds, bits.value)
+            own = [batch.column(at).take(pa.array(rows)) for at in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found)], ["_key", "_id", "gram", "first", "last"])
 
-    if counted:
-        found = texts.select("_key", "_fold").mapInArrow(find, "gram long, rows long")
-        return found.groupBy("gram").agg(F.sum("rows").alias("rows"))
-    return texts.select("_key", "_fold").mapInArrow(find, T.StructType([texts.schema["_key"], T.StructField("gram", T.LongType())]))
+    numbers = [T.StructField(name, T.LongType()) for name in ("_id", "gram", "first", "last")]
+    return texts.select("_key", "_id", "_fold").mapInArrow(find, T.StructType([texts.schema["_key"], *numbers]))
 
 
 def factor_pieces(known: DataFrame) -> DataFrame:
-    """``(number, factor, reach, gram)``: the pieces that each factor is looked up by; a pattern of several factors has no reach."""
-
-    @F.arrow_udf("array<bigint>")
-    def pieces(factors: pa.Array) -> pa.Array:
-        longest = np.array(GRAMS)[np.searchsorted(GRAMS, pc.utf8_length(factors).to_numpy(zero_copy_only=False), side="right") - 1]
-        rows, codes = piece_codes(factors, list(GRAMS))
-        fits = longest[rows] == codes >> 56
-        rows, codes = rows[fits], codes[fits]
-        order = np.argsort(rows, kind="stable")
-        ends = np.searchsorted(rows[order], np.arange(len(factors) + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[order]))
+    """``(number, regex, place, reach, gram, start)``: the pieces that each factor, told by its place, is looked up by, and what they begin
+    with; a pattern of several factors has no reach."""
+
+    @F.arrow_udf("array<struct<gram:bigint,start:bigint>>")
+    def pieces(factors: pa.Array, edges: pa.Array) -> pa.Array:
+        raw, bounds = _bytes(factors.cast(pa.string()))
+        levels, sizes = _levels(raw), np.diff(bounds)
+        often = np.maximum(sizes // max(GRAMS), 1)  # pieces side by side
+        ends = np.concatenate([[0], np.cumsum(often)])
+        row = np.repeat(np.arange(len(factors)), often)
+        place = bounds[row] + (np.arange(ends[-1]) - ends[row]) * max(GRAMS)
+        kind = np.minimum(sizes, max(GRAMS))[row] + (edges.to_numpy(zero_copy_only=False).astype(np.int64) << ENDS)[row]
+        gram, start = np.zeros(row.size, np.int64), np.zeros(row.size, np.int64)
+        for number in np.unique(kind).tolist():
+            own = np.flatnonzero(kind == number)
+            gram[own] = start[own] = _code(levels, place[own], number)
+            if size := _start_length(number):
+                start[own] = _marked(levels[size][place[own]], 64 + size)
+        both = pa.StructArray.from_arrays([pa.array(gram), pa.array(start)], ["gram", "start"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), both)
 
     single = F.when(F.size("factors") == 1, F.col("reach")).otherwise(0).alias("reach")
-    factors = known.select("number", single, F.explode("factors").alias("factor"))
-    return factors.select("number", "factor", "reach", F.explode(pieces("factor")).alias("gram"))
+    factors = known.select("number", "regex", single, "edges", F.posexplode("factors").alias("place", "factor"))
+    return factors.select("number", "regex", "place", "reach", F.inline(pieces("factor", "edges")))
 
 
 def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "body") -> DataFrame:
@@ -227,27 +328,33 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "b
     known = materialise(with_factors(patterns.select("number", "pattern")), "factors")
     indexed = (F.size("factors") > 0) & F.forall("factors", lambda factor: F.length(factor) >= min(GRAMS))
     pieces = materialise(factor_pieces(known.filter(indexed)), "pieces")
-    wanted = pieces.select("gram").distinct()
-    lengths = [row[0] for row in pieces.select(F.shiftright("gram", 56).cast("int")).distinct().collect()]  # those of GRAMS in use
-    body = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    folds = body.select("_key", folded(F.col("_text")).alias("_fold"))
-    frequency = materialise(held_pieces(folds, lengths, piece_bits(wanted), True).join(wanted, "gram", "left_semi"), "piece-counts")
+    kinds = sorted(row[0] for row in pieces.select(F.shiftright("gram", 56).cast("int")).distinct().collect())  # few numbers
+    body = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_id")).filter(F.col("_text").isNotNull())
+    folds = body.select("_key", "_id", folded(F.col("_text")).alias("_fold"))
+    held = materialise(held_pieces(folds, kinds, piece_bits(pieces)), "held-pieces")
     # a piece no text holds is the best there is: nothing can match then, and no entry is made
-    counted = pieces.join(frequency, "gram", "left").na.fill(0, ["rows"])
-    rarest = counted.groupBy("number", "factor", "reach").agg(F.min_by(F.struct("gram", "rows"), F.struct("rows", "gram")).alias("best"))
+    counted = pieces.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")), "gram", "left").na.fill(0, ["rows"])
+    rarest = counted.groupBy("number", "regex", "place", "reach").agg(
+        F.min_by(F.struct("gram", "rows"), F.struct("rows", "gram")).alias("best"))
     entries = materialise(rarest.filter("best.rows > 0").groupBy(F.col("best.gram").alias("gram"), F.col("best.rows").alias("rows")).agg(
-        F.collect_list(F.struct("number", "factor", "reach")).alias("entries")), "pattern-index")
+        F.collect_list(F.struct("number", "regex", "reach")).alias("entries")), "pattern-index")
     total = entries.agg(F.sum("rows")).first()[0] or 0
-    held = held_pieces(folds, lengths, piece_bits(entries), False)
     met = spread_lookup(held, entries, "gram", "rows", total, "inner", spread_on=["_key"])
-    candidates = met.groupBy("_key").agg(F.flatten(F.collect_list("entries")).alias("_entries"))
-    joined = candidates.join(body, "_key").select("_key", "_text", "_entries", settled(folded(F.col("_text"))).alias("_fold")).select(
-        "_key", "_text", "_entries", "_fold", F.length("_text").alias("_length"), settled(F.reverse("_fold")).alias("_back"))
-    found = F.transform(F.filter("_entries", lambda entry: F.contains("_fold", entry["factor"])), _part)
-    near = joined.select("_key", "_text", F.inline(F.array_distinct(found))).select(
-        "_key", "number", F.substring("_text", F.col("from"), F.col("size")).alias("_near"))
-    out = near.join(known.select("number", "regex"), "number").select("_key", "number", keep_if(
-        F.regexp_extract_all("_near", F.col("regex"), F.lit(0)), lambda matches: F.size(matches) > 0).alias("matches"))
+    found = met.select("_key", "_id", "first", "last", F.shiftright("gram", 56).bitwiseAND((1 << ENDS) - 1).alias("length"),
+                       F.explode("entries").alias("entry")).select("_key", "_id", "entry.*", "first", "last", "length")
+    # all matches are in the parts that reach the first and the last place of the piece, with a character on either side
+    size, beyond = F.col("reach"), F.col("reach") - F.col("length")
+    part = F.struct(F.when(size == 0, 1).otherwise(F.greatest(F.col("first") - beyond - 1, F.lit(1))).cast("int").alias("from"),
+                    F.when(size == 0, WHOLE).otherwise(F.col("last") + size).cast("int").alias("to"))
+    parts = found.withColumn("part", part).repartition("_key", "_id").groupBy("_key", "_id", "number", "regex", "reach").agg(
+        F.min("part.from").alias("from"), F.max("part.to").alias("to"), F.array_sort(F.collect_set("part")).alias("parts"))
+    alone = (size > 0) & (size <= NEAR_REACH)
+    places = F.when(alone, F.col("parts")).otherwise(F.array(F.struct("from", "to")))
+    owned = parts.groupBy("_key", "_id").agg(F.collect_list(F.struct("number", "regex", places.alias("places"))).alias("_found"))
+    chunks = body.select("_key", "_id", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("_chunks"))
+    out = owned.join(chunks, ["_key", "_id"]).select("_key", F.inline(F.filter(F.transform("_found", lambda own: F.struct(
+        own["number"].alias("number"), F.flatten(F.transform(own["places"], lambda place: F.regexp_extract_all(
+            _part(place), own["regex"], F.lit(0)))).alias("matches"))), lambda row: F.size(row["matches"]) > 0)))
     for group in _groups(known.filter(~indexed).select("number", "regex").orderBy("number").collect()):
         found = F.filter(F.array(*[
             F.struct(F.lit(row["number"]).alias("number"),
@@ -257,14 +364,11 @@ def pattern_hits(texts: DataFrame, patterns: DataFrame, key: str, text: str = "b
     return out.select(F.col("_key").alias(key), "number", "matches")
 
 
-def _part(entry: Column) -> Column:
-    """The part of a text that all matches are in: what reaches the first and the last place of a pattern's only factor."""
-    size, factor = entry["reach"], entry["factor"]
-    first = F.greatest(F.position(factor, F.col("_fold")) - size - 1, F.lit(1))
-    last = F.col("_length") - F.position(F.reverse(factor), F.col("_back")) + 1 + size + 1
-    whole = size == 0
-    return F.struct(entry["number"].alias("number"), F.when(whole, 1).otherwise(first).alias("from"),
-                    F.when(whole, F.col("_length")).otherwise(last - first + 1).alias("size"))
+def _part(place: Column) -> Column:
+    """The part of a text in ``_chunks`` between two characters."""
+    chunk = F.floor((place["from"] - 1) / CHUNK).cast("int")
+    chunks = F.slice("_chunks", chunk + 1, F.floor((place["to"] - 1) / CHUNK).cast("int") - chunk + 1)
+    return F.substring(F.array_join(chunks, ""), place["from"] - chunk * CHUNK, place["to"] - place["from"] + 1)
 
 
 def _groups(rows: list) -> Iterable[list]:

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from civicsift.functions.regex import parse
+from civicsift.functions.regex import java_literal, java_tree, parse
 from civicsift.operators import hits
 from civicsift.operators.order import number_rows
 
@@ -92,3 +92,34 @@ def test_hits_of_nothing(spark):
     patterns = spark.createDataFrame([(1, "trash")], "number long, pattern string")
     assert hits.pattern_hits(frame.limit(0), patterns, "k").count() == 0
     assert hits.pattern_hits(frame, patterns.limit(0), "k").count() == 0
+
+
+def test_only_texts_that_hold_a_whole_factor_are_candidates(spark, monkeypatch):
+    written, write = {}, hits.materialise
+    monkeypatch.setattr(hits, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    whole = "alpha beta gamma"
+    shreds = [whole[at:at + 9] + " zz " + whole[at + 1:at + 10] for at in range(len(whole) - 8)]
+    texts = [(n, " ".join(shreds[n % 3:])) for n in range(20)] + [(20, f"x {whole}x, {whole}"), (21, f"un{whole}")]
+    patterns = spark.createDataFrame([(0, rf"\b{whole}\b"), (1, r"\bbeta delta\b")], "number long, pattern string")
+    got = hits.pattern_hits(spark.createDataFrame(texts, "k long, body string"), patterns, "k").collect()
+    assert [tuple(row) for row in got] == [(20, 0, [whole])]
+    assert written["pattern-index"].select("rows").collect() == [(1,)]  # pieces of a factor alone, and words that go on, are looked at no further
+
+
+def test_matches_far_apart_in_long_texts_and_under_one_key(spark):
+    filler = "lorem ipsum é " * 300
+    texts = [(1, f"hot dog {filler}Hot dog, hot dog{filler} hot dogs {filler}hot dog"), (1, f"a hot dog {filler}"), (1, f"a hot dog {filler}"), (2, filler),
+             (3, f"{filler}hot {filler} dog")]
+    regexes = [r"\bhot dog\b", r"hot dogs?", r"hot (?:dog|cat)", r"dog[^d]{90}", r"hot(?s:.)+dog", r"ipsum \xe9 lorem ipsum \xe9 lorem ipsum", "o" + "[^x]" * 80]
+    patterns = spark.createDataFrame(list(enumerate(regexes)), "number long, pattern string")
+    got = hits.pattern_hits(spark.createDataFrame(texts, "k long, body string"), patterns, "k").collect()
+    found = [(k, n, [m.group(0) for m in re.finditer(regex, text, re.IGNORECASE)]) for k, text in texts for n, regex in enumerate(regexes)]
+    assert sorted(tuple(row) for row in got) == sorted(row for row in found if row[2])
+
+
+def test_plain_words_are_translated_as_the_parser_does():
+    for pattern in [r"\bab cd\b", "ab", r"\b1", r"x  y\b", "Ab9"]:
+        regex, text, edges = java_literal(pattern)
+        assert regex == java_tree(parse(pattern)) and hits.described(pattern)[:3] == (
+            regex, hits.required_factors(pattern), hits.reach(pattern)) and edges == pattern.startswith(r"\b") + 2 * pattern.endswith(r"\b")
+    assert not any(map(java_literal, [r"\b ab", "ab ", "a.b", "", "a_b", "é", r"ab\b\n", "ab\n"]))
