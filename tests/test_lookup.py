@@ -1,12 +1,16 @@
 """Texts counted from their bytes, and vocabularies that are asked by batches, against the plain ways."""
 
+import os
+import time
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from civicsift.functions.text import clean_text, model_tokens
-from civicsift.operators import model, tfidf
-from civicsift.operators.grams import bucket_numbers, list_counts, plain_tokens
+from civicsift.operators import lookup, model, tfidf
+from civicsift.operators.grams import bucket_numbers, list_counts, packed, plain_tokens, steps, summed, unpacked
+from civicsift.session import materialise
 
 TEXTS = ["The cat, the CAT!", "", None, "a b cd", "x", "  \t\x1c\n ", "snake_case 42 4", "é été the", "ab cd", "the cat sat", "ﬁn fin ΣΑΣ ΣΑΣ.",
          "cat\x00cat", "the-cat the cat", "Z" * 9000, "_ __ ___"]
@@ -69,3 +73,37 @@ def test_large_vocabularies_are_asked_by_batches(spark, monkeypatch, settings):
     assert after == before
     for frame in frames:  # batches ask and are answered, no row of a term is joined
         assert "FlatMapCoGroupsInArrow" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packets_are_compressed():
+    terms, numbers = pa.array([f"some term {n}" for n in range(5000)]), [n + n // 9 for n in range(5000)]
+    packet = packed({"term": terms, "step": steps(numbers)})
+    assert len(packet) < terms.nbytes / 3
+    assert unpacked(packet).column("term").equals(terms) and summed(unpacked(packet).column("step")).tolist() == numbers
+
+
+def test_terms_that_the_vocabulary_lacks_are_not_asked_for(spark, monkeypatch):
+    paths, path_of = [], lookup.scratch_path
+    monkeypatch.setattr(lookup, "scratch_path", lambda session, name: paths.append(path_of(session, name)) or paths[-1])
+    monkeypatch.setattr(model, "BROADCAST_TERMS", 0)
+    docs = spark.createDataFrame([(n, f"known rare{n} odd{n} once{n}") for n in range(300)], "doc_id long, text string")
+    table = spark.createDataFrame([("known", 0, [2.0])], "term string, idx long, coef array<double>")
+    fitted = model.TextModel(tfidf.VectorizerSettings(use_idf=False), ["one"], {}, [0.0], table, 1)
+    assert {round(row["probs"][0], 6) for row in model.score_texts(docs, fitted).collect()} == {0.880797}
+    asked = [unpacked(row["asked"]).num_rows for row in spark.read.parquet(paths[0]).filter("asked IS NOT NULL").collect()]
+    assert 0 < sum(asked) < 200  # of 901 different terms
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    def files():
+        folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+        return {name for folder in folders for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    before = files()
+    written = materialise(spark.range(20_000).repartition(3).groupBy((F.col("id") % 999).alias("k")).count(), "counted")
+    for _ in range(50):  # they are deleted in the background
+        left = [name for name in files() - before if name.endswith(".data")]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and written.count() == 999
