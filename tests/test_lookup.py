@@ -107,3 +107,11 @@ def test_what_is_written_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and written.count() == 999
+
+
+def test_rows_of_unique_documents_are_not_brought_together(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", 0)
+    docs = documents(spark)
+    vocabulary = tfidf.fit_vocabulary(docs, tfidf.VectorizerSettings())
+    for frame, again in ((docs, False), (docs.union(docs.limit(1)), True)):
+        assert ("Window" in tfidf.tfidf(frame, vocabulary)._jdf.queryExecution().executedPlan().toString()) == again
